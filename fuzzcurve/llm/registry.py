@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import bpe, jaccard, packing, substring
 
-QUERIES = {"op9_substring": substring.op9_substring}
-ORACLES = {"op9_substring": substring.ORACLE}
+QUERIES = {
+    "op2_jaccard": jaccard.op2_jaccard,
+    "op4_bpe": bpe.op4_bpe,
+    "op9_substring": substring.op9_substring,
+    "op10_packing": packing.op10_packing,
+}
+ORACLES = {"op2_jaccard": jaccard.ORACLE, "op9_substring": substring.ORACLE}
