@@ -102,6 +102,14 @@ def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(found if at is None else at[found], len(data))
 
 
+def _places(shift: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """0..n-1 with each run of ``size`` places shifted."""
+    kind = np.int32 if n < 1 << 30 else np.int64
+    out = np.arange(n, dtype=kind)
+    out += np.repeat(shift.astype(kind), size)
+    return out
+
+
 class Vocabulary:
     """Ranks of one file as lookup tables."""
 
@@ -167,8 +175,7 @@ class Vocabulary:
         """The pieces of all ids one after another, and where each text (its ids end at ``ends``) ends."""
         size = self.length[ids]
         total = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.start[ids] - total[:-1], size) + np.arange(total[-1])
-        return self.bytes[at], total[ends]
+        return self.bytes[_places(self.start[ids] - total[:-1], size, total[-1])], total[ends]
 
 
 class Encoder:
@@ -228,8 +235,7 @@ class Encoder:
         word = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
         size = self.size[word]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[word] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(at, offsets)]
+        return self.flat[_places(self.start[word] - total[:-1], size, total[-1])], total[np.searchsorted(at, offsets)]
 
 
 _ENCODERS: dict[bytes, Encoder] = {}

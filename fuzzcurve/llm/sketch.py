@@ -26,7 +26,7 @@ DEPTH = 2
 MOST_BITS = 28
 SLICE_BITS = 20
 #: Hashes that a task holds before it sends what it counted.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def bits_for(values: int) -> tuple[int, int]:

@@ -30,7 +30,7 @@ from .common import batch, from_rest, id_text, signed, steps, with_rest, write_t
 from .text import mix, windows, word_hashes, words
 
 #: Candidate rows that a task holds for its own comparison.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def _window_hashes(k: int):
