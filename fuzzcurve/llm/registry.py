@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, packing, substring
+from . import bpe, jaccard, packing, substring, suffix
 
 QUERIES = {
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_bpe": bpe.op4_bpe,
+    "op8_suffix": suffix.op8_suffix,
     "op9_substring": substring.op9_substring,
     "op10_packing": packing.op10_packing,
 }

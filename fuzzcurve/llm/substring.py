@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import batch, from_rest, id_text, signed, steps, with_rest, write_table
+from .common import batch, id_text, read, signed, steps, write_table
+from .marks import rewrite
 from .text import mix, windows, word_hashes, words
 
 #: Candidate rows that a task holds for its own comparison.
@@ -126,21 +126,22 @@ def _cut(data: np.ndarray, w, first: int, last: int, begin: int, end: int, start
 
 
 def _rewrite(k: int):
-    def rewrite(batches):
+    def run(batches):
         for b in batches:
-            rows, n_words, n_removed, texts = b.column(1), [], [], []
-            starts = b.column(3) if b.num_columns > 3 else None
-            for at, data, offsets in steps(rows):
+            texts, n_words, n_removed = [], [], []
+            starts = b.column(2) if b.num_columns > 2 else None
+            for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
                 for i in range(len(offsets) - 1):
-                    own = starts[at + i].values if starts is not None and starts[at + i].is_valid else None
-                    text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], own.to_numpy(), k) if own is not None else (data[offsets[i] : offsets[i + 1]].tobytes(), 0)
+                    text, gone = data[offsets[i] : offsets[i + 1]].tobytes(), 0
+                    if starts is not None and starts[at + i].is_valid:
+                        text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], starts[at + i].values.to_numpy(), k)
                     texts.append(text)
                     n_words.append(w.first[i + 1] - w.first[i])
                     n_removed.append(gone)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "rest", "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["rest", "kept", "n_words", "n_removed"])
 
-    return rewrite
+    return run
 
 
 def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -157,35 +158,12 @@ def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``, plus n_words and n_removed (long, of the input)."""
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    docs = docs.select(*[docs[f"`{c}`"] for c in columns])
-    starts = find_repeats(docs, k)
-    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(starts, "doc_id"))
-    whole = with_rest(docs)
-
-    def loses(which: bool):
-        def pick(batches):
-            for b in batches:
-                hit = sketch.in_bitmap(bitmap.value, b.column(3).to_numpy()) & ~np.asarray(b.column(0).is_null())
-                got = b.filter(pa.array(hit == which)).select(["doc_id", "text", "rest"])
-                if got.num_rows:
-                    yield got
-
-        return pick
-
-    rest = next(f.dataType for f in whole.schema.fields if f.name == "rest").simpleString()
-    shape = f"doc_id long, rest {rest}, kept string, n_words long, n_removed long"
-    placed = whole.select("doc_id", "text", "rest", sketch.bitmap_places("doc_id"))
-    form = f"doc_id long, text string, rest {rest}"
-    clean = placed.mapInArrow(loses(False), form).mapInArrow(_rewrite(k), shape)
-    hit = placed.mapInArrow(loses(True), form).join(starts, "doc_id", "left").select("doc_id", "text", "rest", "starts").mapInArrow(_rewrite(k), shape)
-    out = clean.unionByName(hit)
-    return out.select(*from_rest(out, columns, "kept"), "n_words", "n_removed")
+    docs = docs.drop("kept", "n_words", "n_removed")
+    out = rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long")
+    return out.withColumn("text", F.col("kept")).drop("kept")
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:
-    from .common import read
-
     out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.array_join(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), " ")
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
