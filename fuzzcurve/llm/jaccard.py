@@ -13,11 +13,11 @@ component of each document.
    comparison a copy, not one a pair.
 3. The token-group matrix: a token row lists the groups whose union has the
    token. It holds, for each document, the prefix of its tokens that decides
-   (any partner shares one of the first ``n - ceil(n*t) + 1`` tokens of a
-   common order), commonest tokens last. A query document's overlap with a
-   group is bounded from the row, the sizes and the token's places; only
-   groups that can qualify are opened, and only across groups, since inside
-   one all is linked already.
+   (any partner shares ``need`` of the first ``n - ceil(n*t) + need`` tokens
+   of a common order), commonest tokens last. A query document's overlap with
+   a group's members is bounded from the rows they share, the sizes and the
+   tokens' places; only what can qualify is opened, and only across groups,
+   since inside one all is linked already.
 4. Opened pairs are verified on the whole sets; links and groups together
    give the components. No link is lost: 2 only saves work in 3.
 
@@ -42,6 +42,8 @@ BANDS = 8
 #: A token of at least two of one in ``SAMPLE`` documents is common: it comes late in the order.
 SAMPLE = 16
 COMMON_BITS = 24
+#: Of ``n`` tokens, a partner shares ``max(1, n // NEED)`` in the prefix: more of these cost longer prefixes.
+NEED = 20
 #: Members of one group that are verified together.
 CHUNK = 32
 
@@ -168,7 +170,7 @@ def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 late = sketch.in_bitmap(common.value, (_xxhash(h) & U((1 << COMMON_BITS) - 1)).astype(np.int64))
                 order = np.lexsort((h, late, doc))
                 h, place = h[order], np.arange(len(h)) - first[doc]
-                keep = place < (n + (-n * percent // 100) + 1)[doc]  # n - ceil(n * percent / 100) + 1
+                keep = place < (n + (-n * percent // 100) + np.maximum(1, n // NEED))[doc]  # -(-x // 1) is the ceiling
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(h[keep])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), lists], ["doc_id", "n", "tokens"])
@@ -192,20 +194,20 @@ def _xxhash(h: np.ndarray) -> np.ndarray:
 
 
 def _opened(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that some token row lets qualify."""
+    """Pairs (a, b) of documents of different groups that share enough token rows to qualify."""
 
     def pairs_of(doc, grp, n, place):
         """Blocks of pairs of one token's row."""
         for i in range(0, len(doc), 256):
             q = slice(i, i + 256)
             x, y = np.triu_indices(len(doc[q]), 1, len(doc) - i)
-            for u, v in ((x + i, y + i),):
-                ok = grp[u] != grp[v]
-                u, v = u[ok], v[ok]
-                lo, hi = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
-                most = np.minimum(place[u], place[v]) + 1 + np.minimum(n[u] - place[u], n[v] - place[v]) - 1
-                ok = (100 * lo >= percent * hi) & (100 * most >= percent * (lo + hi - most))
-                yield np.minimum(doc[u[ok]], doc[v[ok]]), np.maximum(doc[u[ok]], doc[v[ok]])
+            u, v = x + i, y + i
+            ok = grp[u] != grp[v]
+            u, v = u[ok], v[ok]
+            lo, hi = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
+            most = np.minimum(place[u], place[v]) + np.minimum(n[u] - place[u], n[v] - place[v])
+            ok = (100 * lo >= percent * hi) & (100 * most >= percent * (lo + hi - most))
+            yield np.minimum(doc[u[ok]], doc[v[ok]]), np.maximum(doc[u[ok]], doc[v[ok]]), np.maximum(1, lo[ok] // NEED)
 
     def scan(batches):
         held = None
@@ -237,12 +239,15 @@ def _opened(matrix: DataFrame, percent: int) -> DataFrame:
             yield send(out)
 
     def send(out):
-        pair = np.unique(np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])], 1), axis=0)
-        return batch(a=np.ascontiguousarray(pair[:, 0]), b=np.ascontiguousarray(pair[:, 1]))
+        a, b, need = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return batch(a=a[cut], b=b[cut], need=need[cut], hits=np.diff(np.append(cut, len(a))))
 
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = matrix.select("token", "grp", "doc_id", "n", "place").repartition(parts, "token").sortWithinPartitions("token")
-    return rows.mapInArrow(scan, "a long, b long").distinct()
+    return rows.mapInArrow(scan, "a long, b long, need long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
