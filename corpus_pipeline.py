@@ -1,2 +1,69 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""A training-data pipeline over ``documents``: five stages, one operator each.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from fuzzcurve.llm import bpe, decontaminate, jaccard, quality, substring
+from fuzzcurve.llm.common import read, write_table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop rejected documents and lines that too many documents of a host have."""
+    return quality.quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of linked documents.
+
+    Documents without an id have no links and stay; of rows that share an id
+    one stays (the one of least text).
+    """
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = kept.join(twice, "doc_id", "left_semi")
+    one = repeated.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x"))).alias("m")).select("m.x.*")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut words of 13-word windows that an earlier document has; texts of which nothing stays go."""
+    out = substring.substring_dedup(docs)
+    return out.where("n_removed = 0 or n_removed < n_words").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark passage."""
+    out = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    return out.where("not contaminated").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text (packed), their number, and digests of ids and decoded text."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", without_benchmark),
+    ("byte-level BPE encoding and decoding", token_ids),
+]
+#: Token ids are beyond SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), "stage")
+    return docs
