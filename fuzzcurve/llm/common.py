@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy step works on.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Arrow batches of texts by bytes, not only by rows: what a worker holds then doesn't depend on the texts' length."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` long and ``text`` with nulls as empty texts; nothing else."""
+    bounded_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -39,6 +48,7 @@ def with_rest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Operators that hand whole documents on carry them this way, so that no
     other column of the input can clash with a name of theirs.
     """
+    bounded_batches(docs)
     rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 

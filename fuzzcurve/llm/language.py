@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 BLOCK = 4096
 _ASCII = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
@@ -58,6 +58,7 @@ def fit(labelled: DataFrame, sample_docs: int = 150, sample_chars: int = 4000, d
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.02, level: int = 3) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
     def run(batches):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import read, signed, steps, write_table
+from .common import bounded_batches, read, signed, steps, write_table
 from .marks import rewrite
 from .text import U, _powers, mix, prefix_sums, span_hash, windows, words
 
@@ -96,6 +96,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _measured(docs: DataFrame, host_col: str) -> DataFrame:
+    bounded_batches(docs)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col in docs.columns else F.lit("")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

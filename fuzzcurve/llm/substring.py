@@ -30,7 +30,7 @@ from .marks import rewrite
 from .text import mix, windows, word_hashes, words
 
 #: Candidate rows that a task holds for its own comparison.
-HELD = 1_000_000
+HELD = 500_000
 
 
 def _window_hashes(k: int):
