@@ -56,7 +56,7 @@ def fit(labelled: DataFrame, sample_docs: int = 150, sample_chars: int = 4000, d
     return {lang: b" ".join(texts)[:dict_bytes] for lang, texts in out.items() if any(texts)}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.02, level: int = 3) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.02, level: int = 6) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of ``docs`` (doc_id, text)."""
     bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
