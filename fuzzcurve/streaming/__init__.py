@@ -1,0 +1,17 @@
+"""Streaming use of stateless operators.
+
+The reference has no streams. Memberships are a projection from literal
+knots, so they run on a streaming table as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.fuzzy import Knots, fuzzify
+
+
+def fuzzify_stream(stream: DataFrame, knots: Knots) -> DataFrame:
+    if not stream.isStreaming:
+        raise ValueError("not a streaming table")
+    return fuzzify(stream, knots)
