@@ -29,20 +29,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeated = kept.join(twice, "doc_id", "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x"))).alias("m")).select("m.x.*")
+    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words of 13-word windows that an earlier document has; texts of which nothing stays go."""
-    out = substring.substring_dedup(docs)
-    return out.where("n_removed = 0 or n_removed < n_words").select(*docs.columns)
+    return substring.substring_filter(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    out = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
-    return out.where("not contaminated").select(*docs.columns)
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

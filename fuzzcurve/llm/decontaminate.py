@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import id_text, read, signed, steps, write_table
+from .common import from_rest, id_text, read, signed, steps, write_table
 from .jaccard import _xxhash
 from .marks import rewrite
 from .text import U, Words, mix, word_hashes, words
@@ -122,9 +122,7 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.bool_()), pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.int64())], ["rest", "contaminated", "items", "overlap_words"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
-    """``docs``, then contaminated (boolean), items (the item_ids it has) and overlap_words (long, of the best stretch)."""
-    docs = docs.drop("contaminated", "items", "overlap_words")
+def _judged(docs: DataFrame, benchmark: DataFrame, masks) -> DataFrame:
     texts = id_text(docs).where("doc_id is not null")
     own = write_table(_item_seeds(id_text(benchmark, "item_id").where("doc_id is not null"), masks), "seeds")
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(own, "h", BITS))
@@ -133,6 +131,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> Da
     return rewrite(docs, write_table(marks, "hits"), _verify, "contaminated boolean, items array<long>, overlap_words long")
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+    """``docs``, then contaminated (boolean), items (the item_ids it has) and overlap_words (long, of the best stretch), which replace columns of these names."""
+    new, out = ("contaminated", "items", "overlap_words"), _judged(docs, benchmark, masks)
+    return out.select(*from_rest(out, [c for c in docs.columns if c not in new]), *new)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+    """The columns of ``docs``, for documents without a benchmark passage."""
+    out = _judged(docs, benchmark, masks).where("not contaminated")
+    return out.select(*from_rest(out, docs.columns))
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return find_contamination(docs, read(spark, sf_dir, "benchmark")).drop("text")

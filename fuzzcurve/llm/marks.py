@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import sketch
-from .common import from_rest, with_rest
+from .common import with_rest
 
 
 def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> DataFrame:
     """Apply ``run`` to every document of ``docs``, with its row of ``marks`` (doc_id and arrays) where there is one.
 
     ``run`` takes Arrow batches of (rest, text, the arrays of ``marks``) and
-    yields (rest, the ``fields``). A bitmap of fixed size over the marked ids
-    keeps texts without marks out of the join. The result has the columns of
-    ``docs``, then ``fields``.
+    yields (rest, the ``fields``), which is also the result; ``rest`` holds the
+    columns of ``docs`` (see ``from_rest``). A bitmap of fixed size over the
+    marked ids keeps texts without marks out of the join.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(marks, "doc_id"))
     whole = with_rest(docs)
@@ -39,4 +39,4 @@ def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> Da
     shape = f"rest {rest}, {fields}"
     clean = placed.mapInArrow(of(False), form).select("rest", "text").mapInArrow(run, shape)
     hit = placed.mapInArrow(of(True), form).join(marks, "doc_id", "left").select("rest", "text", *arrays).mapInArrow(run, shape)
-    return clean.unionByName(hit).select(*from_rest(whole, docs.columns), *[f.split()[0] for f in fields.split(", ")])
+    return clean.unionByName(hit)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, read, signed, steps, write_table
+from .common import bounded_batches, from_rest, read, signed, steps, write_table
 from .marks import rewrite
 from .text import U, _powers, mix, prefix_sums, span_hash, windows, words
 
@@ -151,7 +151,8 @@ def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     marked = report.where("doc_id is not null and (not kept or removed_lines is not null)")
     marks = marked.groupBy("doc_id").agg(F.flatten(F.collect_set(F.coalesce("removed_lines", F.array().cast("array<int>")))).alias("lines"), F.max("kept").alias("kept"))
     out = rewrite(docs, write_table(marks, "rejected"), _without_lines, "cleaned string, ok boolean")
-    return out.where("ok").withColumn("text", F.col("cleaned")).select(*docs.columns)
+    out = out.where("ok")
+    return out.select(*from_rest(out, docs.columns, "cleaned"))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import batch, id_text, read, signed, steps, write_table
+from .common import batch, from_rest, id_text, read, signed, steps, write_table
 from .marks import rewrite
 from .text import mix, windows, word_hashes, words
 
@@ -156,11 +156,20 @@ def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     return write_table(out.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "repeats")
 
 
+def _deduped(docs: DataFrame, k: int) -> DataFrame:
+    return rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long")
+
+
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
-    """``docs`` with the repeated words cut out of ``text``, plus n_words and n_removed (long, of the input)."""
-    docs = docs.drop("kept", "n_words", "n_removed")
-    out = rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long")
-    return out.withColumn("text", F.col("kept")).drop("kept")
+    """``docs`` with the repeated words cut out of ``text``, then n_words and n_removed (long, of the input), which replace columns of these names."""
+    new, out = ("n_words", "n_removed"), _deduped(docs, k)
+    return out.select(*from_rest(out, [c for c in docs.columns if c not in new], "kept"), *new)
+
+
+def substring_filter(docs: DataFrame, k: int = 13) -> DataFrame:
+    """The columns of ``docs``, repeated words cut out of ``text``; a text of which nothing stays goes."""
+    out = _deduped(docs, k).where("n_removed = 0 or n_removed < n_words")
+    return out.select(*from_rest(out, docs.columns, "kept"))
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import id_text, read, signed, steps, write_table
+from .common import from_rest, id_text, read, signed, steps, write_table
 from .marks import rewrite
 from .text import U, mix, prefix_sums, span_hash
 
@@ -82,10 +82,14 @@ def _contexts(texts: DataFrame, bitmap, length: int) -> DataFrame:
             order = np.lexsort((start, doc, key))
             new = np.ones(len(order), bool)
             new[1:] = key[order][1:] != key[order][:-1]
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             own = np.zeros(len(order), bool)
             own[order[new]] = True
+            stays = np.zeros(len(order), bool)  # a repeated row is the same place, not a copy
+            stays[order] = new | (doc[order] != doc[lead]) | (start[order] != start[lead])
             g = np.where(own, g, mix(doc.view(U) ^ mix(start.astype(U))))
-            return pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([c if o else None for c, o in zip(raw, own)], pa.binary())], ["g", "doc_id", "start", "n", "context"])
+            out = pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([c if o else None for c, o in zip(raw, own)], pa.binary())], ["g", "doc_id", "start", "n", "context"])
+            return out.filter(pa.array(stays))
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -242,7 +246,7 @@ def _lost(contexts: DataFrame, length: int) -> DataFrame:
 
     def scan(batches):
         groups, suffixes, last, lost = [], 0, None, []
-        seen: dict[bytes, None] = {}
+        seen: dict[bytes, tuple] = {}
         current: list = []
 
         def close():
@@ -279,11 +283,11 @@ def _lost(contexts: DataFrame, length: int) -> DataFrame:
                     last = g
                     if suffixes >= SUFFIXES:
                         yield from send()
-                if raw in seen:
-                    lost.append((doc, start, n))
-                else:
-                    seen[raw] = None
+                if raw not in seen:
+                    seen[raw] = (doc, start)
                     current.append((doc, start, n, raw))
+                elif seen[raw] != (doc, start):
+                    lost.append((doc, start, n))
             if len(lost) > 200_000:
                 yield from send()
         close()
@@ -320,14 +324,15 @@ def _remove(length: int):
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``docs``, then kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (long)."""
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    """``docs``, then kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (long), which replace columns of these names."""
+    new = ("kept", "n_bytes", "n_removed", "n_spans")
     texts = id_text(docs).where("doc_id is not null")
     bits, _ = sketch.bits_for(sketch.text_bytes(texts) // 30)
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, lambda data, offsets: anchors(data, offsets, length)[0], bits))
     lost = _lost(_contexts(texts, bitmap, length), length)
     marks = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc_id", F.col("x.start").alias("starts"), F.col("x.n").alias("runs"))
-    return rewrite(docs, write_table(marks, "lost"), _remove(length), "kept binary, n_bytes long, n_removed long, n_spans long")
+    out = rewrite(docs, write_table(marks, "lost"), _remove(length), "kept binary, n_bytes long, n_removed long, n_spans long")
+    return out.select(*from_rest(out, [c for c in docs.columns if c not in new]), *new)
 
 
 def op8_suffix(spark, sf_dir: str) -> DataFrame:
