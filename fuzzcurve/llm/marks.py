@@ -37,6 +37,7 @@ def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> Da
 
     placed, form = whole.select("doc_id", "text", "rest", sketch.bitmap_places("doc_id")), f"doc_id long, text string, rest {rest}"
     shape = f"rest {rest}, {fields}"
-    clean = placed.mapInArrow(of(False), form).select("rest", "text").mapInArrow(run, shape)
+    # one function, so that a task needs one worker
+    clean = placed.mapInArrow(lambda batches: run(b.select(["rest", "text"]) for b in of(False)(batches)), shape)
     hit = placed.mapInArrow(of(True), form).join(marks, "doc_id", "left").select("rest", "text", *arrays).mapInArrow(run, shape)
     return clean.unionByName(hit)
