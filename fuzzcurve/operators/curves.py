@@ -15,17 +15,22 @@ from ..functions.scalar import interpolate, min_max, over_max
 from .rank import distributed_rank
 
 
-def collapse_times(df: DataFrame) -> DataFrame:
-    """Mean value of each curve and time, so that times strictly increase."""
-    return df.where("t is not null and r is not null and not isnan(t) and not isnan(r)").repartition("curve_id").groupBy("curve_id", "t").agg(F.avg("r").alias("r"))
+def collapse_times(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """Mean value of each curve and time, so that times strictly increase.
+
+    Rows are dealt by curve first, which later windows and aggregates reuse;
+    ``dealt`` says that the plan has done so already.
+    """
+    own = df.where("t is not null and r is not null and not isnan(t) and not isnan(r)")
+    return (own if dealt else own.repartition("curve_id")).groupBy("curve_id", "t").agg(F.avg("r").alias("r"))
 
 
-def segments(df: DataFrame) -> DataFrame:
+def segments(df: DataFrame, dealt: bool = False) -> DataFrame:
     """Collapsed points with the neighbours (pt, pr, nt, nr), the curve's tmin and tmax, and x = t / tmax."""
     by = Window.partitionBy("curve_id")
     order = by.orderBy("t")
     near = {f"{p}{c}": f(c).over(order) for p, f in (("p", F.lag), ("n", F.lead)) for c in ("t", "r")}
-    out = collapse_times(df).withColumns(near | {"tmin": F.min("t").over(by), "tmax": F.max("t").over(by)})
+    out = collapse_times(df, dealt).withColumns(near | {"tmin": F.min("t").over(by), "tmax": F.max("t").over(by)})
     return out.withColumn("x", over_max(F.col("t"), F.col("tmax")))
 
 
@@ -50,20 +55,20 @@ def summarise(segs: DataFrame, taus: Sequence[float] = (1.0, 2.0, 3.0), level: f
     return segs.groupBy("curve_id").agg(F.count("*").alias("n_points"), F.max("t").alias("duration"), F.max_by("r", "t").alias("r_final"), F.max("r").alias("r_max"), _auc().alias("auc_norm"), *at, _t_half(level).alias("t_half"))
 
 
-def curve_summary(df: DataFrame, statics: DataFrame | None = None) -> DataFrame:
+def curve_summary(df: DataFrame, statics: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Descriptors of every curve, with its static row where ``statics`` has one."""
-    out = summarise(segments(df))
+    out = summarise(segments(df, dealt))
     return out if statics is None else out.join(statics, "curve_id", "left")
 
 
-def resample(df: DataFrame, n: int = 50, norm: str = "max") -> DataFrame:
+def resample(df: DataFrame, n: int = 50, norm: str = "max", dealt: bool = False) -> DataFrame:
     """(curve_id, k, gx, y): each curve with a duration at ``n`` even points of normalised time.
 
     A segment emits the grid points that fall into it, so there is neither a
     join nor a user function; the ends are held left and right. ``norm`` is
     'max' (t / tmax) or 'minmax'.
     """
-    segs = segments(df).where("tmax > 0" if norm == "max" else "tmax > tmin")
+    segs = segments(df, dealt).where("tmax > 0" if norm == "max" else "tmax > tmin")
     scale = (lambda c: F.col(c) / F.col("tmax")) if norm == "max" else lambda c: min_max(F.col(c), F.col("tmin"), F.col("tmax"))
     grid = lambda c: F.ceil(scale(c) * (n - 1)).cast("int")
     first = F.when(F.col("pt").isNull(), 0).otherwise(grid("t"))
@@ -79,8 +84,8 @@ def to_wide(resampled: DataFrame) -> DataFrame:
     return resampled.groupBy("curve_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("ys"))
 
 
-def median_curve(df: DataFrame, n: int = 50) -> DataFrame:
-    return resample(df, n).groupBy("k").agg(F.first("gx").alias("gx"), F.percentile("y", 0.5).alias("median"), F.count("*").alias("n"))
+def median_curve(df: DataFrame, n: int = 50, dealt: bool = False) -> DataFrame:
+    return resample(df, n, dealt=dealt).groupBy("k").agg(F.first("gx").alias("gx"), F.percentile("y", 0.5).alias("median"), F.count("*").alias("n"))
 
 
 def dips(df: DataFrame, eps: float = 1e-9, tie: str = "event_id") -> DataFrame:

@@ -54,7 +54,7 @@ SIX = "curve_id, n_points, round(duration, 6) AS duration, round(r_final, 6) AS
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.curve_summary(fixtures.cumulative(spark, sf_dir))
+    return curves.curve_summary(fixtures.cumulative(spark, sf_dir), dealt=True)  # its running sums are dealt by curve
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,12 @@ MAXED, MINMAXED = ("{t} / tmax", "tmax > 0"), ("({t} - tmin) / (tmax - tmin)", "
 
 @query(_grid_sql("E", *MAXED) + " SELECT curve_id, k, round(gx, 6) AS gx, round(y, 6) AS y FROM R", ["E"])
 def resample_grid(spark, sf_dir):
-    return curves.resample(fixtures.cumulative(spark, sf_dir))
+    return curves.resample(fixtures.cumulative(spark, sf_dir), dealt=True)
 
 
 @query(_grid_sql("E", *MAXED) + " SELECT k, round(min(gx), 6) AS gx, round(quantile_cont(y, 0.5), 6) AS median, count(*) AS n FROM R GROUP BY k", ["E"])
 def median_curve(spark, sf_dir):
-    return curves.median_curve(fixtures.cumulative(spark, sf_dir))
+    return curves.median_curve(fixtures.cumulative(spark, sf_dir), dealt=True)
 
 
 @query(_grid_sql("O", *MINMAXED) + " SELECT curve_id, k, round(gx, 6) AS gx, round(y, 6) AS y FROM R", ["O"])
@@ -122,7 +122,7 @@ def minmax_resample(spark, sf_dir):
 
 @query(_grid_sql("E", *MAXED) + " SELECT curve_id, CAST(count(*) AS INTEGER) AS length, string_agg(CAST(CAST(round(y * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS ys FROM R GROUP BY curve_id", ["E"])
 def target_arrays(spark, sf_dir):
-    wide = curves.to_wide(curves.resample(fixtures.cumulative(spark, sf_dir)))
+    wide = curves.to_wide(curves.resample(fixtures.cumulative(spark, sf_dir), dealt=True))
     return wide.select("curve_id", F.size("ys").alias("length"), F.array_join(F.transform("ys", lambda y: F.round(y * 1000).cast("long").cast("string")), ",").alias("ys"))
 
 
@@ -503,7 +503,7 @@ CURVE_METRICS = _grid_sql("E", *MAXED) + f", Y AS (SELECT curve_id, CASE WHEN {A
 
 @query(f"{CURVE_METRICS} SELECT CAST(auc_class AS VARCHAR) AS subgroup, {REGRESSION} FROM X GROUP BY auc_class UNION ALL SELECT 'all', {REGRESSION} FROM X", ["E"])
 def curve_metrics(spark, sf_dir):
-    points = curves.resample(fixtures.cumulative(spark, sf_dir)).select("curve_id", "y", F.col("gx").alias("p"))
+    points = curves.resample(fixtures.cumulative(spark, sf_dir), dealt=True).select("curve_id", "y", F.col("gx").alias("p"))
     rows = points.join(prep.auc_class(_summary(spark, sf_dir)).select("curve_id", "auc_class"), "curve_id")
     by = metrics.regression_metrics(rows, by=["auc_class"])
     return by.select(F.col("auc_class").cast("string").alias("subgroup"), *by.columns[1:]).unionByName(metrics.regression_metrics(rows).withColumn("subgroup", F.lit("all")))
@@ -542,7 +542,7 @@ def fit_classifier(spark, sf_dir):
 
 @query()
 def fit_curves(spark, sf_dir):
-    points = curves.resample(fixtures.cumulative(spark, sf_dir), 10).join(_modelled(spark, sf_dir).select("curve_id", "fold", *MODELLED), "curve_id").cache()
+    points = curves.resample(fixtures.cumulative(spark, sf_dir), 10, dealt=True).join(_modelled(spark, sf_dir).select("curve_id", "fold", *MODELLED), "curve_id").cache()
     train, test, out = points.where("fold <> 0"), points.where("fold = 0"), None
     for with_time in (True, False):
         features = [*MODELLED, *(["gx"] if with_time else [])]

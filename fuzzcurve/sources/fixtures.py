@@ -12,15 +12,17 @@ ORDER_SCALE = 499_979
 
 
 def _days(column: str, since: str):
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{since} 00:00:00', cast({column} AS timestamp_ntz))") / _DAY
+    """Days since midnight of ``since``, from the fields of a zoneless time, so that no session zone matters."""
+    t = f"cast({column} AS timestamp_ntz)"
+    return F.expr(f"datediff({t}, DATE '{since}') * 86400000000L + hour({t}) * 3600000000L + minute({t}) * 60000000L + cast(extract(SECOND FROM {t}) * 1000000 AS bigint)") / _DAY
 
 
 def cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture E: each user's running share of value; monotone curves."""
-    own = Window.partitionBy("user_id")
+    own = Window.partitionBy("curve_id")
     run = own.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = load_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return e.select(F.col("user_id").alias("curve_id"), "event_id", _days("ts", "2024-01-01").alias("t"), (F.sum("value").over(run) / F.sum("value").over(own)).alias("r"))
+    e = load_table(spark, sf_dir, "events").select(F.col("user_id").alias("curve_id"), "ts", "event_id", "value")
+    return e.select("curve_id", "event_id", _days("ts", "2024-01-01").alias("t"), (F.sum("value").over(run) / F.sum("value").over(own)).alias("r"))
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
