@@ -80,7 +80,9 @@ def best_fit_decreasing(sizes: np.ndarray, most: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, row_len: int = ROW, end_id: int = 50256, ranks: bytes | None = None) -> DataFrame:
-    """Packed rows of the encoded texts of ``docs`` (doc_id, text)."""
+    """Packed rows of the encoded texts of ``docs`` (doc_id, text); ``row_len`` is a multiple of 8."""
+    if row_len < 8 or row_len % 8:
+        raise ValueError("row_len must be a multiple of 8")
     raw = docs.sparkSession.sparkContext.broadcast(ranks or rank_file())
 
     def run(batches):
@@ -132,7 +134,7 @@ def unpack(packed: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                width = len(r["ids"]) * 1 // (len(r["position_resets"]) * 8) or 1
+                width = len(r["ids"]) // (len(r["position_resets"]) * 8)
                 for k, (doc, piece) in enumerate(zip(r["doc_ids"], r["pieces"])):
                     out.append((doc, piece, np.frombuffer(r["ids"], f"<u{width}")[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].astype(np.int32)))
             if out:
