@@ -8,16 +8,16 @@ component of each document.
    and a few min-hashes. Documents with one set are one class; only their
    smallest id goes on.
 2. Similar documents are partitioned into groups: those that share a band
-   of min-hashes are compared with the band's first document, exactly, and
-   what links becomes one group. A group of thousands of copies costs one
+   of min-hashes are compared with the band's most central document (the one
+   in the largest bands), exactly, and what links becomes one group. A group of thousands of copies costs one
    comparison a copy, not one a pair.
 3. The token-group matrix: a token row lists the groups whose union has the
    token. It holds, for each document, the prefix of its tokens that decides
-   (any partner shares ``need`` of the first ``n - ceil(n*t) + need`` tokens
-   of a common order), commonest tokens last. A query document's overlap with
-   a group's members is bounded from the rows they share, the sizes and the
-   tokens' places; only what can qualify is opened, and only across groups,
-   since inside one all is linked already.
+   (``prefix_length`` tokens of a common order), commonest tokens last. A
+   query document's overlap with a group's members is at most the rows that
+   they share plus what lies behind the shorter-reaching prefix; only what can
+   still qualify is opened, and only across groups, since inside one all is
+   linked already.
 4. Opened pairs are verified on the whole sets; links and groups together
    give the components. No link is lost: 2 only saves work in 3.
 
@@ -42,8 +42,8 @@ BANDS = 8
 #: A token of at least two of one in ``SAMPLE`` documents is common: it comes late in the order.
 SAMPLE = 16
 COMMON_BITS = 24
-#: Of ``n`` tokens, a partner shares ``max(1, n // NEED)`` in the prefix: more of these cost longer prefixes.
-NEED = 20
+#: A prefix has an ``n // MORE`` tokens more than it must: longer prefixes, sharper bounds.
+MORE = 40
 #: Members of one group that are verified together.
 CHUNK = 32
 
@@ -70,6 +70,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, np.searchsorted(doc, np.arange(len(offsets)))
 
 
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """n - ceil(n * percent / 100) tokens can all miss a partner; at least one more decides."""
+    return n + (-n * percent // 100) + np.maximum(1, n // MORE)
+
+
+def shared_rows(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that two linked sets of these sizes share at least.
+
+    They have ``ceil(percent * (n + m) / (100 + percent))`` tokens in common.
+    Of those up to the end of the prefix that ends first, both prefixes hold
+    all; the rest lie behind it in its own set.
+    """
+    common = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(1, common - np.maximum(n - prefix_length(n, percent), m - prefix_length(m, percent)))
+
+
 def _signatures(texts: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -170,7 +186,7 @@ def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 late = sketch.in_bitmap(common.value, (_xxhash(h) & U((1 << COMMON_BITS) - 1)).astype(np.int64))
                 order = np.lexsort((h, late, doc))
                 h, place = h[order], np.arange(len(h)) - first[doc]
-                keep = place < (n + (-n * percent // 100) + np.maximum(1, n // NEED))[doc]  # -(-x // 1) is the ceiling
+                keep = place < prefix_length(n, percent)[doc]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(h[keep])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), lists], ["doc_id", "n", "tokens"])
@@ -207,7 +223,7 @@ def _opened(matrix: DataFrame, percent: int) -> DataFrame:
             lo, hi = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
             most = np.minimum(place[u], place[v]) + np.minimum(n[u] - place[u], n[v] - place[v])
             ok = (100 * lo >= percent * hi) & (100 * most >= percent * (lo + hi - most))
-            yield np.minimum(doc[u[ok]], doc[v[ok]]), np.maximum(doc[u[ok]], doc[v[ok]]), np.maximum(1, lo[ok] // NEED)
+            yield np.minimum(doc[u[ok]], doc[v[ok]]), np.maximum(doc[u[ok]], doc[v[ok]]), shared_rows(lo[ok], hi[ok], percent)
 
     def scan(batches):
         held = None
@@ -262,7 +278,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     same = write_table(same, "same")
     reps = write_table(full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
     band = reps.select("doc_id", "n", F.posexplode("bands").alias("j", "band"))
-    lead = band.groupBy("j", "band").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("m"), F.count("*").alias("c")).where("c > 1")
+    size = band.groupBy("j", "band").agg(F.count("*").alias("c")).where("c > 1")
+    band = write_table(band.join(size, ["j", "band"]), "bands")
+    central = band.groupBy("doc_id").agg(F.sum("c").alias("central"))
+    lead = band.join(central, "doc_id").groupBy("j", "band").agg(F.max_by(F.struct("doc_id", "n"), F.struct("central", -F.col("doc_id"))).alias("x")).select("j", "band", F.col("x.doc_id").alias("a"), F.col("x.n").alias("m"))
     near = band.join(lead, ["j", "band"]).where(f"a <> doc_id and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("doc_id").alias("b")).distinct()
     stars = _verified(known, near, k, percent)
     grouped = write_table(components(stars), "groups")
