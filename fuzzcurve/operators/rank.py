@@ -37,8 +37,8 @@ def distributed_rank(df: DataFrame, value: str, key: str) -> tuple[DataFrame, in
     return own.withColumn("pos", (place - 1 + offset).cast("long")).drop("__bucket"), total
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` (no nulls) within the groups ``by``.
+def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """(by, value, out): the average rank of each distinct ``value`` (no nulls) within the groups ``by``.
 
     Values are counted first, so ties and hot values combine on the map side;
     windows see each distinct value once, in buckets.
@@ -51,5 +51,9 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(*by, "__bucket", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(whole, [*by, "__bucket"]).select(*by, value, (F.col("__offset") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(out))
-    return df.join(ranks, [*by, value])
+    return counts.join(whole, [*by, "__bucket"]).select(*by, value, (F.col("__offset") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(out))
+
+
+def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the average rank of ``value`` within the groups ``by``."""
+    return df.join(rank_table(df, by, value, out), [*by, value])

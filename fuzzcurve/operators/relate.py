@@ -8,17 +8,18 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from .profile import quantile
-from .rank import average_rank
+from .rank import rank_table
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, rho, n) for the upper triangle and the diagonal, over rows where both are known.
 
-    Ranks are averaged over ties and computed in buckets (``average_rank``).
+    Ranks are averaged over ties and computed in buckets (``rank_table``).
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("va"), F.col(f"`{b}`").cast("double").alias("vb")) for a, b in combinations(cols, 2)])
     long = df.select(F.explode(pairs).alias("p")).select("p.*").where("va is not null and vb is not null")
-    ranked = average_rank(average_rank(long, ["a", "b"], "va", "ra"), ["a", "b"], "vb", "rb")
+    # each side's ranks come from the rows themselves, not from the other side's result, which would be computed over again
+    ranked = long.join(rank_table(long, ["a", "b"], "va", "ra"), ["a", "b", "va"]).join(rank_table(long, ["a", "b"], "vb", "rb"), ["a", "b", "vb"])
     upper = ranked.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
     diagonal = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("a"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])).alias("p")).select("p.*").where("v is not null")
     diagonal = diagonal.groupBy("a").agg(F.lit(1.0).alias("rho"), F.count("*").alias("n")).select("a", F.col("a").alias("b"), "rho", "n")
