@@ -172,7 +172,7 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (token, grp, doc_id, n, place): the deciding tokens of each document, with its group."""
+    """Rows (token, grp, size, doc_id, n): the deciding tokens of each document, with its group and the group's size."""
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
     wanted = texts.sparkSession.sparkContext.broadcast(sketch.key_bitmap(members, "doc_id", 26))
 
@@ -192,7 +192,7 @@ def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), lists], ["doc_id", "n", "tokens"])
 
     own = texts.select("doc_id", "text", sketch.bitmap_places("doc_id", 26)).mapInArrow(prefixes, "doc_id long, n int, tokens array<long>")
-    return own.join(members, "doc_id").select("grp", "doc_id", "n", F.posexplode("tokens").alias("place", "token"))
+    return own.join(members.select("doc_id", "grp", "size"), "doc_id").select("grp", "size", "doc_id", "n", F.explode("tokens").alias("token"))
 
 
 def _xxhash(h: np.ndarray) -> np.ndarray:
@@ -209,21 +209,31 @@ def _xxhash(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _opened(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that share enough token rows to qualify."""
+def least_shared(n: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """``shared_rows`` with any size between ``low`` and ``high``: it is least at one of the ends, up to rounding by one."""
+    return np.maximum(1, np.minimum(shared_rows(n, low, percent), shared_rows(n, high, percent)) - 1)
 
-    def pairs_of(doc, grp, n, place):
-        """Blocks of pairs of one token's row."""
+
+def _opened(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): query documents and the members of other groups whose union they share enough rows with.
+
+    Of two groups the smaller one asks, in every row alike (ties by id), so a
+    row of many documents in few groups gives few questions, not all pairs.
+    """
+
+    def questions(grp, size, doc, n):
+        order = np.lexsort((grp, size))
+        grp, doc, n = grp[order], doc[order], n[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, (grp[1:] != grp[:-1]) | (size[order][1:] != size[order][:-1])))
+        of = np.cumsum(np.isin(np.arange(len(grp)), heads)) - 1
+        low, high = np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads)
         for i in range(0, len(doc), 256):
-            q = slice(i, i + 256)
-            x, y = np.triu_indices(len(doc[q]), 1, len(doc) - i)
-            u, v = x + i, y + i
-            ok = grp[u] != grp[v]
-            u, v = u[ok], v[ok]
-            lo, hi = np.minimum(n[u], n[v]), np.maximum(n[u], n[v])
-            most = np.minimum(place[u], place[v]) + np.minimum(n[u] - place[u], n[v] - place[v])
-            ok = (100 * lo >= percent * hi) & (100 * most >= percent * (lo + hi - most))
-            yield np.minimum(doc[u[ok]], doc[v[ok]]), np.maximum(doc[u[ok]], doc[v[ok]]), shared_rows(lo[ok], hi[ok], percent)
+            u, g = np.nonzero(np.arange(len(heads))[None, :] > of[i : i + 256, None])
+            u += i
+            least, most = np.maximum(low[g], -(-percent * n[u] // 100)), np.minimum(high[g], 100 * n[u] // percent)
+            ok = least <= most
+            u, g, least, most = u[ok], g[ok], least[ok], most[ok]
+            yield doc[u], grp[heads[g]], n[u], least_shared(n[u], least, most, percent)
 
     def scan(batches):
         held = None
@@ -241,29 +251,31 @@ def _opened(matrix: DataFrame, percent: int) -> DataFrame:
             yield from runs(held, np.array([0, len(held[0])]))
 
     def runs(cols, cut):
-        _, grp, doc, n, place = cols
-        long = np.flatnonzero(np.diff(cut) > 1)
-        out = []
-        for r in long:
+        _, grp, size, doc, n = cols
+        out, count = [], 0
+        for r in np.flatnonzero(np.diff(cut) > 1):
             s = slice(cut[r], cut[r + 1])
             if (grp[s] != grp[cut[r]]).any():
-                out += [x for x in pairs_of(doc[s], grp[s], n[s].astype(np.int64), place[s].astype(np.int64)) if len(x[0])]
-                if sum(len(x[0]) for x in out) > 500_000:
+                for x in questions(grp[s], size[s], doc[s], n[s]):
+                    out.append(x)
+                    count += len(x[0])
+                if count > 500_000:
                     yield send(out)
-                    out = []
-        if out:
+                    out, count = [], 0
+        if count:
             yield send(out)
 
     def send(out):
-        a, b, need = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((b, a))
-        a, b, need = a[order], b[order], need[order]
-        cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return batch(a=a[cut], b=b[cut], need=need[cut], hits=np.diff(np.append(cut, len(a))))
+        q, grp, n, need = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((need, grp, q))
+        q, grp, n, need = q[order], grp[order], n[order], need[order]
+        cut = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (grp[1:] != grp[:-1])))
+        return batch(q=q[cut], grp=grp[cut], n=n[cut], need=need[cut], hits=np.diff(np.append(cut, len(q))))
 
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = matrix.select("token", "grp", "doc_id", "n", "place").repartition(parts, "token").sortWithinPartitions("token")
-    return rows.mapInArrow(scan, "a long, b long, need long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
+    rows = matrix.select("token", "grp", "size", "doc_id", "n").repartition(parts, "token").sortWithinPartitions("token")
+    asked = rows.mapInArrow(scan, "q long, grp long, n long, need long, hits long").groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"), F.min("n").alias("n")).where("hits >= need")
+    return asked.join(members.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("m")), "grp").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("q").alias("a"), "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -285,9 +297,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     near = band.join(lead, ["j", "band"]).where(f"a <> doc_id and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", F.col("doc_id").alias("b")).distinct()
     stars = _verified(known, near, k, percent)
     grouped = write_table(components(stars), "groups")
-    members = reps.select("doc_id").join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp"))
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
+    placed = grouped.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "size")
+    members = reps.select("doc_id", "n").join(placed, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"))
     members = write_table(members, "members")
-    links = _verified(known, _opened(_matrix(members, known, k, percent), percent), k, percent)
+    links = _verified(known, _opened(_matrix(members, known, k, percent), members, percent), k, percent)
     found = components(links.unionByName(stars).unionByName(same))
     return signatures.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
