@@ -263,6 +263,7 @@ def encode(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
                 ids, first = own.encode(data, offsets)
                 packed = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(first * 4)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(offsets) - 1), packed.cast(pa.binary())], ["rest", "ids"])
+        own._reset()  # an idle worker shouldn't hold a task's words
 
     rest = whole.schema["rest"].dataType.simpleString()
     return whole.mapInArrow(run, f"rest {rest}, ids binary").select(*from_rest(whole, columns), "ids")
