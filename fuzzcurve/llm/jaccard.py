@@ -13,8 +13,10 @@ component of each document.
    comparison a copy, not one a pair.
 3. The token-group matrix: a token row lists the groups whose union has the
    token. It holds, for each document, the prefix of its tokens that decides
-   (``prefix_length`` tokens of a common order), commonest tokens last. A
-   query document's overlap with a group's members is at most the rows that
+   (``prefix_length`` tokens of a common order), by how often a sample has
+   them, commonest tokens last. The row of a token that very many documents
+   have is dealt in cells: a block of its documents asks a block of its
+   groups, so no task holds such a row. A query document's overlap with a group's members is at most the rows that
    they share plus what lies behind the shorter-reaching prefix; only what can
    still qualify is opened, and only across groups, since inside one all is
    linked already.
@@ -39,8 +41,13 @@ from .graph import components
 from .text import U, mix, windows, word_hashes, words
 
 BANDS = 8
-#: A token of at least two of one in ``SAMPLE`` documents is common: it comes late in the order.
+#: Tokens are ordered by the power of two that their count in one of ``SAMPLE`` documents reaches.
 SAMPLE = 16
+#: From this power on (some 4096 documents) the row of a token is dealt in cells of about ``BLOCK`` documents and groups.
+HOT = 8
+BLOCK = 4096
+#: Questions that a task makes at once.
+QUESTIONS = 250_000
 COMMON_BITS = 24
 #: A prefix has an ``n // MORE`` tokens more than it must: longer prefixes, sharper bounds.
 MORE = 40
@@ -157,8 +164,19 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return write_table(dealt.mapInArrow(run, "a long, b long"), "verified")
 
 
-def _common(texts: DataFrame, k: int) -> np.ndarray:
-    """Bitmap of tokens that at least two sampled documents have. It only orders tokens; any content keeps the join exact."""
+def _level_key(h: np.ndarray, level: int) -> np.ndarray:
+    return h ^ U(_level_salt(level) & (2**64 - 1))
+
+
+def _level_salt(level: int) -> int:
+    return (level - 1) * 0x5851F42D4C957F2D % 2**63
+
+
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, bool]:
+    """Bitmap of (token, level) up to the power of two that its count in the sample reaches, and whether any is hot.
+
+    It only orders tokens and deals their rows; any content keeps the join exact.
+    """
 
     def run(batches):
         for b in batches:
@@ -168,31 +186,52 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     tokens = sample.mapInArrow(run, "token long").groupBy("token").count().where("count > 1")
-    return sketch.key_bitmap(tokens, "token", COMMON_BITS)
-
-
-def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (token, grp, size, doc_id, n): the deciding tokens of each document, with its group and the group's size."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts, k))
+    tokens = write_table(tokens.select("token", F.floor(F.log2("count")).cast("int").alias("top")), "common")
+    salts = F.array(*[F.lit(_level_salt(level)) for level in range(1, 33)])
+    keys = tokens.select("token", F.explode(F.slice(salts, F.lit(1), F.col("top"))).alias("salt")).select(F.col("token").bitwiseXOR(F.col("salt")).alias("key"))
+    return sketch.key_bitmap(keys, "key", COMMON_BITS), not tokens.where(F.col("top") >= HOT).isEmpty()
+
+
+def levels(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The power of two that each token's count in the sample reaches; 0 if it is not repeated there."""
+    out, live = np.zeros(len(h), np.int8), np.arange(len(h))
+    for level in range(1, 33):
+        live = live[sketch.in_bitmap(bitmap, (_xxhash(_level_key(h[live], level)) & U((1 << COMMON_BITS) - 1)).astype(np.int64))]
+        if not len(live):
+            break
+        out[live] = level
+    return out
+
+
+def _matrix(members: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (token, grp, size, doc_id, n): the deciding tokens of each document, with its group and the group's size; those of hot tokens apart, if there are any."""
+    bits, any_hot = _common(texts, k)
+    hot_from = HOT
+    common = texts.sparkSession.sparkContext.broadcast(bits)
     wanted = texts.sparkSession.sparkContext.broadcast(sketch.key_bitmap(members, "doc_id", 26))
 
-    def prefixes(batches):
-        for b in batches:
-            b = b.filter(pa.array(sketch.in_bitmap(wanted.value, b.column(2).to_numpy())))
-            for at, data, offsets in steps(b.column(1)):
-                h, first = shingles(data, offsets, k)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(len(n)), n)
-                late = sketch.in_bitmap(common.value, (_xxhash(h) & U((1 << COMMON_BITS) - 1)).astype(np.int64))
-                order = np.lexsort((h, late, doc))
-                h, place = h[order], np.arange(len(h)) - first[doc]
-                keep = place < prefix_length(n, percent)[doc]
-                cut = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(h[keep])))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), lists], ["doc_id", "n", "tokens"])
-
-    own = texts.select("doc_id", "text", sketch.bitmap_places("doc_id", 26)).mapInArrow(prefixes, "doc_id long, n int, tokens array<long>")
-    return own.join(members.select("doc_id", "grp", "size"), "doc_id").select("grp", "size", "doc_id", "n", F.explode("tokens").alias("token"))
+    def prefixes(hot):
+        def run(batches):
+            for b in batches:
+                b = b.filter(pa.array(sketch.in_bitmap(wanted.value, b.column(2).to_numpy())))
+                for at, data, offsets in steps(b.column(1)):
+                    h, first = shingles(data, offsets, k)
+                    n = np.diff(first)
+                    doc = np.repeat(np.arange(len(n)), n)
+                    level = levels(common.value, h)
+                    order = np.lexsort((h, level, doc))
+                    h, level, place = h[order], level[order], np.arange(len(h)) - first[doc]
+                    keep = (place < prefix_length(n, percent)[doc]) & ((level >= hot_from) == hot if any_hot else True)
+                    cut = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))])
+                    lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(h[keep])))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), lists], ["doc_id", "n", "tokens"])
+
+        own = texts.select("doc_id", "text", sketch.bitmap_places("doc_id", 26)).mapInArrow(run, "doc_id long, n int, tokens array<long>")
+        if hot:
+            own = own.where("size(tokens) > 0")
+        return own.join(members.select("doc_id", "grp", "size"), "doc_id").select("grp", "size", "doc_id", "n", F.explode("tokens").alias("token"))
+
+    return prefixes(False), write_table(prefixes(True), "hot") if any_hot else None
 
 
 def _xxhash(h: np.ndarray) -> np.ndarray:
@@ -214,7 +253,19 @@ def least_shared(n: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int)
     return np.maximum(1, np.minimum(shared_rows(n, low, percent), shared_rows(n, high, percent)) - 1)
 
 
-def _opened(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _cells(hot: DataFrame) -> DataFrame:
+    """Rows (token, i, j, side, grp, size, doc_id, low, high): in each cell of a token one block of its documents (side 0) and one of its groups (side 1), so that every document meets every group once."""
+    blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("c"))
+    rows = hot.join(blocks, "token")
+    every = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    own = lambda x: F.pmod(F.xxhash64(x), F.col("c")).cast("int")
+    asks = rows.select("token", own("doc_id").alias("i"), every.alias("j"), F.lit(0).alias("side"), "grp", "size", "doc_id", F.col("n").alias("low"), F.col("n").alias("high"))
+    heads = rows.groupBy("token", "c", "grp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asked = heads.select("token", every.alias("i"), own("grp").alias("j"), F.lit(1).alias("side"), "grp", "size", F.lit(0).cast("long").alias("doc_id"), "low", "high")
+    return asks.unionByName(asked)
+
+
+def _opened(matrix: DataFrame, hot: DataFrame | None, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): query documents and the members of other groups whose union they share enough rows with.
 
     Of two groups the smaller one asks, in every row alike (ties by id), so a
@@ -223,17 +274,52 @@ def _opened(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     def questions(grp, size, doc, n):
         order = np.lexsort((grp, size))
-        grp, doc, n = grp[order], doc[order], n[order].astype(np.int64)
-        heads = np.flatnonzero(np.append(True, (grp[1:] != grp[:-1]) | (size[order][1:] != size[order][:-1])))
-        of = np.cumsum(np.isin(np.arange(len(grp)), heads)) - 1
+        grp, size, doc, n = grp[order], size[order], doc[order], n[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, (grp[1:] != grp[:-1]) | (size[1:] != size[:-1])))
         low, high = np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads)
-        for i in range(0, len(doc), 256):
-            u, g = np.nonzero(np.arange(len(heads))[None, :] > of[i : i + 256, None])
+        yield from ask(grp, size, doc, n, grp[heads], size[heads], low, high)
+
+    def ask(grp, size, doc, n, group, many, low, high):
+        """Each document asks the groups (in order of size, then id) that come after its own."""
+        at = np.lexsort((np.append(group, grp), np.append(many, size)))
+        rank = np.cumsum(at < len(group))  # groups up to each place of the common order
+        after = np.empty(len(at), np.int64)
+        after[at] = rank
+        mine = after[len(group) :]
+        step = max(1, QUESTIONS // len(group))
+        for i in range(0, len(doc), step):
+            u, g = np.nonzero(np.arange(len(group))[None, :] >= mine[i : i + step, None])
             u += i
             least, most = np.maximum(low[g], -(-percent * n[u] // 100)), np.minimum(high[g], 100 * n[u] // percent)
             ok = least <= most
             u, g, least, most = u[ok], g[ok], least[ok], most[ok]
-            yield doc[u], grp[heads[g]], n[u], least_shared(n[u], least, most, percent)
+            if len(u):
+                yield doc[u], group[g], n[u], least_shared(n[u], least, most, percent)
+
+    def cells(batches):
+        held, last = [], None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(9)]
+            cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            for a, z in zip([0, *cut], [*cut, len(cols[0])]):
+                if a == z:
+                    continue
+                cell = tuple(c[a] for c in cols[:3])
+                if cell != last and held:
+                    yield from sent(cell_questions(held))
+                    held = []
+                held.append([c[a:z] for c in cols[3:]])
+                last = cell
+        if held:
+            yield from sent(cell_questions(held))
+
+    def cell_questions(held):
+        side, grp, size, doc, low, high = (np.concatenate(x) for x in zip(*held))
+        asks, asked = side == 0, np.flatnonzero(side)
+        if asks.any() and len(asked):
+            asked = asked[np.lexsort((grp[asked], size[asked]))]
+            low, high = low.astype(np.int64), high.astype(np.int64)
+            yield from ask(grp[asks], size[asks], doc[asks], low[asks], grp[asked], size[asked], low[asked], high[asked])
 
     def scan(batches):
         held = None
@@ -251,17 +337,23 @@ def _opened(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             yield from runs(held, np.array([0, len(held[0])]))
 
     def runs(cols, cut):
+        yield from sent(run_questions(cols, cut))
+
+    def run_questions(cols, cut):
         _, grp, size, doc, n = cols
-        out, count = [], 0
         for r in np.flatnonzero(np.diff(cut) > 1):
             s = slice(cut[r], cut[r + 1])
             if (grp[s] != grp[cut[r]]).any():
-                for x in questions(grp[s], size[s], doc[s], n[s]):
-                    out.append(x)
-                    count += len(x[0])
-                if count > 500_000:
-                    yield send(out)
-                    out, count = [], 0
+                yield from questions(grp[s], size[s], doc[s], n[s])
+
+    def sent(asked):
+        out, count = [], 0
+        for x in asked:
+            out.append(x)
+            count += len(x[0])
+            if count > 500_000:
+                yield send(out)
+                out, count = [], 0
         if count:
             yield send(out)
 
@@ -274,7 +366,11 @@ def _opened(matrix: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = matrix.select("token", "grp", "size", "doc_id", "n").repartition(parts, "token").sortWithinPartitions("token")
-    asked = rows.mapInArrow(scan, "q long, grp long, n long, need long, hits long").groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"), F.min("n").alias("n")).where("hits >= need")
+    asked = rows.mapInArrow(scan, "q long, grp long, n long, need long, hits long")
+    if hot is not None:
+        dealt = _cells(hot).repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+        asked = asked.unionByName(dealt.mapInArrow(cells, "q long, grp long, n long, need long, hits long"))
+    asked = asked.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"), F.min("n").alias("n")).where("hits >= need")
     return asked.join(members.select("grp", F.col("doc_id").alias("b"), F.col("n").alias("m")), "grp").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("q").alias("a"), "b")
 
 
@@ -301,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     placed = grouped.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "size")
     members = reps.select("doc_id", "n").join(placed, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"))
     members = write_table(members, "members")
-    links = _verified(known, _opened(_matrix(members, known, k, percent), members, percent), k, percent)
+    links = _verified(known, _opened(*_matrix(members, known, k, percent), members, percent), k, percent)
     found = components(links.unionByName(stars).unionByName(same))
     return signatures.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

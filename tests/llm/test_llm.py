@@ -131,6 +131,26 @@ def test_jaccard_links_that_no_band_finds(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_hot_tokens(spark, monkeypatch):
+    """Rows of hot tokens are dealt in cells, questions go out in parts, and every link is found."""
+    rng = random.Random(6)
+    shared = [prose(rng, 12) for _ in range(6)]  # texts of shared passages: nearly all shingles are common
+    rows = [(i, " ".join(rng.sample(shared, 5)) + " " + prose(rng, 3)) for i in range(60)]
+    rows += [(100 + i, edited(rng, rows[i][1], 0.01)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("SAMPLE", 1), ("HOT", 3), ("BLOCK", 5), ("QUESTIONS", 7)):
+        monkeypatch.setattr(jaccard, name, value)
+    cells = []
+    real, dealt = jaccard._verified, jaccard._cells
+    calls = []
+    monkeypatch.setattr(jaccard, "_verified", lambda t, p, k, s: real(t, p if calls.append(1) or len(calls) > 1 else p.where("false"), k, s))
+    monkeypatch.setattr(jaccard, "_cells", lambda hot: cells.append(dealt(hot)) or cells[-1])
+    got = jaccard.jaccard_components(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    of = cells[0].groupBy("token", "i", "j").agg(F.count("*").alias("c"), F.sum("side").alias("g")).toPandas()
+    assert of.groupby("token").size().max() > 4 and of["c"].max() <= 40
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
