@@ -12,7 +12,10 @@ Suffixes are dealt so that equal strings meet and each task sorts its own:
 2. An anchor's strings are one stretch of text, its context. A task sends
    each distinct context once, with its earliest place; later copies in the
    task lose all their strings at once. So a passage of a third of all
-   documents sends one row a task.
+   documents sends one row a task. Anchors with very many distinct contexts
+   (told by a sample) are hot: their strings are dealt one by one, by all
+   their bytes, and only those that the sketch holds for repeated. Equal
+   strings have one anchor, so they still meet; no task holds a hot anchor.
 3. Tasks get the contexts by anchor, drop copies of a context likewise, and
    build the suffix array of the rest: only suffixes smaller than their
    successors are sorted directly; bucket scans from the least byte up
@@ -32,12 +35,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
 from .common import from_rest, id_text, read, signed, steps, write_table
+from .jaccard import _xxhash
 from .marks import rewrite
 from .text import U, mix, prefix_sums, span_hash
 
 GRAM = 32
 #: Contexts that a task holds while it drops copies; suffixes of one array.
 HELD, SUFFIXES = 60_000, 600_000
+#: An anchor is hot from so many distinct contexts in one of ``SAMPLE`` documents on (some 4096 in all).
+SAMPLE, HOT = 16, 256
+HOT_BITS = 24
 _FAR = U(2**64 - 1)
 
 
@@ -69,7 +76,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return grams[pick[cut]], first[cut], last, sums
 
 
-def _contexts(texts: DataFrame, bitmap, length: int) -> DataFrame:
+def _hot(texts: DataFrame, length: int) -> np.ndarray:
+    """Bitmap of the hot anchors. Any content keeps the result exact: it only says how an anchor's strings are dealt."""
+
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in steps(b.column(0)):
+                g, first, last, sums = anchors(data, offsets, length)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(signed(span_hash(sums, first, last + length)) if len(g) else np.zeros(0, np.int64))], ["g", "key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    distinct = sample.mapInArrow(run, "g long, key long").distinct()
+    return sketch.key_bitmap(distinct.groupBy("g").count().where(F.col("count") >= HOT), "g", HOT_BITS)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors``, but with one entry for each string of a hot anchor: the string's own hash, and the string as first and last."""
+    g, first, last, sums = anchors(data, offsets, length)
+    is_hot = sketch.in_bitmap(hot, (_xxhash(g) & U((1 << HOT_BITS) - 1)).astype(np.int64))
+    if not is_hot.any():
+        return g, first, last, sums
+    n = np.where(is_hot, last - first + 1, 1)
+    of = np.repeat(np.arange(len(g)), n)
+    at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    to = np.where(is_hot[of], at, last[of])
+    return np.where(is_hot[of], mix(span_hash(sums, at, at + length), 9), g[of]), at, to, sums
+
+
+def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
     """Rows (g, doc_id, start, n, context): n strings from byte ``start``; a null context marks strings that are all lost already."""
 
     def emit(batches):
@@ -87,26 +121,34 @@ def _contexts(texts: DataFrame, bitmap, length: int) -> DataFrame:
             own[order[new]] = True
             stays = np.zeros(len(order), bool)  # a repeated row is the same place, not a copy
             stays[order] = new | (doc[order] != doc[lead]) | (start[order] != start[lead])
-            g = np.where(own, g, mix(doc.view(U) ^ mix(start.astype(U))))
-            out = pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([c if o else None for c, o in zip(raw, own)], pa.binary())], ["g", "doc_id", "start", "n", "context"])
-            return out.filter(pa.array(stays))
+            sent, gone = np.flatnonzero(own), np.flatnonzero(stays & ~own)
+            if len(gone):  # lost strings side by side go as one
+                gone = gone[np.lexsort((start[gone], doc[gone]))]
+                new = np.append(True, (doc[gone][1:] != doc[gone][:-1]) | (start[gone][1:] != start[gone][:-1] + n[gone][:-1]))
+                many = np.add.reduceat(n[gone], np.flatnonzero(new))
+                gone = gone[new]
+            else:
+                many = n[gone]
+            at = np.concatenate([sent, gone])
+            g = np.concatenate([g[sent], mix(doc[gone].view(U) ^ mix(start[gone].astype(U)))])
+            return pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(np.concatenate([n[sent], many]).astype(np.int32)), pa.array([raw[i] for i in sent.tolist()] + [None] * len(gone), pa.binary())], ["g", "doc_id", "start", "n", "context"])
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in steps(b.column(1)):
-                g, first, last, sums = anchors(data, offsets, length)
-                keep = sketch.estimated_repeated(bitmap.value, g)
-                g, first, last = g[keep], first[keep], last[keep]
-                if not len(g):
-                    continue
-                doc = np.searchsorted(offsets, first, "right") - 1
-                key = span_hash(sums, first, last + length)
+                of, starts, ends, sums = pieces(data, offsets, length, hot.value)
+                keep = np.flatnonzero(sketch.estimated_repeated(bitmap.value, of))
                 raw = data.tobytes()
-                held.append((g, key, ids[at + doc].astype(np.int64), first - offsets[doc], last - first + 1, [raw[a:z] for a, z in zip(first.tolist(), (last + length).tolist())]))
-                count += len(g)
-                if count >= HELD:
-                    yield flush()
-                    count = 0
+                for cut in range(0, len(keep), HELD):
+                    own = keep[cut : cut + HELD]
+                    g, first, last = of[own], starts[own], ends[own]
+                    doc = np.searchsorted(offsets, first, "right") - 1
+                    key = span_hash(sums, first, last + length)
+                    held.append((g, key, ids[at + doc].astype(np.int64), first - offsets[doc], last - first + 1, [raw[a:z] for a, z in zip(first.tolist(), (last + length).tolist())]))
+                    count += len(g)
+                    if count >= HELD:
+                        yield flush()
+                        count = 0
         if count:
             yield flush()
 
@@ -328,8 +370,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     new = ("kept", "n_bytes", "n_removed", "n_spans")
     texts = id_text(docs).where("doc_id is not null")
     bits, _ = sketch.bits_for(sketch.text_bytes(texts) // 30)
-    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, lambda data, offsets: anchors(data, offsets, length)[0], bits))
-    lost = _lost(_contexts(texts, bitmap, length), length)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, length))
+    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, lambda data, offsets: pieces(data, offsets, length, hot.value)[0], bits))
+    lost = _lost(_contexts(texts, bitmap, hot, length), length)
     marks = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc_id", F.col("x.start").alias("starts"), F.col("x.n").alias("runs"))
     out = rewrite(docs, write_table(marks, "lost"), _remove(length), "kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(*from_rest(out, [c for c in docs.columns if c not in new]), *new)

@@ -365,6 +365,28 @@ def test_suffix_dedup(corpus, docs, empty):
         assert own == (want[r["doc_id"]] if r["doc_id"] is not None else (len((r["text"] or "").encode()), 0, 0, (r["text"] or "").encode()))
 
 
+def test_suffix_hot_anchors(spark, corpus, docs, monkeypatch):
+    """Strings of anchors with many contexts are dealt by their own bytes: no task gets all contexts of an anchor."""
+    rng = random.Random(8)
+    phrase, passage = "q" + prose(rng, 8)[:50].replace("\n", " "), prose(rng, 30)
+    rows = [(i, prose(rng, 30) + " " + (phrase if i % 2 else passage) + " " + prose(rng, 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("SAMPLE", 1), ("HOT", 5)):
+        monkeypatch.setattr(suffix, name, value)
+    made, real = [], suffix._lost
+    monkeypatch.setattr(suffix, "_lost", lambda contexts, length: made.append(contexts) or real(contexts, length))
+    want = brute_bytes(rows)
+    for r in suffix.suffix_dedup(df).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
+    assert sum(w[1] for w in want.values()) > 100 * 29
+    most = made[0].where("context is not null").groupBy("g").agg(F.countDistinct("context").alias("c")).agg(F.max("c")).first()[0]
+    assert most < 5  # the phrase alone has 30
+    monkeypatch.setattr(suffix, "HOT", 1)  # all strings one by one
+    want = brute_bytes(corpus)
+    for r in suffix.suffix_dedup(docs).where("doc_id is not null").collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
+
+
 # 9
 
 
