@@ -12,9 +12,10 @@ compared with A-Z lower-cased.
    scores best (+1 for an equal word, -3 for another) is the overlap. It
    counts from ``min(13, 80 % of the item's words)`` equal words on.
 
-Items of fewer words than the shortest mask hit by their whole sequence, if
-it has ``shortest`` words at least; shorter ones are not looked for, since
-they would meet clean text. Null texts have no words. Documents without an
+Items of fewer than 15 words also hit by any 4 words in a row: the best
+stretch ends in 4 equal words at least, so none that counts is missed. Items
+of 3 words hit by their whole sequence; shorter ones are not looked for,
+since they would meet clean text. Null texts have no words. Documents without an
 id pass as clean.
 """
 
@@ -32,15 +33,17 @@ from .text import U, Words, mix, word_hashes, words
 
 #: The masks; 1 keeps a word.
 MASKS = ("11010010111", "11101011001", "1011100111", "11111")
+#: Further masks for items of so many words: at least, at most.
+SHORT = {"1111": (4, 14), "111": (3, 3)}
 BITS = 24
 
 
-def seeds(w: Words, h: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window under each mask."""
-    starts, out = [], []
+def seeds(w: Words, h: np.ndarray, masks=MASKS, used=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and mask of each window under each mask (of those whose number is in ``used``, if given)."""
+    starts, out, of = [], [], []
     for k, mask in enumerate(masks):
         m = len(h) - len(mask) + 1
-        if m <= 0:
+        if m <= 0 or used is not None and k not in used:
             continue
         acc = np.full(m, U(k + 1))
         for j, bit in enumerate(mask):
@@ -49,11 +52,13 @@ def seeds(w: Words, h: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.ndarray]
         at = np.flatnonzero(w.doc[:m] == w.doc[len(mask) - 1 :])
         starts.append(at)
         out.append(mix(acc[at], 20 + k))
-    return (np.concatenate(starts), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, U))
+        of.append(np.full(len(at), k))
+    return (np.concatenate(starts), np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
 
 
 def _item_seeds(items: DataFrame, masks) -> DataFrame:
-    """(h, item_id, at, words): every seed of every item, with the item's word hashes."""
+    """(h, item_id, at, words, mask): every seed of every item, with the item's word hashes; the masks of ``SHORT`` follow ``masks``."""
+    low, high = np.array([(0, 2**31)] * len(masks) + list(SHORT.values())).T
 
     def run(batches):
         for b in batches:
@@ -61,21 +66,24 @@ def _item_seeds(items: DataFrame, masks) -> DataFrame:
             for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
                 h = word_hashes(data, w, lower=True)
-                first, seed = seeds(w, h, masks)
+                first, seed, mask = seeds(w, h, (*masks, *SHORT))
+                size = np.diff(w.first)[w.doc[first]]
+                keep = (size >= low[mask]) & (size <= high[mask])
+                first, seed, mask = first[keep], seed[keep], mask[keep]
                 doc = w.doc[first]
                 own = [h[a:z].tobytes() for a, z in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(ids[at + doc].astype(np.int64)), pa.array((first - w.first[doc]).astype(np.int32)), pa.array([own[d] for d in doc], pa.binary())], ["h", "item_id", "at", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(ids[at + doc].astype(np.int64)), pa.array((first - w.first[doc]).astype(np.int32)), pa.array([own[d] for d in doc], pa.binary()), pa.array(mask.astype(np.int32))], ["h", "item_id", "at", "words", "mask"])
 
-    return items.mapInArrow(run, "h long, item_id long, at int, words binary")
+    return items.mapInArrow(run, "h long, item_id long, at int, words binary, mask int")
 
 
-def _document_seeds(texts: DataFrame, bitmap, masks) -> DataFrame:
+def _document_seeds(texts: DataFrame, bitmap, masks, used) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
-                first, seed = seeds(w, word_hashes(data, w, lower=True), masks)
+                first, seed, _ = seeds(w, word_hashes(data, w, lower=True), masks, used)
                 keep = sketch.in_bitmap(bitmap.value, (_xxhash(seed) & U((1 << BITS) - 1)).astype(np.int64))
                 first, seed = first[keep], seed[keep]
                 doc = w.doc[first]
@@ -126,7 +134,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, masks) -> DataFrame:
     texts = id_text(docs).where("doc_id is not null")
     own = write_table(_item_seeds(id_text(benchmark, "item_id").where("doc_id is not null"), masks), "seeds")
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(own, "h", BITS))
-    hits = _document_seeds(texts, bitmap, masks).join(own.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "words").distinct()
+    used = {r["mask"] for r in own.select("mask").distinct().collect()}
+    hits = _document_seeds(texts, bitmap, (*masks, *SHORT), used).join(own.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "words").distinct()
     marks = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("marks"))
     return rewrite(docs, write_table(marks, "hits"), _verify, "contaminated boolean, items array<long>, overlap_words long")
 

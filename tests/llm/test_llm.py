@@ -283,6 +283,26 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Verbatim from 3 words on, and every case that the rule admits with up to two replaced words."""
+    rng = random.Random(10)
+    items = {n: prose(rng, n).split() for n in range(3, 15)}
+    rows, want = [], {}
+    for n, item in items.items():
+        for x in range(n):
+            for y in range(x, n):
+                own = [f"qq{i}" if i in (x, y) else w for i, w in enumerate(item)]
+                as_numbers = np.array([0 if i in (x, y) else i + 1 for i in range(n)])
+                if decontaminate.overlap(as_numbers, np.arange(1, n + 1), 0) >= min(13, -(-4 * n // 5)):
+                    want[len(rows)] = [n]
+                rows.append((len(rows), prose(rng, 9) + " " + " ".join(own) + " " + prose(rng, 9)))
+        want[len(rows)] = [n]
+        rows.append((len(rows), "before " + " ".join(item).upper() + " after"))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("contaminated").collect()
+    assert {r["doc_id"]: r["items"] for r in got} == want
+
+
 # 7
 
 
