@@ -6,11 +6,10 @@ telling, and gets the language of the smallest sum. The score is how much
 smaller that is than the second; a score below ``margin`` is rejected as too
 narrow (``rejected``; the prediction stays, for a caller to drop).
 
-Dictionaries come from a bounded sample: of at most ``most_languages``
-languages the ``sample_docs`` documents of least hash, ``sample_chars`` of
+Dictionaries come from a bounded sample: of every language the ``sample_docs`` documents of least hash, ``sample_chars`` of
 each, up to ``dict_bytes``. Prediction sees the text alone. A text that is
 null or has no letter is ``und`` with score 0; without any labelled text all
-are ``und``.
+are ``und``. A worker holds ``TOGETHER`` prepared dictionaries at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import bounded_batches, read
 
 BLOCK = 4096
+#: Prepared dictionaries that a worker holds at once.
+TOGETHER = 64
 _ASCII = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
 
 
@@ -41,15 +42,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, sample_docs: int = 150, sample_chars: int = 4000, dict_bytes: int = 100_000, most_languages: int = 64) -> dict[str, bytes]:
+def fit(labelled: DataFrame, sample_docs: int = 150, sample_chars: int = 4000, dict_bytes: int = 100_000) -> dict[str, bytes]:
     """A dictionary for each language from ``labelled`` (doc_id, text, lang); rows without text or language are passed over."""
     own = labelled.where("lang is not null and text is not null")
-    often = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     hashed = own.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     best = Window.partitionBy("lang").orderBy("h", "text")
-    picked = hashed.join(often, "lang", "left_semi").withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample_docs)
+    picked = hashed.withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample_docs)
     out: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["k"])):
+    for r in picked.orderBy("lang", "k").toLocalIterator():
         own_texts = out.setdefault(r["lang"], [])
         if sum(map(len, own_texts)) < dict_bytes:
             own_texts.append(normalise(r["text"]).encode())
@@ -61,22 +61,35 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
-    def run(batches):
+    def prepared(part):
         tools = []
-        for lang, raw in shared.value:
+        for lang, raw in part:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             tools.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
+        return tools
+
+    def run(batches):
+        parts = [shared.value[i : i + TOGETHER] for i in range(0, len(shared.value), TOGETHER)]
+        tools = prepared(parts[0]) if len(parts) == 1 else []
         for b in batches:
             pred, score = [], []
-            for text in b.column(1).to_pylist():
-                if text is None or not tools or not _has_letter(text):
+            texts = b.column(1).to_pylist()
+            judged = [text is not None and bool(parts) and _has_letter(text) for text in texts]
+            sizes = [[] for _ in texts]
+            for part in parts:
+                if len(parts) > 1:
+                    tools = prepared(part)
+                for i, text in enumerate(texts):
+                    if judged[i]:
+                        raw = normalise(text).encode()
+                        blocks = [raw[j : j + BLOCK] for j in range(0, len(raw), BLOCK)]
+                        sizes[i] = sorted(sizes[i] + [(sum(len(t.compress(x)) for x in blocks), lang) for lang, t in tools])[:2]
+            for ok, size in zip(judged, sizes):
+                if not ok:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                raw = normalise(text).encode()
-                blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-                size = sorted((sum(len(t.compress(x)) for x in blocks), lang) for lang, t in tools)
                 pred.append(size[0][1])
                 score.append(1.0 - size[0][0] / size[1][0] if len(size) > 1 else 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

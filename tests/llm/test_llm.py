@@ -266,6 +266,18 @@ def test_language_edges(spark, docs, empty):
     assert [r["lang_pred"] for r in language.identify(edges, {}).collect()] == ["und"] * 4
 
 
+def test_language_beyond_64(spark):
+    """Rare languages have a dictionary too, and predictions are of all of them."""
+    rng = random.Random(12)
+    own = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)] for i in range(70)}
+    text = lambda lang: " ".join(rng.choice(own[lang]) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate([*own, *list(own)[:64]])]
+    dictionaries = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(dictionaries) == set(own)
+    asked = spark.createDataFrame([(i, text(lang)) for i, lang in enumerate(own)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.identify(asked, dictionaries).orderBy("doc_id").collect()] == list(own)
+
+
 # 6
 
 
