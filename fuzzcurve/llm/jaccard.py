@@ -249,8 +249,8 @@ def _xxhash(h: np.ndarray) -> np.ndarray:
 
 
 def least_shared(n: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
-    """``shared_rows`` with any size between ``low`` and ``high``: it is least at one of the ends, up to rounding by one."""
-    return np.maximum(1, np.minimum(shared_rows(n, low, percent), shared_rows(n, high, percent)) - 1)
+    """``shared_rows`` with any size between ``low`` and ``high``: it is least at one of the ends, up to rounding by two."""
+    return np.maximum(1, np.minimum(shared_rows(n, low, percent), shared_rows(n, high, percent)) - 2)
 
 
 def _cells(hot: DataFrame) -> DataFrame:

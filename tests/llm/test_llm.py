@@ -151,6 +151,16 @@ def test_jaccard_hot_tokens(spark, monkeypatch):
     assert of.groupby("token").size().max() > 4 and of["c"].max() <= 40
 
 
+def test_least_shared():
+    """No size between the ends needs fewer rows than the bound."""
+    for n in range(1, 301):
+        m = np.arange(-(-80 * n // 100), 100 * n // 80 + 1)
+        need = jaccard.shared_rows(np.full(len(m), n), m, 80)
+        for i, low in enumerate(m):
+            inner = np.minimum.accumulate(need[i:])
+            assert (jaccard.least_shared(np.full(len(inner), n), np.full(len(inner), low), m[i:], 80) <= inner).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
