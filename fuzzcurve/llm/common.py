@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,46 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
     The folder is the one named by ``spark.checkpoint.dir``; the table cuts
     the lineage, survives lost executors and is read with column pruning.
+    Tables that no result reads any more go by ``drop_tables``; those that a
+    returned DataFrame reads stay until the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables of ``write_table``."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose worker gives memory back at the end of a task.
+
+    Workers are reused and idle between tasks; what they keep adds up over
+    the stages of a job.
+    """
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return df.mapInArrow(tidy, schema)
 
 
 def bounded_batches(df: DataFrame) -> None:

@@ -6,38 +6,49 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import sketch
-from .common import with_rest
+from .common import mapped, with_rest
 
 
-def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> DataFrame:
-    """Apply ``run`` to every document of ``docs``, with its row of ``marks`` (doc_id and arrays) where there is one.
+def text_key() -> Column:
+    """A key of columns ``doc_id`` and ``text``, for marks that belong to one of several texts of an id."""
+    return F.xxhash64("doc_id", "text")
+
 
-    ``run`` takes Arrow batches of (rest, text, the arrays of ``marks``) and
-    yields (rest, the ``fields``), which is also the result; ``rest`` holds the
-    columns of ``docs`` (see ``from_rest``). A bitmap of fixed size over the
-    marked ids keeps texts without marks out of the join.
+def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> DataFrame:
+    """Apply ``run`` to every document of ``docs``, with its row of ``marks`` where there is one.
+
+    ``marks`` has arrays by doc_id, or by doc_id and ``key`` (see
+    ``text_key``), which also reaches documents without an id. ``run`` takes
+    Arrow batches of (rest, text, the arrays of ``marks``) and yields (rest,
+    the ``fields``), which is also the result; ``rest`` holds the columns of
+    ``docs`` (see ``from_rest``). A bitmap of fixed size over the marked
+    documents keeps texts without marks out of the join.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(marks, "doc_id"))
+    by_text = "key" in marks.columns
+    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(marks, "key" if by_text else "doc_id"))
     whole = with_rest(docs)
     rest = whole.schema["rest"].dataType.simpleString()
-    arrays = [c for c in marks.columns if c != "doc_id"]
+    arrays = [c for c in marks.columns if c not in ("doc_id", "key")]
+    whole = whole.withColumn("key", text_key() if by_text else F.col("doc_id"))
 
     def of(hit: bool):
         def pick(batches):
             for b in batches:
-                own = sketch.in_bitmap(bitmap.value, b.column(3).to_numpy()) & ~np.asarray(b.column(0).is_null())
-                got = b.filter(pa.array(own == hit)).select(["doc_id", "text", "rest"])
+                own = sketch.in_bitmap(bitmap.value, b.column(4).fill_null(0).to_numpy()) & ~np.asarray(b.column(3).is_null())
+                got = b.filter(pa.array(own == hit)).select(["doc_id", "text", "rest", "key"])
                 if got.num_rows:
                     yield got
 
         return pick
 
-    placed, form = whole.select("doc_id", "text", "rest", sketch.bitmap_places("doc_id")), f"doc_id long, text string, rest {rest}"
+    placed, form = whole.select("doc_id", "text", "rest", "key", sketch.bitmap_places("key")), f"doc_id long, text string, rest {rest}, key long"
     shape = f"rest {rest}, {fields}"
     # one function, so that a task needs one worker
-    clean = placed.mapInArrow(lambda batches: run(b.select(["rest", "text"]) for b in of(False)(batches)), shape)
-    hit = placed.mapInArrow(of(True), form).join(marks, "doc_id", "left").select("rest", "text", *arrays).mapInArrow(run, shape)
+    clean = mapped(placed, lambda batches: run(b.select(["rest", "text"]) for b in of(False)(batches)), shape)
+    own = mapped(placed, of(True), form)
+    on = own["doc_id"].eqNullSafe(marks["doc_id"]) & (own["key"] == marks["key"]) if by_text else own["doc_id"] == marks["doc_id"]
+    hit = mapped(own.join(marks, on, "left").select("rest", "text", *arrays), run, shape)
     return clean.unionByName(hit)

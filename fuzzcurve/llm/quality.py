@@ -2,16 +2,19 @@
 
 Base rules look at one text: its words, symbols, repeated lines and repeated
 3-word windows. Then lines are compared across documents: normalised (A-Z
-lower-cased, words joined by one space) and hashed, counted by distinct
-texts of a host (so exact copies count once). A line is above the limit if
-more than ``max(min_docs, share * texts of the host)`` texts have it; it is
-removed from every document but the one with the smallest id. A document is
-depleted, and rejected, if less than half of its words remain.
+lower-cased, words joined by one space), hashed to 128 bits, and counted by
+distinct documents of a host. A line is above the limit if more than
+``max(min_docs, share * documents of the host)`` documents have it, or more
+than ``most_docs``. It is removed from every document, but for the one with
+the smallest id (``keep_first``): where thousands of copies of one clean text
+stand in a host, its lines stay once. A document is depleted, and rejected,
+if less than half of its words remain.
 
 Counting combines on the map side, so a line of a third of all documents
 sends one row a task. Null texts have no words and fail the base rules; a
-null host is the host ''. Documents without an id are judged, but are never
-the first to have a line. Repeated rows are judged alike.
+null host is the host ''. Each row without an id counts as a document and is
+judged, but is never the first to have a line. Rows that share an id count
+as one document; each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -20,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, from_rest, read, signed, steps, write_table
-from .marks import rewrite
-from .text import U, _powers, mix, prefix_sums, span_hash, windows, words
+from .common import bounded_batches, from_rest, mapped, read, signed, steps, write_table
+from .marks import rewrite, text_key
+from .text import U, Words, lowered, mix, span_hashes, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_ODD = 0xC2B2AE3D27D4EB4F
 
 
 def _line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,40 +45,50 @@ def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _line_hashes(low: list[np.ndarray], first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The hash of each line in both lanes, from the hashes of its words (``count`` of them from ``first`` on): each is mixed with its place in the line."""
+    if not len(first):
+        return [np.zeros(0, U)] * 2
+    place = (np.arange(len(low[0])) - np.repeat(first, count)).astype(U)
+    return [mix(np.add.reduceat(mix(h ^ mix(place, 60 + lane), 62 + lane), first) ^ count.astype(U), 64 + lane) for lane, h in enumerate(low)]
+
+
+def _repeated_words(w: Words, lanes: list[np.ndarray]) -> np.ndarray:
+    """True for words in 3-word windows that their text has twice or more."""
+    at, h = windows(w, lanes[0], 3)
+    h2 = windows(w, lanes[1], 3, lane=1)[1]
+    doc = w.doc[at]
+    order = np.lexsort((h2, h, doc))
+    same = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    cover = np.zeros(len(w.starts) + 3, np.int32)
+    np.add.at(cover, at[twice], 1)
+    np.add.at(cover, at[twice] + 3, -1)
+    return np.cumsum(cover)[: len(w.starts)] > 0
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of each text, and of its lines that have a word: number, hash of the normalised line, words."""
     n_texts = len(offsets) - 1
     w = words(data, offsets)
-    sums, lower = prefix_sums(data), prefix_sums(data, lower=True)
-    plain = span_hash(sums, w.starts, w.ends)
+    repeated = _repeated_words(w, span_hashes(data, w.starts, w.ends, 2))
     inside = np.zeros(len(data) + 1, np.int8)
     inside[w.starts] += 1
     inside[w.ends] -= 1
     inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
 
-    at, h = windows(w, plain, 3)
-    order = np.lexsort((h, w.doc[at]))
-    same = (h[order][1:] == h[order][:-1]) & (w.doc[at][order][1:] == w.doc[at][order][:-1])
-    twice = np.zeros(len(at), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    cover = np.zeros(len(plain) + 3, np.int32)
-    np.add.at(cover, at[twice], 1)
-    np.add.at(cover, at[twice] + 3, -1)
-    repeated = np.cumsum(cover)[: len(plain)] > 0
-
     starts, ends, first = _line_spans(data, offsets)
     doc = np.repeat(np.arange(n_texts), np.diff(first))
     a, z = np.searchsorted(w.starts, starts), np.searchsorted(w.starts, ends)
     full = np.flatnonzero(z > a)
-    raw = span_hash(sums, starts[full], ends[full])
-    order = np.lexsort((np.arange(len(full)), raw, doc[full]))
+    raw, raw2 = span_hashes(data, starts[full], ends[full], 2)
+    of = doc[full]
+    order = np.lexsort((raw2, raw, of))
     dup = np.zeros(len(full), bool)
-    dup[order[1:]] = (raw[order][1:] == raw[order][:-1]) & (doc[full][order][1:] == doc[full][order][:-1])
-    low = span_hash(lower, w.starts, w.ends)
-    chain = np.zeros(len(low) + 1, U)
-    np.cumsum(low * _powers(_ODD, len(low)), out=chain[1:])
-    norm = mix((chain[z[full]] - chain[a[full]]) * _powers(pow(_ODD, -1, 2**64), len(low) + 1)[a[full]] + (z - a)[full].astype(U), 9)
+    dup[order[1:]] = (raw[order][1:] == raw[order][:-1]) & (raw2[order][1:] == raw2[order][:-1]) & (of[order][1:] == of[order][:-1])
+    line, line2 = _line_hashes(span_hashes(lowered(data), w.starts, w.ends, 2), a[full], (z - a)[full])
     line_first = np.searchsorted(full, first)
     return {
         "n_words": np.diff(w.first),
@@ -84,10 +96,10 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": _sum_by(_SYMBOL[data], offsets),
         "n_dup_lines": _sum_by(dup, line_first),
         "n_repeat_words": _sum_by(repeated, w.first),
-        "text_hash": signed(mix(span_hash(sums, offsets[:-1], offsets[1:]), 5)),
         "line_first": line_first,
         "line": full - first[doc[full]],
-        "line_hash": signed(norm),
+        "line_hash": signed(line),
+        "line_hash2": signed(line2),
         "line_words": (z - a)[full],
     }
 
@@ -95,68 +107,75 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+_LINES = {"line": np.int32, "line_hash": np.int64, "line_hash2": np.int64, "line_words": np.int32}
+
+
 def _measured(docs: DataFrame, host_col: str) -> DataFrame:
     bounded_batches(docs)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col in docs.columns else F.lit("")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", text_key())
 
     def run(batches):
         for b in batches:
             for at, data, offsets in steps(b.column(2)):
                 m, n = measure(data, offsets), len(offsets) - 1
                 cut = pa.array(m["line_first"].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(m[k].astype(t))) for k, t in (("line", np.int32), ("line_hash", np.int64), ("line_words", np.int32))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), *(pa.array(m[k].astype(np.int64)) for k in (*_COUNTS, "text_hash")), *lists], ["doc_id", "host", *_COUNTS, "text_hash", "line", "line_hash", "line_words"])
+                lists = [pa.ListArray.from_arrays(cut, pa.array(m[k].astype(t))) for k, t in _LINES.items()]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, n) for i in (0, 1, 3)), *(pa.array(m[k].astype(np.int64)) for k in _COUNTS), *lists], ["doc_id", "host", "key", *_COUNTS, *_LINES])
 
-    counts = ", ".join(f"{c} long" for c in (*_COUNTS, "text_hash"))
-    return own.mapInArrow(run, f"doc_id long, host string, {counts}, line array<int>, line_hash array<long>, line_words array<int>")
+    counts = ", ".join(f"{c} long" for c in _COUNTS)
+    return mapped(own, run, f"doc_id long, host string, key long, {counts}, line array<int>, line_hash array<long>, line_hash2 array<long>, line_words array<int>")
 
 
-def quality_report(docs: DataFrame, host_col: str = "source", min_docs: int = 20, share: float = 0.01) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the counts, base_failed, n_removed_words, depleted, kept, removed_lines (array of line numbers)."""
+def quality_report(docs: DataFrame, host_col: str = "source", min_docs: int = 20, share: float = 0.01, most_docs: int = 1000, keep_first: bool = True) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the counts, base_failed, n_removed_words, depleted, kept, removed_lines (array of line numbers), key (of id and text)."""
     rows = write_table(_measured(docs, host_col).withColumn("row", F.monotonically_increasing_id()), "measured")
-    lines = rows.select("row", "doc_id", "host", "text_hash", F.explode(F.arrays_zip("line", "line_hash", "line_words")).alias("x")).select("row", "doc_id", "host", "text_hash", "x.*")
-    limits = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count("*")).alias("limit"))
-    texts = lines.groupBy("host", "line_hash", "text_hash").agg(F.min("doc_id").alias("first"))
-    often = texts.groupBy("host", "line_hash").agg(F.count("*").alias("c"), F.min("first").alias("first")).where(f"c > {int(min_docs)}")
-    often = often.join(limits, "host").where("c > limit").select("host", "line_hash", "first")
-    often = write_table(often, "often")
-    lost = lines.join(often, ["host", "line_hash"]).where("first is null or doc_id is null or doc_id <> first")
+    document = ("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("orphan"))
+    lines = rows.select("row", "host", *document, F.explode(F.arrays_zip(*_LINES)).alias("x")).select("row", "host", "doc_id", "orphan", "x.*")
+    share_of = rows.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("n"))
+    limits = share_of.select("host", F.least(F.greatest(F.lit(float(min_docs)), share * F.col("n")), F.lit(float(most_docs))).alias("limit"))
+    line = ["host", "line_hash", "line_hash2"]
+    often = lines.groupBy(*line, "doc_id", "orphan").agg(F.lit(1).alias("one")).groupBy(*line).agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where(F.col("c") > F.lit(min(min_docs, most_docs)))
+    often = write_table(often.join(limits, "host").where("c > limit").select(*line, "first"), "often")
+    lost = lines.join(often, line)
+    if keep_first:
+        lost = lost.where("first is null or doc_id is null or doc_id <> first")
     lost = lost.groupBy("row").agg(F.sum("line_words").cast("long").alias("n_removed_words"), F.sort_array(F.collect_list("line")).alias("removed_lines"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
-    out = rows.select("row", "doc_id", *_COUNTS).join(lost, "row", "left")
+    out = rows.select("row", "doc_id", "key", *_COUNTS).join(lost, "row", "left")
     out = out.withColumns({"n_removed_words": removed, "base_failed": base}).withColumn("depleted", 2 * (F.col("n_words") - F.col("n_removed_words")) < F.col("n_words"))
-    return out.select("doc_id", *_COUNTS, "base_failed", "n_removed_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "removed_lines")
+    return out.select("doc_id", *_COUNTS, "base_failed", "n_removed_words", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "removed_lines", "key")
 
 
 def _without_lines(batches):
     for b in batches:
-        texts = b.column(1).to_pylist()
-        gone, kept = (b.column(2), b.column(3)) if b.num_columns > 2 else (None, None)
-        out, ok = [], []
-        for i, text in enumerate(texts):
-            lines = gone[i].as_py() if gone is not None else None
-            if lines:
-                drop = set(lines)
-                text = "\n".join(x for j, x in enumerate(text.split("\n")) if j not in drop)
-            out.append(text)
-            ok.append(kept is None or not kept[i].is_valid or kept[i].as_py())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(ok, pa.bool_())], ["rest", "cleaned", "ok"])
+        text, ok = b.column(1), pa.array(np.ones(b.num_rows, bool))
+        if b.num_columns > 2:
+            gone, ok = b.column(2), b.column(3).fill_null(True)
+            if any(map(len, gone.drop_null().to_pylist())):
+                out = []
+                for x, lines in zip(text, gone):
+                    x = x.as_py()
+                    if drop := set(lines.as_py() or ()):
+                        x = "\n".join(line for j, line in enumerate(x.split("\n")) if j not in drop)
+                    out.append(x)
+                text = pa.array(out, pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), text, ok], ["rest", "cleaned", "ok"])
 
 
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without rejected documents, and without lines above the limit in the texts that stay."""
     report = quality_report(docs, **limits)
-    marked = report.where("doc_id is not null and (not kept or removed_lines is not null)")
-    marks = marked.groupBy("doc_id").agg(F.flatten(F.collect_set(F.coalesce("removed_lines", F.array().cast("array<int>")))).alias("lines"), F.max("kept").alias("kept"))
+    marked = report.where("not kept or removed_lines is not null")
+    marks = marked.groupBy("doc_id", "key").agg(F.flatten(F.collect_set(F.coalesce("removed_lines", F.array().cast("array<int>")))).alias("lines"), F.max("kept").alias("kept"))
     out = rewrite(docs, write_table(marks, "rejected"), _without_lines, "cleaned string, ok boolean")
     out = out.where("ok")
     return out.select(*from_rest(out, docs.columns, "cleaned"))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    return quality_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("removed_lines")
+    return quality_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("removed_lines", "key")
 
 
 ORACLE = r"""
@@ -178,9 +197,9 @@ WITH d AS (
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM f GROUP BY doc_id
 ), lim AS (
-  SELECT host, greatest(20.0, 0.01 * count(DISTINCT t)) AS lim FROM d GROUP BY host
+  SELECT host, least(greatest(20.0, 0.01 * count(DISTINCT doc_id)), 1000.0) AS lim FROM d GROUP BY host
 ), often AS (
-  SELECT host, norm, count(DISTINCT t) AS c, min(doc_id) AS first FROM f GROUP BY host, norm
+  SELECT host, norm, count(DISTINCT doc_id) AS c, min(doc_id) AS first FROM f GROUP BY host, norm
 ), lost AS (
   SELECT f.doc_id, sum(nw) AS n FROM f JOIN often USING (host, norm) JOIN lim USING (host) WHERE c > lim AND doc_id <> first GROUP BY f.doc_id
 ), x AS (

@@ -4,7 +4,7 @@ A hash is one counter in each of ``DEPTH`` rows. Only "none, one, more" is
 kept of a counter, which is what a filter for repeated values needs. Every
 partition counts its own hashes, sends the counters it touched in slices
 (sorted, as compressed gaps), and one task a slice merges what it gets. The
-result is a bitmap of the counters that reached two: of fixed size, at most
+result is a bitmap of the counters that reached two: of bounded size, at most
 ``DEPTH * 2**MOST_BITS`` bits, so it can be broadcast. A value that occurs
 twice anywhere always finds all its counters at two: the filter
 overestimates and loses none.
@@ -17,9 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import steps
+from .common import mapped, steps
 from .text import U
 
 DEPTH = 2
@@ -29,15 +29,13 @@ SLICE_BITS = 20
 FLUSH = 2_000_000
 
 
-def bits_for(values: int) -> tuple[int, int]:
-    """Counters (as a power of two) for so many values, and rounds.
+def bits_for(values: int) -> int:
+    """Counters, as a power of two, for so many values: about 4 for 3 values at least, up to ``2**MOST_BITS``.
 
-    About 4 counters for 3 values at least; values beyond what the largest
-    sketch holds are dealt over rounds by their hash.
+    Beyond that the sketch gets fuller and lets more through, so a caller's
+    exact pass approaches one without a filter; it never loses a value.
     """
-    need = max(1, values * 4 // 3)
-    bits = min(MOST_BITS, max(16, (need - 1).bit_length()))
-    return bits, max(1, -(-need // (1 << MOST_BITS)))
+    return min(MOST_BITS, max(16, (max(1, values * 4 // 3) - 1).bit_length()))
 
 
 def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -56,48 +54,41 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, rounds: int = 1, turn: int = 0) -> np.ndarray:
-    """The merged bitmap for column ``text`` of ``texts``.
-
-    ``hashes(bytes, offsets)`` gives the hashes of a step of texts. With
-    several rounds, only hashes of this ``turn`` are counted.
-    """
+class Counter:
+    """The sketch of one partition: counts hashes and hands out what it counted, in slices."""
+
+    def __init__(self, bits: int):
+        self.bits, self.own = bits, min(bits, SLICE_BITS)
+        self.held: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, h: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        if len(h):
+            self.held.append(h)
+            self.count += len(h)
+        return self.close() if self.count >= FLUSH else []
+
+    def close(self) -> list[tuple[int, bytes, bytes]]:
+        """(slice, counters touched, counters touched twice or more) of what has been added since the last time."""
+        if not self.held:
+            return []
+        h = np.concatenate(self.held)
+        self.held, self.count, out = [], 0, []
+        for d, place in enumerate(_places(h, self.bits)):
+            place.sort()
+            new = np.flatnonzero(np.diff(place, prepend=place[:1] ^ np.uint32(1)))
+            at, more = place[new], np.diff(new, append=len(place)) > 1
+            cuts = np.flatnonzero(np.diff(at >> np.uint32(self.own), prepend=np.uint32(0xFFFFFFFF)))
+            for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                low = at[a:b] & np.uint32((1 << self.own) - 1)
+                out.append((d << (self.bits - self.own) | int(at[a] >> np.uint32(self.own)), _pack(low), _pack(low[more[a:b]])))
+        return out
+
+
+def merged(sent: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of counters that reached two, from the slices (slice int, once binary, more binary) of all partitions."""
     own = min(bits, SLICE_BITS)
 
-    def count(batches):
-        held: list[np.ndarray] = []
-
-        def send():
-            h = np.concatenate(held)
-            held.clear()
-            for d, place in enumerate(_places(h, bits)):
-                place.sort()
-                new = np.flatnonzero(np.diff(place, prepend=place[:1] ^ np.uint32(1)))
-                at, more = place[new], np.diff(new, append=len(place)) > 1
-                cuts = np.flatnonzero(np.diff(at >> np.uint32(own), prepend=np.uint32(0xFFFFFFFF)))
-                for a, b in zip(cuts, [*cuts[1:], len(at)]):
-                    low = at[a:b] & np.uint32((1 << own) - 1)
-                    yield d << (bits - own) | int(at[a] >> np.uint32(own)), _pack(low), _pack(low[more[a:b]])
-
-        def rows(sent):
-            keys, once, more = zip(*sent)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["slice", "once", "more"])
-
-        n = 0
-        for b in batches:
-            for _, data, offsets in steps(b.column(0)):
-                h = hashes(data, offsets)
-                if rounds > 1:
-                    h = h[in_turn(h, rounds, turn)]
-                if len(h):
-                    held.append(h)
-                    n += len(h)
-                if n >= FLUSH:
-                    yield rows(send())
-                    n = 0
-        if held:
-            yield rows(send())
-
     def merge(batches):
         key, once, more = -1, None, None
 
@@ -118,20 +109,35 @@ def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.nda
             yield out()
 
     slices = DEPTH << (bits - own)
-    sent = texts.select("text").mapInArrow(count, "slice int, once binary, more binary")
-    merged = sent.repartition(min(slices, _shuffles(texts)), "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
+    dealt = sent.repartition(min(slices, _shuffles(sent)), "slice").sortWithinPartitions("slice")
     out = np.zeros((slices, (1 << own) // 8), np.uint8)
-    for row in merged.toLocalIterator():
+    for row in mapped(dealt, merge, "slice int, bits binary").toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(DEPTH, -1)
 
 
-def _shuffles(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def slice_rows(sent: list[tuple[int, bytes, bytes]]) -> list[pa.Array]:
+    keys, once, more = zip(*sent)
+    return [pa.array(keys, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())]
+
+
+def repeated(texts: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int) -> np.ndarray:
+    """The merged bitmap for column ``text`` of ``texts``; ``hashes(bytes, offsets)`` gives the hashes of a step of texts."""
+
+    def count(batches):
+        counter, names = Counter(bits), ["slice", "once", "more"]
+        for b in batches:
+            for _, data, offsets in steps(b.column(0)):
+                if sent := counter.add(hashes(data, offsets)):
+                    yield pa.RecordBatch.from_arrays(slice_rows(sent), names)
+        if sent := counter.close():
+            yield pa.RecordBatch.from_arrays(slice_rows(sent), names)
 
+    return merged(mapped(texts.select("text"), count, "slice int, once binary, more binary"), bits)
 
-def in_turn(h: np.ndarray, rounds: int, turn: int) -> np.ndarray:
-    return (h >> U(30)) % U(rounds) == U(turn)
+
+def _shuffles(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def estimated_repeated(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -147,10 +153,18 @@ def text_bytes(texts: DataFrame) -> int:
     return int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def key_bitmap(df: DataFrame, key: str, bits: int = 24) -> np.ndarray:
-    """Bitmap of the hashes of a long column: a filter of fixed size (``2**bits`` bits) for that column's values."""
+def key_bitmap(df: DataFrame, key: str, bits: int = 24, hashed: bool = False) -> np.ndarray:
+    """Bitmap of a long column: a filter of fixed size (``2**bits`` bits) for that column's values.
+
+    The places are hashes of the values, or their low bits if they are
+    hashes themselves (``hashed``); ``bitmap_places`` and ``hash_places``
+    tell where to look.
+    """
     own = min(bits, SLICE_BITS)
 
+    def packed(key, held):
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
     def fill(batches):
         key, held = -1, None
         for b in batches:
@@ -158,24 +172,30 @@ def key_bitmap(df: DataFrame, key: str, bits: int = 24) -> np.ndarray:
             for k in np.unique(place >> own):
                 if k != key:
                     if key >= 0:
-                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+                        yield packed(key, held)
                     key, held = int(k), np.zeros(1 << own, bool)
                 held[place[place >> own == k] & ((1 << own) - 1)] = True
         if key >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+            yield packed(key, held)
 
-    place = df.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << bits)).alias("place")).distinct()
-    filled = place.withColumn("slice", F.shiftright("place", own)).repartition(min(1 << (bits - own), _shuffles(df)), "slice").sortWithinPartitions("slice").select("place").mapInArrow(fill, "slice int, bits binary")
+    place = F.col(key).cast("long").bitwiseAND((1 << bits) - 1).alias("place") if hashed else bitmap_places(key, bits)
+    place = df.where(F.col(key).isNotNull()).select(place).distinct()
+    dealt = place.withColumn("slice", F.shiftright("place", own)).repartition(min(1 << (bits - own), _shuffles(df)), "slice").sortWithinPartitions("slice")
     out = np.zeros((1 << (bits - own), (1 << own) // 8), np.uint8)
-    for row in filled.toLocalIterator():
+    for row in mapped(dealt.select("place"), fill, "slice int, bits binary").toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
 
-def bitmap_places(key: str, bits: int = 24):
+def bitmap_places(key: str, bits: int = 24) -> Column:
     """The column of places to look up in a ``key_bitmap``."""
     return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << bits)).alias("place")
 
 
+def hash_places(h: np.ndarray, bits: int = 24) -> np.ndarray:
+    """The same in a task, for values that are hashes."""
+    return (h & U((1 << bits) - 1)).astype(np.int64)
+
+
 def in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

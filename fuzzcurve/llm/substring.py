@@ -5,14 +5,20 @@ window that covers it also starts in a document with a smaller id; windows
 are judged on the input.
 
 1. Every partition sketches the hashes of its windows and the sketches are
-   merged (``sketch.repeated``): a fixed-size bitmap that overestimates.
+   merged (``sketch.repeated``): a bitmap of bounded size that overestimates.
 2. A second pass sends only windows estimated as repeated to their exact
-   group. Before that, each task keeps a window's rows of its smallest
-   document only - the rest are known to repeat already - so that a window
-   of a third of all documents sends as many rows as there are tasks.
+   group, by 128 bits of their bytes. Before that, each task keeps a window's
+   rows of its smallest document only - the rest are known to repeat already,
+   and go as runs of windows - so that a window of a third of all documents
+   sends as many rows as there are tasks.
 3. The groups are read in order of (window, document): all but the first
    document lose the window. Texts that lose nothing are never shuffled.
 
+Once the corpus has far more windows than the largest sketch has counters,
+the sketch passes most of them and the second pass approaches an exact
+grouping of all windows: the shuffle then grows with the input, nothing is
+read again and nothing is lost.
+
 Documents without an id are passed on unchanged. Documents that share an id
 count as one document; a text's positions come from that text alone, so
 positions past its end are ignored. Null texts are empty.
@@ -25,50 +31,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import batch, from_rest, id_text, read, signed, steps, write_table
+from .common import batch, from_rest, id_text, mapped, read, signed, steps, write_table
 from .marks import rewrite
-from .text import mix, windows, word_hashes, words
+from .text import mix, span_hashes, windows, words
 
 #: Candidate rows that a task holds for its own comparison.
-HELD = 500_000
+HELD = 400_000
 
 
 def _window_hashes(k: int):
     def hashes(data, offsets):
         w = words(data, offsets)
-        return windows(w, word_hashes(data, w), k)[1]
+        return windows(w, span_hashes(data, w.starts, w.ends)[0], k)[1]
 
     return hashes
 
 
-def _candidates(texts: DataFrame, bitmap, k: int, rounds: int, turn: int) -> DataFrame:
-    """Rows (h, doc_id, start) of windows estimated as repeated; ``known``: a smaller document of the same task has the window."""
+def _candidates(texts: DataFrame, bitmap, k: int) -> DataFrame:
+    """Rows (h, h2, doc_id, start, known) of windows estimated as repeated; ``known``: so many windows from ``start`` on that a smaller document of the same task has."""
 
     def emit(batches):
         held, n = [], 0
 
         def flush():
-            h, doc, start = (np.concatenate(x) for x in zip(*held))
+            h, h2, doc, start = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((doc, h))
-            h, doc, start = h[order], doc[order], start[order]
-            new = np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0
-            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            known = doc != first
-            h = np.where(known, mix(doc.view(np.uint64) ^ mix(start.astype(np.uint64))), h)
-            return batch(h=signed(h), doc_id=doc, start=start.astype(np.int32), known=known)
+            order = np.lexsort((doc, h2, h))
+            new = np.append(True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
+            first = doc[order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]]
+            lost = np.zeros(len(h), bool)
+            lost[order] = doc[order] != first
+            asks, known = np.flatnonzero(~lost), np.flatnonzero(lost)
+            cut = np.flatnonzero(np.append(True, (doc[known][1:] != doc[known][:-1]) | (start[known][1:] != start[known][:-1] + 1))) if len(known) else known
+            many = np.diff(np.append(cut, len(known)))
+            known = known[cut]
+            at = np.concatenate([asks, known])
+            h[known], h2[known] = mix(doc[known].view(np.uint64) ^ mix(start[known].astype(np.uint64))), 0
+            return batch(h=signed(h[at]), h2=signed(h2[at]), doc_id=doc[at], start=start[at].astype(np.int32), known=np.concatenate([np.zeros(len(asks), np.int32), many.astype(np.int32)]))
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
-                first, h = windows(w, word_hashes(data, w), k)
-                keep = sketch.estimated_repeated(bitmap.value, h)
-                if rounds > 1:
-                    keep &= sketch.in_turn(h, rounds, turn)
+                h, h2 = span_hashes(data, w.starts, w.ends, 2)
+                first, h = windows(w, h, k)
+                keep = np.flatnonzero(sketch.estimated_repeated(bitmap.value, h))
+                h2 = windows(w, h2, k, lane=1)[1][keep]
                 first, h = first[keep], h[keep]
                 doc = w.doc[first]
-                held.append((h, ids[at + doc].astype(np.int64), first - w.first[doc]))
+                held.append((h, h2, ids[at + doc].astype(np.int64), first - w.first[doc]))
                 n += len(h)
                 if n >= HELD:
                     yield flush()
@@ -76,43 +87,41 @@ def _candidates(texts: DataFrame, bitmap, k: int, rounds: int, turn: int) -> Dat
         if n:
             yield flush()
 
-    return texts.mapInArrow(emit, "h long, doc_id long, start int, known boolean")
+    return mapped(texts, emit, "h long, h2 long, doc_id long, start int, known int")
 
 
 def _losers(candidates: DataFrame) -> DataFrame:
-    """(doc_id, start) of the windows that a smaller document has too."""
+    """(doc_id, start, n): n windows from ``start`` on that a smaller document has too."""
 
     def scan(batches):
-        last_h, last_doc = None, None
+        last = None
         for b in batches:
-            h, doc, start = (b.column(i).to_numpy() for i in range(3))
-            known = b.column(3).to_numpy(zero_copy_only=False)
+            h, h2, doc, start, known = (b.column(i).to_numpy() for i in range(5))
             if not len(h):
                 continue
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            new[0] = last_h is None or h[0] != last_h
+            new = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
+            new[0] = last is None or (h[0], h2[0]) != last[:2]
             at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            first = np.where(at >= 0, doc[at], last_doc if last_doc is not None else 0)
-            last_h, last_doc = h[-1], first[-1]
-            lose = known | (doc != first)
-            yield batch(doc_id=doc[lose], start=start[lose])
+            first = np.where(at >= 0, doc[at], last[2] if last else 0)
+            last = h[-1], h2[-1], first[-1]
+            lose = (known > 0) | (doc != first)
+            yield batch(doc_id=doc[lose], start=start[lose], n=np.maximum(known[lose], 1))
 
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return candidates.repartition(parts, "h").sortWithinPartitions("h", "doc_id").mapInArrow(scan, "doc_id long, start int")
+    return mapped(candidates.repartition(parts, "h", "h2").sortWithinPartitions("h", "h2", "doc_id"), scan, "doc_id long, start int, n int")
 
 
-def _cut(data: np.ndarray, w, first: int, last: int, begin: int, end: int, starts, k: int) -> tuple[bytes, int]:
+def _cut(data: np.ndarray, w, first: int, last: int, begin: int, end: int, starts, runs, k: int) -> tuple[bytes, int]:
     """The text without the words of the given windows, and how many words that were.
 
     A run of removed words takes the white space after it along.
     """
     n = last - first
     gone = np.zeros(n + 1, np.int32)
-    s = np.asarray(starts, np.int64)
-    s = s[(s >= 0) & (s + k <= n)]
-    np.add.at(gone, s, 1)
-    np.add.at(gone, s + k, -1)
+    s, to = np.asarray(starts, np.int64), np.asarray(starts, np.int64) + runs - 1 + k
+    inside = (s >= 0) & (to <= n)
+    np.add.at(gone, s[inside], 1)
+    np.add.at(gone, to[inside], -1)
     gone = np.cumsum(gone[:-1]) > 0
     keep = np.flatnonzero(~gone)
     if len(keep) == n:
@@ -129,13 +138,13 @@ def _rewrite(k: int):
     def run(batches):
         for b in batches:
             texts, n_words, n_removed = [], [], []
-            starts = b.column(2) if b.num_columns > 2 else None
+            starts, runs = (b.column(2), b.column(3)) if b.num_columns > 2 else (None, None)
             for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
                 for i in range(len(offsets) - 1):
                     text, gone = data[offsets[i] : offsets[i + 1]].tobytes(), 0
                     if starts is not None and starts[at + i].is_valid:
-                        text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], starts[at + i].values.to_numpy(), k)
+                        text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], starts[at + i].values.to_numpy(), runs[at + i].values.to_numpy(), k)
                     texts.append(text)
                     n_words.append(w.first[i + 1] - w.first[i])
                     n_removed.append(gone)
@@ -145,15 +154,12 @@ def _rewrite(k: int):
 
 
 def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
-    """(doc_id, starts): the windows, by their first word, that each document loses; written to the shared folder."""
+    """(doc_id, starts, runs): the windows that each document loses, as runs of so many from each start; written to the shared folder."""
     texts = id_text(docs).where("doc_id is not null")
-    bits, rounds = sketch.bits_for(sketch.text_bytes(texts) // 6)
-    out = None
-    for turn in range(rounds):
-        bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, _window_hashes(k), bits, rounds, turn))
-        part = _losers(_candidates(texts, bitmap, k, rounds, turn))
-        out = part if out is None else out.union(part)
-    return write_table(out.groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "repeats")
+    bits = sketch.bits_for(sketch.text_bytes(texts) // 6)
+    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, _window_hashes(k), bits))
+    lost = _losers(_candidates(texts, bitmap, k)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x"))
+    return write_table(lost.select("doc_id", F.col("x.start").alias("starts"), F.col("x.n").alias("runs")), "repeats")
 
 
 def _deduped(docs: DataFrame, k: int) -> DataFrame:

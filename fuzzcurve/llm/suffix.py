@@ -29,15 +29,16 @@ past the end of a text are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import from_rest, id_text, read, signed, steps, write_table
-from .jaccard import _xxhash
+from .common import from_rest, id_text, mapped, read, signed, steps, write_table
 from .marks import rewrite
-from .text import U, mix, prefix_sums, span_hash
+from .text import U, mix
 
 GRAM = 32
 #: Contexts that a task holds while it drops copies; suffixes of one array.
@@ -45,7 +46,38 @@ HELD, SUFFIXES = 60_000, 600_000
 #: An anchor is hot from so many distinct contexts in one of ``SAMPLE`` documents on (some 4096 in all).
 SAMPLE, HOT = 16, 256
 HOT_BITS = 24
-_FAR = U(2**64 - 1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=2)
+def _few_powers(base: int) -> np.ndarray:
+    out = np.full(1 << 21, U(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1)."""
+    if n <= 1 << 21:
+        return _few_powers(base)[:n]
+    out = np.full(n, U(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, U)
+    np.cumsum(mix(np.arange(256, dtype=U), 7)[data] * _powers(_BASE, len(data)), out=out[1:])
+    return out
+
+
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A rolling hash of the bytes of each span, wherever it stands.
+
+    It only brings strings together: what meets is compared by its bytes.
+    """
+    inverse = _powers(pow(_BASE, -1, 2**64), len(sums))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,14 +118,14 @@ def _hot(texts: DataFrame, length: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(signed(span_hash(sums, first, last + length)) if len(g) else np.zeros(0, np.int64))], ["g", "key"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    distinct = sample.mapInArrow(run, "g long, key long").distinct()
-    return sketch.key_bitmap(distinct.groupBy("g").count().where(F.col("count") >= HOT), "g", HOT_BITS)
+    distinct = mapped(sample, run, "g long, key long").distinct()
+    return sketch.key_bitmap(distinct.groupBy("g").count().where(F.col("count") >= HOT), "g", HOT_BITS, hashed=True)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``anchors``, but with one entry for each string of a hot anchor: the string's own hash, and the string as first and last."""
     g, first, last, sums = anchors(data, offsets, length)
-    is_hot = sketch.in_bitmap(hot, (_xxhash(g) & U((1 << HOT_BITS) - 1)).astype(np.int64))
+    is_hot = sketch.in_bitmap(hot, sketch.hash_places(g, HOT_BITS))
     if not is_hot.any():
         return g, first, last, sums
     n = np.where(is_hot, last - first + 1, 1)
@@ -117,6 +149,9 @@ def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = key[order][1:] != key[order][:-1]
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            for i in np.flatnonzero(~new).tolist():  # equal hashes of different bytes: each goes on its own
+                if raw[order[i]] != raw[lead[i]]:
+                    new[i], lead[i] = True, order[i]
             own = np.zeros(len(order), bool)
             own[order[new]] = True
             stays = np.zeros(len(order), bool)  # a repeated row is the same place, not a copy
@@ -152,7 +187,7 @@ def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
         if count:
             yield flush()
 
-    return texts.mapInArrow(emit, "g long, doc_id long, start int, n int, context binary")
+    return mapped(texts, emit, "g long, doc_id long, start int, n int, context binary")
 
 
 def suffix_array(text: np.ndarray, begin: np.ndarray, count: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -336,7 +371,7 @@ def _lost(contexts: DataFrame, length: int) -> DataFrame:
         yield from send()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "g").sortWithinPartitions("g", "doc_id", "start").mapInArrow(scan, "doc_id long, start int, n int")
+    return mapped(contexts.repartition(parts, "g").sortWithinPartitions("g", "doc_id", "start"), scan, "doc_id long, start int, n int")
 
 
 def _remove(length: int):
@@ -369,7 +404,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs``, then kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (long), which replace columns of these names."""
     new = ("kept", "n_bytes", "n_removed", "n_spans")
     texts = id_text(docs).where("doc_id is not null")
-    bits, _ = sketch.bits_for(sketch.text_bytes(texts) // 30)
+    bits = sketch.bits_for(sketch.text_bytes(texts) // 30)
     hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, length))
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, lambda data, offsets: pieces(data, offsets, length, hot.value)[0], bits))
     lost = _lost(_contexts(texts, bitmap, hot, length), length)
