@@ -6,17 +6,24 @@ compared with A-Z lower-cased.
 
 1. All windows of the test items are hashed under every mask. A bitmap of
    fixed size over these hashes lets training windows through that may hit;
-   they join the test hashes exactly.
+   they join the test hashes exactly. Seeds meet as bare numbers, and what
+   they name is made distinct before any item's words are fetched.
 2. A hit names a diagonal: how far an item is shifted against a document.
    Around it the whole item is laid over the document, and the stretch that
    scores best (+1 for an equal word, -3 for another) is the overlap. It
    counts from ``min(13, 80 % of the item's words)`` equal words on.
 
-Items of fewer than 15 words also hit by any 4 words in a row: the best
-stretch ends in 4 equal words at least, so none that counts is missed. Items
-of 3 words hit by their whole sequence; shorter ones are not looked for,
-since they would meet clean text. Null texts have no words. Documents without an
-id pass as clean.
+The masks hit every stretch of up to 20 words that counts (a test tries them
+all). Items of fewer than 15 words hit by any 4 words in a row instead: the
+best stretch ends in 4 equal words at least, so none that counts is missed.
+Items of 1 to 3 words hit by their whole sequence; those of fewer than
+``shortest`` words (3 unless told otherwise) are not looked for, since they
+would meet clean text.
+
+Null texts have no words. Documents without an id pass as clean. Rows that
+share an id are each judged by their own text; rows of ``benchmark`` that
+share an id are separate items that report one id. Without items, or without
+documents, nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -26,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .common import from_rest, id_text, read, signed, steps, write_table
-from .jaccard import _xxhash
+from .common import from_rest, id_text, mapped, read, signed, steps, write_table
 from .marks import rewrite
 from .text import U, Words, mix, word_hashes, words
 
-#: The masks; 1 keeps a word.
-MASKS = ("11010010111", "11101011001", "1011100111", "11111")
-#: Further masks for items of so many words: at least, at most.
-SHORT = {"1111": (4, 14), "111": (3, 3)}
+#: The masks; 1 keeps a word. They serve items of ``LONG`` words and more.
+MASKS = ("11010010111", "11101011001", "1011100111")
+LONG = 15
+#: Masks for shorter items of so many words: at least, at most.
+SHORT = {"1111": (4, LONG - 1), "111": (3, 3), "11": (2, 2), "1": (1, 1)}
 BITS = 24
 
 
@@ -56,25 +63,38 @@ def seeds(w: Words, h: np.ndarray, masks=MASKS, used=None) -> tuple[np.ndarray,
     return (np.concatenate(starts), np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def _item_seeds(items: DataFrame, masks) -> DataFrame:
-    """(h, item_id, at, words, mask): every seed of every item, with the item's word hashes; the masks of ``SHORT`` follow ``masks``."""
-    low, high = np.array([(0, 2**31)] * len(masks) + list(SHORT.values())).T
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words): a number for each row of ``benchmark``, and the hashes of its words."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at, data, offsets in steps(b.column(1)):
+            for at, data, offsets in steps(b.column(2)):
                 w = words(data, offsets)
                 h = word_hashes(data, w, lower=True)
-                first, seed, mask = seeds(w, h, (*masks, *SHORT))
-                size = np.diff(w.first)[w.doc[first]]
-                keep = (size >= low[mask]) & (size <= high[mask])
-                first, seed, mask = first[keep], seed[keep], mask[keep]
-                doc = w.doc[first]
                 own = [h[a:z].tobytes() for a, z in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(ids[at + doc].astype(np.int64)), pa.array((first - w.first[doc]).astype(np.int32)), pa.array([own[d] for d in doc], pa.binary()), pa.array(mask.astype(np.int32))], ["h", "item_id", "at", "words", "mask"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(own)) for i in (0, 1)), pa.array(own, pa.binary())], ["item", "item_id", "words"])
 
-    return items.mapInArrow(run, "h long, item_id long, at int, words binary, mask int")
+    rows = id_text(benchmark, "item_id").where("doc_id is not null")
+    return mapped(rows.select(F.monotonically_increasing_id().alias("item"), F.col("doc_id").alias("item_id"), "text"), run, "item long, item_id long, words binary")
+
+
+def _item_seeds(items: DataFrame, masks, shortest: int) -> DataFrame:
+    """(h, item, at, mask): every seed of every item; the masks of ``SHORT`` follow ``masks``."""
+    low, high = np.array([(LONG, 2**31)] * len(masks) + list(SHORT.values())).T
+
+    def run(batches):
+        for b in batches:
+            h = [np.frombuffer(x.as_buffer(), U) for x in b.column(1)]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in h])]).astype(np.int64)
+            doc = np.repeat(np.arange(len(h)), np.diff(first))
+            flat = np.concatenate(h) if h else np.zeros(0, U)
+            at, seed, mask = seeds(Words(doc, doc, doc, first), flat, (*masks, *SHORT))
+            size = np.diff(first)[doc[at]]
+            keep = (size >= np.maximum(low[mask], shortest)) & (size <= high[mask])
+            at, seed, mask = at[keep], seed[keep], mask[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), b.column(0).take(pa.array(doc[at])), pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(mask.astype(np.int32))], ["h", "item", "at", "mask"])
+
+    return mapped(items.select("item", "words"), run, "h long, item long, at int, mask int")
 
 
 def _document_seeds(texts: DataFrame, bitmap, masks, used) -> DataFrame:
@@ -84,12 +104,12 @@ def _document_seeds(texts: DataFrame, bitmap, masks, used) -> DataFrame:
             for at, data, offsets in steps(b.column(1)):
                 w = words(data, offsets)
                 first, seed, _ = seeds(w, word_hashes(data, w, lower=True), masks, used)
-                keep = sketch.in_bitmap(bitmap.value, (_xxhash(seed) & U((1 << BITS) - 1)).astype(np.int64))
+                keep = sketch.in_bitmap(bitmap.value, sketch.hash_places(seed, BITS))
                 first, seed = first[keep], seed[keep]
                 doc = w.doc[first]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(ids[at + doc].astype(np.int64)), pa.array((first - w.first[doc]).astype(np.int32))], ["h", "doc_id", "at"])
 
-    return texts.mapInArrow(run, "h long, doc_id long, at int")
+    return mapped(texts, run, "h long, doc_id long, at int")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -130,25 +150,32 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flags, pa.bool_()), pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.int64())], ["rest", "contaminated", "items", "overlap_words"])
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, masks) -> DataFrame:
+def _diagonals(docs: DataFrame, items: DataFrame, masks, shortest: int) -> DataFrame:
+    """(doc_id, item, shift), each once: where an item may lie on a document."""
     texts = id_text(docs).where("doc_id is not null")
-    own = write_table(_item_seeds(id_text(benchmark, "item_id").where("doc_id is not null"), masks), "seeds")
-    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(own, "h", BITS))
+    own = write_table(_item_seeds(items, masks, shortest), "seeds")
+    bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(own, "h", BITS, hashed=True))
     used = {r["mask"] for r in own.select("mask").distinct().collect()}
-    hits = _document_seeds(texts, bitmap, (*masks, *SHORT), used).join(own.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "words").distinct()
+    hits = _document_seeds(texts, bitmap, (*masks, *SHORT), used).join(own.withColumnRenamed("at", "item_at"), "h")
+    return hits.select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, masks, shortest: int) -> DataFrame:
+    items = write_table(_items(benchmark), "items")
+    hits = _diagonals(docs, items, masks, shortest).join(items, "item")
     marks = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("marks"))
     return rewrite(docs, write_table(marks, "hits"), _verify, "contaminated boolean, items array<long>, overlap_words long")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, masks=MASKS, shortest: int = 3) -> DataFrame:
     """``docs``, then contaminated (boolean), items (the item_ids it has) and overlap_words (long, of the best stretch), which replace columns of these names."""
-    new, out = ("contaminated", "items", "overlap_words"), _judged(docs, benchmark, masks)
+    new, out = ("contaminated", "items", "overlap_words"), _judged(docs, benchmark, masks, shortest)
     return out.select(*from_rest(out, [c for c in docs.columns if c not in new]), *new)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, shortest: int = 3) -> DataFrame:
     """The columns of ``docs``, for documents without a benchmark passage."""
-    out = _judged(docs, benchmark, masks).where("not contaminated")
+    out = _judged(docs, benchmark, masks, shortest).where("not contaminated")
     return out.select(*from_rest(out, docs.columns))
 
 
