@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import unicodedata
 import zlib
@@ -28,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import from_rest, id_text, read, steps, with_rest
+from .common import from_rest, id_text, mapped, read, steps, with_rest
 
-#: Words longer than this are folded by the library that reads the same ranks.
+#: Longer words are folded one by one, with a heap of their pairs.
 LONG = 96
 #: Distinct words that a worker keeps between steps.
 KEEP = 400_000
@@ -116,7 +117,7 @@ class Vocabulary:
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         size = max(self.ranks.values()) + 1
-        pairs = {}
+        pairs = self.pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
@@ -132,7 +133,6 @@ class Vocabulary:
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self._long = None
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that two tokens merge to, which is also the rank of the merge."""
@@ -165,11 +165,32 @@ class Vocabulary:
         return out
 
     def long(self, word: bytes) -> list[int]:
-        if self._long is None:
-            import tiktoken
-
-            self._long = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
-        return self._long._encode_single_piece(word)
+        """The ids of one word: the pair of least rank, leftmost first, merges until none has a rank."""
+        ids, n = self.byte[np.frombuffer(word, np.uint8)].tolist(), len(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks = self.first[np.frombuffer(word[:-1], np.uint8), np.frombuffer(word[1:], np.uint8)].tolist()
+        queue = [(rank, i) for i, rank in enumerate(ranks) if rank != _NONE]
+        heapq.heapify(queue)
+
+        def push(i: int):
+            rank = self.pairs.get(ids[i] << 20 | ids[after[i]])
+            ranks[i] = _NONE if rank is None else rank
+            if rank is not None:
+                heapq.heappush(queue, (rank, i))
+
+        while queue:
+            rank, i = heapq.heappop(queue)
+            if ids[i] is None or ranks[i] != rank:
+                continue  # merged meanwhile
+            gone = after[i]
+            ids[i], ids[gone], after[i] = rank, None, after[gone]
+            ranks[i] = _NONE
+            if after[i] < n:
+                before[after[i]] = i
+                push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [x for x in ids if x is not None]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all ids one after another, and where each text (its ids end at ``ends``) ends."""
@@ -266,7 +287,7 @@ def encode(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
         own._reset()  # an idle worker shouldn't hold a task's words
 
     rest = whole.schema["rest"].dataType.simpleString()
-    return whole.mapInArrow(run, f"rest {rest}, ids binary").select(*from_rest(whole, columns), "ids")
+    return mapped(whole, run, f"rest {rest}, ids binary").select(*from_rest(whole, columns), "ids")
 
 
 def decode(coded: DataFrame, ranks: bytes | None = None) -> DataFrame:
@@ -284,7 +305,7 @@ def decode(coded: DataFrame, ranks: bytes | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(offsets) - 1), texts.cast(pa.binary())], ["rest", "decoded"])
 
     rest = whole.schema["rest"].dataType.simpleString()
-    return whole.mapInArrow(run, f"rest {rest}, decoded binary").select(*from_rest(whole, columns), "decoded")
+    return mapped(whole, run, f"rest {rest}, decoded binary").select(*from_rest(whole, columns), "decoded")
 
 
 def _packed_steps(column: pa.Array):

@@ -9,9 +9,11 @@ gathered; only a lot's last rows stay partly empty.
 
 A packed row holds its ids (``row_len`` little-endian integers, padded), the
 cumulative lengths of its segments, and a bit for each place where positions
-start again at 0. With them go the document and the piece number of every
-segment, from which ``unpack`` restores each document's ids. An empty or
-null text is its end-of-text id alone. Documents without an id keep a null.
+start again at 0. With them go, for every segment, the document's id, its
+number among the texts of its task and the piece number, from which
+``unpack`` restores the ids of each text. An empty or null text is its
+end-of-text id alone. Rows without an id, and rows that repeat one, are
+texts of their own throughout.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, rank_file
-from .common import id_text, read, steps
+from .common import id_text, mapped, read, steps
 
 ROW = 2048
 #: Tokens of one lot.
 LOT = 6_000_000
-SCHEMA = "part int, row long, n_ids int, ids binary, cu_seqlens array<int>, position_resets binary, doc_ids array<long>, pieces array<int>"
+SCHEMA = "part int, row long, n_ids int, ids binary, cu_seqlens array<int>, position_resets binary, doc_ids array<long>, doc_rows array<long>, pieces array<int>"
 
 
 class Capacities:
@@ -86,12 +88,12 @@ def pack(docs: DataFrame, row_len: int = ROW, end_id: int = 50256, ranks: bytes
     raw = docs.sparkSession.sparkContext.broadcast(ranks or rank_file())
 
     def run(batches):
-        own, part, row, lot, held = encoder(raw.value), TaskContext.get().partitionId(), 0, [], 0
+        own, part, row, lot, held, texts = encoder(raw.value), TaskContext.get().partitionId(), 0, [], 0, 0
         kind = "<u2" if max(end_id, len(own.vocabulary.length)) < 1 << 16 else "<u4"
 
         def send():
             nonlocal row
-            segments = [(doc, piece, ids[a : a + row_len]) for doc, ids in lot for piece, a in enumerate(range(0, len(ids), row_len))]
+            segments = [(doc, number, ids[a : a + row_len], piece) for doc, number, ids in lot for piece, a in enumerate(range(0, len(ids), row_len))]
             sizes = np.fromiter((len(s[2]) for s in segments), np.int64, len(segments))
             out = []
             for picked in best_fit_decreasing(sizes, row_len):
@@ -99,9 +101,9 @@ def pack(docs: DataFrame, row_len: int = ROW, end_id: int = 50256, ranks: bytes
                 ids, resets = np.full(row_len, end_id, kind), np.zeros(row_len, np.uint8)
                 ids[: cuts[-1]] = np.concatenate([segments[i][2] for i in picked])
                 resets[cuts[:-1]] = 1
-                out.append((part, row, int(cuts[-1]), ids.tobytes(), cuts.tolist(), np.packbits(resets, bitorder="little").tobytes(), [segments[i][0] for i in picked], [segments[i][1] for i in picked]))
+                out.append((part, row, int(cuts[-1]), ids.tobytes(), cuts.tolist(), np.packbits(resets, bitorder="little").tobytes(), *([segments[i][k] for i in picked] for k in (0, 1, 3))))
                 row += 1
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             for a in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 1000]), types)], names)
@@ -112,7 +114,8 @@ def pack(docs: DataFrame, row_len: int = ROW, end_id: int = 50256, ranks: bytes
                 ids, first = own.encode(data, offsets)
                 ids = ids.astype(kind)
                 for i in range(len(offsets) - 1):
-                    lot.append((keys[at + i], np.append(ids[first[i] : first[i + 1]], np.array(end_id, kind))))
+                    lot.append((keys[at + i], texts, np.append(ids[first[i] : first[i + 1]], np.array(end_id, kind))))
+                    texts += 1
                 held += len(ids) + len(offsets)
                 if held >= LOT:
                     yield from send()
@@ -120,28 +123,26 @@ def pack(docs: DataFrame, row_len: int = ROW, end_id: int = 50256, ranks: bytes
         if lot:
             yield from send()
 
-    return id_text(docs).mapInArrow(run, SCHEMA)
+    return mapped(id_text(docs), run, SCHEMA)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """(doc_id, ids): each document's ids again, its end-of-text id included.
-
-    Documents without an id come back as one row for each segment group with
-    a null id.
-    """
+    """(doc_id, ids): the ids of each packed text again, its end-of-text id included; one row for each row that was packed."""
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
                 width = len(r["ids"]) // (len(r["position_resets"]) * 8)
-                for k, (doc, piece) in enumerate(zip(r["doc_ids"], r["pieces"])):
-                    out.append((doc, piece, np.frombuffer(r["ids"], f"<u{width}")[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].astype(np.int32)))
+                ids = np.frombuffer(r["ids"], f"<u{width}").astype(np.int32)
+                out += [(r["part"], number, doc, piece, ids[a:z]) for number, doc, piece, a, z in zip(r["doc_rows"], r["doc_ids"], r["pieces"], r["cu_seqlens"], r["cu_seqlens"][1:])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["part", "number", "doc_id", "piece", "ids"])
 
-    parts = packed.mapInArrow(run, "doc_id long, piece int, ids array<int>")
-    return parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda s: s["ids"])).alias("ids"))
+    parts = mapped(packed, run, "part int, number long, doc_id long, piece int, ids array<int>")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda s: s["ids"]))
+    return parts.groupBy("part", "number", "doc_id").agg(whole.alias("ids")).select("doc_id", "ids")
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
