@@ -14,8 +14,10 @@ cover the texts of assistant turns.
 
 Null texts and roles are empty. Events of unknown kinds, or for messages
 that are not open, change nothing. Ties in the order are settled by message
-and part. A conversation is one row of the result, so it is folded by one
-task, from a stream: only its final messages are held.
+and part. Rows that repeat a turn are turns of their own. A conversation is
+one row of the result, so it is folded by one task, from a stream: only its
+final messages are held. An empty log gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import read
+from .common import mapped, read
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that must not stand in a message as they are.
@@ -116,17 +118,26 @@ def format_log(events: DataFrame) -> DataFrame:
 
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = events.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "seq", "tie", "message", "part") if "tie" in events.columns else events.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "seq", "message", "part")
-    return ordered.select("conv_id", "message", "kind", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss_begin array<int>, loss_end array<int>")
+    return mapped(ordered.select("conv_id", "message", "kind", "role", "text"), run, "conv_id long, formatted string, loss_begin array<int>, loss_end array<int>")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log of finished turns (conv_id, turn, role, text): each is started and streamed in two deltas."""
+    """A log of finished turns (conv_id, turn, role, text), as a streaming front end would have written it.
+
+    An assistant's turn is started, streamed once with its halves the wrong
+    way round, regenerated and streamed again in two deltas; a user's turn is
+    started, typed in part and edited to its text; others come in two deltas.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     half = (F.length(text) / 2).cast("int")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("message"), F.col("role").cast("string").alias("role"), text.alias("text"), half.alias("half"))
-    event = lambda part, kind, role, text: F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text"))
-    none = F.lit(None)
-    parts = F.array(event(0, "start", F.col("role"), none), event(1, "delta", none, F.substring("text", F.lit(1), F.col("half"))), event(2, "delta", none, F.substring("text", F.col("half") + 1, F.length("text"))))
+    head, tail, none = F.substring("text", F.lit(1), F.col("half")), F.substring("text", F.col("half") + 1, F.length("text")), F.lit(None)
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text")) for part, (kind, role, text) in enumerate(events)])
+
+    start, streamed = ("start", F.col("role"), none), [("delta", none, head), ("delta", none, tail)]
+    parts = F.when(F.col("role") == "assistant", log(start, *reversed(streamed), ("regenerate", none, none), *streamed)).when(F.col("role") == "user", log(start, streamed[0], ("edit", none, F.col("text")))).otherwise(log(start, *streamed))
     return rows.select("conv_id", "seq", "tie", "message", F.explode(parts).alias("e")).select("conv_id", "seq", "tie", "message", "e.*")
 
 
@@ -148,4 +159,4 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     shape = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return format_log(events_of(rows)).mapInArrow(_digest, shape)
+    return mapped(format_log(events_of(rows)), _digest, shape)

@@ -6,10 +6,16 @@ telling, and gets the language of the smallest sum. The score is how much
 smaller that is than the second; a score below ``margin`` is rejected as too
 narrow (``rejected``; the prediction stays, for a caller to drop).
 
-Dictionaries come from a bounded sample: of every language the ``sample_docs`` documents of least hash, ``sample_chars`` of
-each, up to ``dict_bytes``. Prediction sees the text alone. A text that is
-null or has no letter is ``und`` with score 0; without any labelled text all
-are ``und``. A worker holds ``TOGETHER`` prepared dictionaries at a time.
+Dictionaries come from a bounded sample: of every language the
+``sample_docs`` documents of least hash, ``sample_chars`` of each, up to
+``dict_bytes``. Prediction sees the text alone, and all of it. A text that
+is null or has no letter is ``und`` with score 0; without any labelled text
+all are ``und``. Of languages that compress a text alike the first in
+alphabetical order is taken, with score 0. Repeated rows are judged alike,
+one result for each; a very long text is compressed block by block, so only
+its normalised copy is held. An empty table gives an empty result, other
+columns are not looked at. A worker holds ``TOGETHER`` prepared dictionaries
+at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, mapped, read
 
 BLOCK = 4096
 #: Prepared dictionaries that a worker holds at once.
@@ -94,7 +100,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
                 score.append(1.0 - size[0][0] / size[1][0] if len(size) > 1 else 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
     return out.withColumn("rejected", F.col("score") < margin)
 
 

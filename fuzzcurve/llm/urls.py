@@ -8,14 +8,20 @@ fits, a URL is blocked if a blocking pattern occurs in it and no allowing one
 does. All are regular expressions in the end.
 
 A rule's literal tokens are those that every URL it fits must have as a
-whole. The rule is filed under the one that is rarest among the URLs at
-hand; a URL's tokens fetch the rules filed under them, and only those run
-their expression. Rules without a whole token are filed under '' and fetched
-by every URL. Verdicts are for distinct URLs; the index joins by token, and
+whole; where a pattern breaks off inside a token (``^porn``), every URL must
+have a token that begins so. The rule is filed under the one that is rarest
+among the URLs at hand; a URL's tokens, and their beginnings of the lengths
+that such rules have, fetch the rules filed under them, and only those run
+their expression. Only a rule without any of these (``*``) is fetched by
+every URL. Verdicts are for distinct URLs; the index joins by token, and
 Spark broadcasts it only if the written table is below its own threshold.
+Rules are a table (rule, kind, verdict), from anywhere.
 
 A null URL, or one without ``://``, has an empty host and path and, for a
-null, no token; its verdict is allow unless a pattern blocks it.
+null, no token; its verdict is allow unless a pattern blocks it. Repeated
+rows are judged once and come back as often as they stand there; of several
+fitting host rules of one length the last in order is named. Long URLs are
+whole. An empty table gives an empty result; without rules all is allowed.
 """
 
 from __future__ import annotations
@@ -48,9 +54,10 @@ def _expression(rule: Column, kind: Column) -> Column:
 
 
 def _literals(rule: Column, kind: Column) -> Column:
-    """Tokens between separators on both sides; a host rule's last label is one, since what follows it is a slash."""
+    """Tokens between separators on both sides, and ``token*`` for what follows one and breaks off; a host rule's last label is whole, since what follows it is a slash."""
     whole = F.lower(F.when(kind == "host", F.concat(F.lit("^"), rule)).otherwise(rule))
-    return F.array_distinct(F.regexp_extract_all(whole, F.lit(f"(?<=[^a-z0-9*])({_TOKEN})(?=[^a-z0-9*])"), F.lit(1)))
+    begun = F.transform(F.regexp_extract_all(whole, F.lit(f"(?<=[^a-z0-9*])({_TOKEN})(?=$|[*])"), F.lit(1)), lambda t: F.concat(t, F.lit("*")))
+    return F.array_distinct(F.concat(F.regexp_extract_all(whole, F.lit(f"(?<=[^a-z0-9*])({_TOKEN})(?=[^a-z0-9*])"), F.lit(1)), begun))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,13 +75,17 @@ def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     urls = own.where("url is not null").select("url").distinct()
     host, path = split_url(F.col("url"))
     low = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = urls.select("url", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0)), F.array(F.lit(""))))).alias("token"))
     filed = rules.select("rule", "kind", "verdict", _expression(F.col("rule"), F.col("kind")).alias("pattern"), _literals(F.col("rule"), F.col("kind")).alias("literals"))
     choice = filed.select("rule", "kind", F.explode("literals").alias("token"))
+    begun = choice.where(F.col("token").endswith("*")).select((F.length("token") - 1).alias("n")).distinct()
+    lengths = F.array(*[F.lit(r["n"]) for r in begun.collect()]).cast("array<int>")  # as many as a token has letters
+    whole = F.array_distinct(F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0)))
+    starts = F.flatten(F.transform(lengths, lambda n: F.transform(F.filter(whole, lambda t: F.length(t) >= n), lambda t: F.concat(F.substring(t, F.lit(1), n), F.lit("*")))))
+    tokens = urls.select("url", F.explode(F.array_distinct(F.concat(whole, starts, F.array(F.lit(""))))).alias("token"))
     count = tokens.join(choice.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("c"))
     rarest = choice.join(count, "token", "left").groupBy("rule", "kind").agg(F.min_by("token", F.struct(F.coalesce("c", F.lit(0)), "token")).alias("token"))
     index = filed.join(rarest, ["rule", "kind"], "left").select("rule", "kind", "verdict", "pattern", F.coalesce("token", F.lit("")).alias("token"))
-    index = write_table(index.coalesce(1), "rules")
+    index = write_table(index, "rules")
     fetched = tokens.join(index, "token").select("url", "rule", "kind", "verdict", "pattern")
     run = fetched.withColumns({"host": host, "path": path}).withColumn("on", F.when(F.col("kind") == "host", F.concat("host", "path")).otherwise(low)).withColumn("fits", F.expr("`on` rlike pattern"))
     is_host, is_block = F.col("fits") & (F.col("kind") == "host"), F.col("verdict") == "block"
