@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF, same_rows
 from fuzzcurve.llm import bpe, chat, decontaminate, graph, jaccard, language, packing, quality, registry, substring, suffix, urls
-from fuzzcurve.llm.common import read
+from fuzzcurve.llm.common import drop_tables, read, write_table
 
 WORDS = [a + b for a in "ka lo mi nu re st ta ve wo xi".split() for b in "ba de fi go hu".split()]
 
@@ -59,6 +59,29 @@ def ascii_words(text):
     return (text or "").encode().split()
 
 
+def thue_morse(n):
+    """Strings that polynomial hashes modulo a power of two cannot tell apart."""
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_do_not_collide_by_form(spark):
+    x, y = thue_morse(1024)
+    df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines, repeats = quality.quality_report(df(f"{x}\n{y}", f"{x} c d e {y} c d")).orderBy("doc_id").collect()
+    assert lines["n_dup_lines"] == 0 and repeats["n_repeat_words"] == 0
+    assert [r["component_id"] for r in jaccard.jaccard_components(df(x, y)).orderBy("doc_id").collect()] == [0, 1]
+    words = [" ".join([w] * 13) for w in (x, y)]
+    assert all(r["n_removed"] == 0 for r in substring.substring_dedup(df(*words)).collect())
+    a, b = thue_morse(64)
+    sequences = [" ".join(w for w in t) for t in (a, b)]  # the same at the level of words, in one line
+    rows = [(i, sequences[i % 2], "h") for i in range(8)]
+    report = quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=5, share=0.0).collect()
+    assert all(r["n_removed_words"] == 0 for r in report)
+    got = suffix.suffix_dedup(df(x, y)).collect()
+    assert [(r["n_removed"], bytes(r["kept"])) for r in sorted(got, key=lambda r: r["doc_id"])] == [brute_bytes([(0, x), (1, y)])[i][1::2] for i in (0, 1)]
+
+
 # 1
 
 
@@ -74,15 +97,26 @@ def test_line_frequency(spark):
     rows = [(i, body() + "\n" + (hot if i % 2 else hot.lower().replace("  ", " ")) + "\n" + body(), "h") for i in range(8)]
     rows += [(8, hot + "\n" + "\n".join([hot] * 12), "h"), (9, body() + "\n" + hot, "other"), (10, None, None), (11, body(), None)]
     copies = body() + "\nonly in copies"
-    rows += [(20 + i, copies, "h") for i in range(9)]
+    rows += [(20 + i, copies, "h") for i in range(9)] + [(29, copies, "h")] * 3
+    rows += [(40, hot + "\n" + body(), "few"), (40, body() + "\n" + hot, "few"), (None, hot + "\n" + body(), "few")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in quality.quality_report(df, min_docs=5, share=0.0).collect()}
+    everything = quality.quality_report(df, min_docs=5, share=0.0).collect()
+    assert len(everything) == len(rows)
+    got = {r["doc_id"]: r for r in everything}
     assert [got[i]["n_removed_words"] for i in (0, 1, 7)] == [0, 6, 6]  # the first keeps its line
     assert got[8]["depleted"] and got[8]["n_dup_lines"] == 12 and not got[8]["kept"]
     assert got[9]["n_removed_words"] == 0 and got[10]["base_failed"] and got[11]["kept"]
-    assert all(got[20 + i]["kept"] for i in range(9))  # exact copies count once
+    assert [got[20 + i]["kept"] for i in range(10)] == [True] + [False] * 9  # copies are documents; the first keeps its lines
+    assert got[40]["n_removed_words"] == got[None]["n_removed_words"] == 0  # two documents there
+    gone = {r["doc_id"]: r["n_removed_words"] for r in quality.quality_report(df, min_docs=5, share=0.0, keep_first=False).collect()}
+    assert gone[0] == 6 and gone[20] == len(copies.split())
+    most = {r["doc_id"]: r["n_removed_words"] for r in quality.quality_report(df, share=0.9, min_docs=2, most_docs=5).collect()}
+    assert most[1] == 6
     out = {r["doc_id"]: r["text"] for r in quality.quality_filter(df, min_docs=5, share=0.0).collect()}
     assert 8 not in out and 10 not in out and hot.split()[1] not in out[3].split() and out[0] == rows[0][1]
+    twins = spark.createDataFrame([(1, body(), "h"), (1, "too short", "h"), (None, "short too", "h"), (None, body(), "h")], df.schema)
+    kept = quality.quality_filter(twins).collect()  # each text has its own verdict, with or without an id
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"] and all(len(r["text"].split()) == 60 for r in kept)
 
 
 # 2
@@ -118,19 +152,51 @@ def test_jaccard(corpus, docs):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
-def test_jaccard_links_that_no_band_finds(spark, monkeypatch):
+def without_groups(monkeypatch):
     """Without the first grouping, the matrix alone finds every link."""
+    none = lambda known, reps, *_: (reps.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"), reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false"))
+    monkeypatch.setattr(jaccard, "_grouped", lambda *a: tuple(write_table(x, "none") for x in none(*a)))
+
+
+def test_jaccard_links_that_no_band_finds(spark, monkeypatch):
     rng = random.Random(5)
     base = prose(rng, 150)
     rows = [(i, edited(rng, base, 0.015)) for i in range(12)] + [(20 + i, prose(rng, 90)) for i in range(5)]
-    monkeypatch.setattr(jaccard, "CHUNK", 3)
-    real = jaccard._verified
-    calls = []
-    monkeypatch.setattr(jaccard, "_verified", lambda t, p, k, s: real(t, p if calls.append(1) or len(calls) > 1 else p.where("false"), k, s))
+    without_groups(monkeypatch)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_opens_groups_in_chunks(spark, monkeypatch):
+    """Large groups that other documents ask: chunks of members, blocks of queries."""
+    rng = random.Random(7)
+    base = prose(rng, 150)
+    rows = [(i, edited(rng, base, 0.015)) for i in range(60)] + [(100 + i, edited(rng, base, 0.04)) for i in range(30)]
+    for name, value in (("CHUNK", 7), ("ASKERS", 3), ("PANEL", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_jaccard_family_growth(spark, monkeypatch):
+    """Twice as many near copies, of which only one pair in ten links, open at most twice as many pairs."""
+    opened, real = [], jaccard._links
+
+    def counted(sets, asked, members, percent):
+        opened[-1] += asked.select("q", "grp").join(members.select("grp", "doc_id"), "grp").count()
+        return real(sets, asked, members, percent)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    for n in (200, 400):
+        rng = random.Random(11)
+        base = prose(rng, 150)
+        rows = [(i, edited(rng, base, 0.014)) for i in range(n)]
+        opened.append(0)
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert opened[1] <= 2 * opened[0] + 200 and opened[1] < 400 * 100, opened
+
+
 def test_jaccard_hot_tokens(spark, monkeypatch):
     """Rows of hot tokens are dealt in cells, questions go out in parts, and every link is found."""
     rng = random.Random(6)
@@ -140,25 +206,36 @@ def test_jaccard_hot_tokens(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for name, value in (("SAMPLE", 1), ("HOT", 3), ("BLOCK", 5), ("QUESTIONS", 7)):
         monkeypatch.setattr(jaccard, name, value)
-    cells = []
-    real, dealt = jaccard._verified, jaccard._cells
-    calls = []
-    monkeypatch.setattr(jaccard, "_verified", lambda t, p, k, s: real(t, p if calls.append(1) or len(calls) > 1 else p.where("false"), k, s))
-    monkeypatch.setattr(jaccard, "_cells", lambda hot: cells.append(dealt(hot)) or cells[-1])
+    without_groups(monkeypatch)
+    seen, real = [], jaccard._matrix
+    monkeypatch.setattr(jaccard, "_matrix", lambda *a: seen.append(write_table(real(*a), "matrix")) or seen[-1])
     got = jaccard.jaccard_components(df).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
-    of = cells[0].groupBy("token", "i", "j").agg(F.count("*").alias("c"), F.sum("side").alias("g")).toPandas()
-    assert of.groupby("token").size().max() > 4 and of["c"].max() <= 40
-
-
-def test_least_shared():
-    """No size between the ends needs fewer rows than the bound."""
-    for n in range(1, 301):
-        m = np.arange(-(-80 * n // 100), 100 * n // 80 + 1)
-        need = jaccard.shared_rows(np.full(len(m), n), m, 80)
-        for i, low in enumerate(m):
-            inner = np.minimum.accumulate(need[i:])
-            assert (jaccard.least_shared(np.full(len(inner), n), np.full(len(inner), low), m[i:], 80) <= inner).all()
+    of = seen[0].groupBy("token", "i", "j").agg(F.count("*").alias("c"), F.min("side").alias("side")).toPandas()
+    hot = of[of["side"] < 2]
+    assert hot.groupby("token").size().max() > 4 and hot["c"].max() <= 40
+
+
+def test_first_shared_tokens_stand_in_both_prefixes():
+    """In linked sets, the first tokens in common stand where questions are asked, whatever the order of tokens."""
+    rng = random.Random(13)
+    for _ in range(3000):
+        n = rng.randrange(1, 200)
+        a = set(range(n))
+        b = set(rng.sample(range(n), n - rng.randrange(0, n // 5 + 1))) | {n + i for i in range(rng.randrange(0, n // 5 + 1))}
+        m = len(b)
+        if not b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        order = list(range(2 * n + 1))
+        rng.shuffle(order)
+        if rng.random() < 0.5:  # those in common come last
+            order.sort(key=lambda t: t in a & b)
+        at = [{t: i for i, t in enumerate(t for t in order if t in x)} for x in (a, b)]
+        count, common = int(jaccard.first_shared(n, m)), int(jaccard.common_tokens(n, m, 80))
+        assert len(a & b) >= common
+        for t in [t for t in order if t in a & b][:count]:
+            for x, size in zip(at, (n, m)):
+                assert x[t] < size - common + count <= jaccard.prefix_length(np.array(size), 80)
 
 
 def test_components(spark):
@@ -198,6 +275,20 @@ def test_few_rules_run(spark):
     assert runs < len(urls.HOST_RULES + urls.PATTERN_RULES) / 2
 
 
+def test_only_rules_with_a_token_run(spark):
+    rng = random.Random(14)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(9000)]
+    rules = [(f"{n}.com/", "host", "block") for n in names[:5000]] + [(f"^{n}^", "pattern", "block") for n in names[5000:8000]] + [(f"^{n}", "pattern", "allow") for n in names[8000:]]
+    rules += [("^porn", "pattern", "block"), ("^p*^q^", "pattern", "block")]
+    rules = spark.createDataFrame(rules, "rule string, kind string, verdict string")
+    rows = [(1, "http://a.b/c"), (2, "http://pornography.net/"), (3, f"http://www.{names[0]}.com/x"), (4, f"http://x.org/{names[5000]}-1"), (5, f"http://x.org/{names[5000]}/{names[8000]}abc"), (6, f"http://{names[8000]}.org/"), (7, "http://x.org/p/q/"), (8, "http://x.org/" + "p/" * 20_000), (8, "http://x.org/" + "p/" * 20_000)]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, rule string, token string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["n_rules_run"]) for r in urls.url_verdicts(pages, rules).collect()}
+    assert got == {1: (None, "allow", 0), 2: (None, "block", 1), 3: (f"{names[0]}.com/", "block", 1), 4: (None, "block", 1), 5: (None, "allow", 2), 6: (None, "allow", 1), 7: (None, "block", got[7][2]), 8: (None, "allow", got[8][2])}
+    assert got[7][2] == 1 and got[8][2] <= 1
+    assert [r["verdict"] for r in urls.url_verdicts(pages, rules.where("false")).collect()] == ["allow"] * len(rows)
+
+
 # 4 and 10
 
 
@@ -212,7 +303,7 @@ def tiktoken_encode():
 def test_bpe_equals_library(spark, docs, tiktoken_encode):
     rng = random.Random(4)
     letters = " \n\t'  abstdmrvel0123.,-éß中　\xa0👍ñ١Ⅷ"
-    odd = ["", "'s", "a's b're  x", "we'll'd", "x" * 500 + " " * 300] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    odd = ["", "'s", "a's b're  x", "we'll'd", "x" * 500 + " " * 300, "".join(rng.choice("abcdeé") for _ in range(5000))] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
     df = docs.select("doc_id", "text", "rest").unionByName(spark.createDataFrame([(100 + i, t, "") for i, t in enumerate(odd)], "doc_id long, text string, rest string"))
     for r in bpe.decode(bpe.encode(df)).collect():
         text = r["text"] or ""
@@ -228,15 +319,13 @@ def test_fold_with_higher_order_functions(spark, tiktoken_encode):
 
 def test_packing_is_lossless(spark, docs, tiktoken_encode):
     packed = packing.pack(docs, row_len=64).cache()
-    want = {i: tiktoken_encode(t or "") + [50256] for i, t in docs.select("doc_id", "text").where("doc_id is not null").collect()}
-    got = {r["doc_id"]: r["ids"] for r in packing.unpack(packed.where("true")).collect()}
-    twice = [i for i in want if got[i] != want[i]]
-    assert twice == [8] and sorted(got[8]) == sorted(want[8] * 2)  # a repeated row is packed twice
+    want = sorted((str(i), tiktoken_encode(t or "") + [50256]) for i, t in docs.select("doc_id", "text").collect())
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in packing.unpack(packed.where("true")).collect()) == want  # repeated rows and those without an id too
     for r in packed.collect():
         cuts = r["cu_seqlens"]
         resets = np.unpackbits(np.frombuffer(r["position_resets"], np.uint8), bitorder="little")
         assert len(r["ids"]) == 128 and cuts[-1] == r["n_ids"] <= 64 and np.flatnonzero(resets).tolist() == cuts[:-1]
-        assert len(r["doc_ids"]) == len(r["pieces"]) == len(cuts) - 1
+        assert len(r["doc_ids"]) == len(r["doc_rows"]) == len(r["pieces"]) == len(cuts) - 1
 
 
 def test_best_fit_decreasing():
@@ -269,13 +358,51 @@ def test_language(spark):
 def test_language_edges(spark, docs, empty):
     dictionaries = language.fit(docs)
     assert set(dictionaries) == {"en"} and language.fit(empty) == {}
-    got = {r["doc_id"]: r for r in language.identify(docs, dictionaries).collect()}
-    assert got[1]["lang_pred"] if 1 in got else True
+    assert language.identify(docs, dictionaries).count() == docs.count() and language.identify(empty, dictionaries).count() == 0
     edges = spark.createDataFrame([(1, None), (2, ""), (3, "123 ?!"), (4, "word")], "doc_id long, text string")
     assert [r["lang_pred"] for r in language.identify(edges, dictionaries).orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
     assert [r["lang_pred"] for r in language.identify(edges, {}).collect()] == ["und"] * 4
 
 
+def brute_language(rows, asked, sample_docs=150, sample_chars=4000, dict_bytes=100_000, hashes=None):
+    """Predictions by a plain loop: dictionaries from the rows of least hash, blocks compressed one by one."""
+    import zstandard
+
+    tools = {}
+    for lang in sorted({lang for _, t, lang in rows if t is not None and lang is not None}):
+        own = sorted((hashes[i, t], t[:sample_chars]) for i, t, x in rows if x == lang and t is not None)[:sample_docs]
+        raw = b""
+        for k, (_, t) in enumerate(own):
+            if len(raw) - k + 1 < dict_bytes:
+                raw += (b" " if k else b"") + language.normalise(t).encode()
+        d = zstandard.ZstdCompressionDict(raw[:dict_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=6)
+        tools[lang] = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False)
+    out = []
+    for text in asked:
+        raw = language.normalise(text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        size = sorted((sum(len(z.compress(raw[j : j + 4096])) for j in range(0, len(raw), 4096)), lang) for lang, z in tools.items())
+        out.append((size[0][1], 1 - size[0][0] / size[1][0] if len(size) > 1 else 1.0))
+    return out
+
+
+def test_language_equals_a_loop(spark):
+    """Whole small table, with repeated rows, null and very long texts, and ties."""
+    own = read(spark, SF, "documents").select("doc_id", "text", "lang")
+    long = " ".join(r["text"] for r in own.where("lang = 'fr' and text is not null").limit(60).collect())
+    more = spark.createDataFrame([(10**6, long, "fr"), (10**6, long, "fr"), (10**6 + 1, None, "fr"), (10**6 + 2, "", None), (10**6 + 3, "zz", None)], own.schema)
+    docs = own.unionByName(more)
+    seen = docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h")).collect()
+    rows = docs.collect()
+    want = brute_language([(r["doc_id"], r["text"], r["lang"]) for r in seen], [r["text"] for r in rows], hashes={(r["doc_id"], r["text"]): r["h"] for r in seen})
+    got = language.identify(docs, language.fit(docs.where(~language.held_out(F.col("doc_id"))))).collect()
+    key = lambda x: (x[0], x[1], round(x[2], 12))
+    assert sorted(map(key, ((r["doc_id"], r["lang_pred"], r["score"]) for r in got))) == sorted(map(key, ((r["doc_id"], *w) for r, w in zip(rows, want))))
+
+
 def test_language_beyond_64(spark):
     """Rare languages have a dictionary too, and predictions are of all of them."""
     rng = random.Random(12)
@@ -305,6 +432,63 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def brute_contamination(rows, items):
+    """All alignments of all items with all documents."""
+    out = {}
+    for i, text in rows:
+        doc = np.array([hash(w.lower()) for w in ascii_words(text)], np.int64)
+        found = set()
+        for item_id, item in items:
+            own = np.array([hash(w.lower()) for w in ascii_words(item)], np.int64)
+            if len(own) >= 3 and any(decontaminate.overlap(doc, own, shift) >= min(13, -(-len(own) * 4 // 5)) for shift in range(-len(own), len(doc) + 1)):
+                found.add(item_id)
+        out[i] = sorted(found)
+    return out
+
+
+def test_decontamination_equals_all_alignments(spark):
+    rng = random.Random(21)
+    items = [(k, prose(rng, rng.choice([3, 4, 6, 9, 13, 15, 16, 20, 40]))) for k in range(30)]
+    items += [(29, items[0][1] + " more words here"), (40, "in the middle of the")]  # a repeated id, a common phrase
+    rows = []
+    for i in range(80):
+        w = items[rng.randrange(30)][1].split()
+        for at in rng.sample(range(len(w)), rng.randrange(0, max(1, len(w) // 5) + 1)):
+            w[at] = f"qq{at}"
+        cut = rng.randrange(0, 3)
+        rows.append((i, " ".join([prose(rng, rng.randrange(0, 40)), *w[cut:], "in the middle of the", prose(rng, 20)])))
+    rows += [(90, " ".join(prose(rng, 30_000).split() + items[7][1].split())), (91, None)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contamination(rows, items)
+    assert len(got) == len(rows) + 1 and {r["doc_id"]: r["items"] for r in got} == want
+    assert sum(map(bool, want.values())) > 30
+
+
+def test_masks_hit_every_stretch():
+    """No stretch of up to 20 words that counts escapes the masks."""
+    from itertools import combinations
+
+    for need, most in ((12, 15), (13, 20)):
+        for size in range(need, most + 1):
+            for k in range(size - need + 1):
+                for gone in combinations(range(size), k):
+                    x = np.array([i not in gone for i in range(size)])
+                    total = np.cumsum(np.where(x, 1, -3))
+                    if (total > 0).all() and (np.cumsum(np.where(x, 1, -3)[::-1]) > 0).all():
+                        assert any(all(x[a + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for a in range(size - len(m) + 1))
+
+
+def test_common_phrases_are_no_seeds(spark):
+    rng = random.Random(22)
+    items = spark.createDataFrame([(k, f"{prose(rng, 12)} in the middle of the {prose(rng, 12)}") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prose(rng, 30)} in the middle of the {prose(rng, 30)}") for i in range(100)], "doc_id long, text string")
+    assert decontaminate._diagonals(docs, write_table(decontaminate._items(items), "items"), decontaminate.MASKS, 3).count() == 0
+    small = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    found = lambda shortest: decontaminate.find_contamination(spark.createDataFrame([(1, "here two words stand")], "doc_id long, text string"), small, shortest=shortest).first()["contaminated"]
+    assert not found(3) and found(2)
+
+
 def test_decontamination_of_short_items(spark):
     """Verbatim from 3 words on, and every case that the rule admits with up to two replaced words."""
     rng = random.Random(10)
@@ -355,6 +539,13 @@ def test_chat_query(spark):
         loss = "".join(t for _, role, t in own if role == "assistant")
         r = got[conv]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), sha("".join(f"{role}\n{t}\n" for _, role, t in own)), len(loss), sha(loss))
+        marks = lambda t: t.count("\\") + len(chat._CONTROL.findall(t.replace("\\", "\\\\")))
+        assert r["formatted_chars"] == sum(len("<|turn|>") + len(role) + 1 + len(t) + marks(t) + len("<|end|>") + 1 for _, role, t in own)
+    kinds = {r["kind"] for r in chat.events_of(read(spark, SF, "conversations")).select("kind").distinct().collect()}
+    assert kinds == {"start", "delta", "edit", "regenerate"}
+    long = "very <|end|> long \\ text " * 40_000
+    out = chat.format_log(chat.events_of(spark.createDataFrame([(1, 0, "assistant", long, "x")], "conv_id long, turn long, role string, text string, seq string"))).first()
+    assert chat.parse(out["formatted"]) == [("assistant", long)] and chat.unescape(out["formatted"][out["loss_begin"][0] : out["loss_end"][0]]) == long
 
 
 def test_chat_repeated_rows(spark):
@@ -444,11 +635,12 @@ def brute_words(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("most_bits", [28, 10])
-def test_substring_dedup(corpus, docs, empty, monkeypatch, most_bits):
-    monkeypatch.setattr("fuzzcurve.llm.sketch.MOST_BITS", most_bits)  # 10: tiny sketches, several rounds
-    if most_bits == 10:
-        monkeypatch.setattr("fuzzcurve.llm.sketch.bits_for", lambda n: (10, 3))
+@pytest.mark.parametrize("bits", [28, 4])
+def test_substring_dedup(corpus, docs, empty, monkeypatch, bits):
+    monkeypatch.setattr("fuzzcurve.llm.sketch.MOST_BITS", bits)  # 4: the sketch is full and passes everything
+    if bits == 4:
+        monkeypatch.setattr("fuzzcurve.llm.sketch.bits_for", lambda n: 4)
+        monkeypatch.setattr(substring, "HELD", 50)
     got = substring.substring_dedup(docs).collect()
     want = brute_words(corpus)
     assert len(got) == docs.count() and substring.substring_dedup(empty).count() == 0
