@@ -398,12 +398,13 @@ def _grouped(known: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[D
     large = write_table(large.select("doc_id", "c", F.xxhash64("j", "band").alias("grp"), F.coalesce("component", "doc_id").alias("component")), "large")
     parts = large.groupBy("grp", "component").agg(F.count("*").alias("m"))
     most = parts.groupBy("grp").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("most"), F.count("*").alias("p")).where("p > 1")
+    most = write_table(most, "most")  # so that a join with a hot band can be split
     asked = large.join(most, "grp").where("component <> most").groupBy("doc_id").agg(F.max_by("grp", F.struct("c", "grp")).alias("grp")).select(F.col("doc_id").alias("q"), "grp")
     asked = write_table(asked, "asked")
     panel = large.where(F.pmod(F.xxhash64("doc_id", "grp"), F.col("c")) < PANEL).select("grp", "doc_id", F.lit(1).alias("size"))
     more = _links(sets, asked, panel, percent)
     links = write_table(stars.unionByName(more), "links")
-    drop_tables(band, sets, large, asked, stars, more)
+    drop_tables(band, sets, large, most, asked, stars, more)
     return links, write_table(components(links), "groups")
 
 
