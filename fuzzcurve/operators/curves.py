@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import interpolate, min_max, over_max
-from .rank import distributed_rank
+from .rank import distributed_rank, quantiles
 
 
 def collapse_times(df: DataFrame, dealt: bool = False) -> DataFrame:
@@ -84,8 +84,10 @@ def to_wide(resampled: DataFrame) -> DataFrame:
     return resampled.groupBy("curve_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("ys"))
 
 
-def median_curve(df: DataFrame, n: int = 50, dealt: bool = False) -> DataFrame:
-    return resample(df, n, dealt=dealt).groupBy("k").agg(F.first("gx").alias("gx"), F.percentile("y", 0.5).alias("median"), F.count("*").alias("n"))
+def median_curve(df: DataFrame, n: int = 50, dealt: bool = False, accuracy: int | None = None) -> DataFrame:
+    """(k, gx, median, n) over all curves at each grid point."""
+    q = quantiles(resample(df, n, dealt=dealt), ["k"], "y", [0.5], accuracy)
+    return q.select("k", (F.col("k") / (n - 1)).alias("gx"), F.col("q")[0].alias("median"), "n")
 
 
 def dips(df: DataFrame, eps: float = 1e-9, tie: str = "event_id") -> DataFrame:

@@ -12,26 +12,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import dominant, triangular
 from ..sources.tables import linspace
-from .profile import quantile, value_counts
+from .profile import tall, value_counts
+from .rank import quantiles
 
 LABELS = ("Low", "Medium", "High")
 Knots = Mapping[str, Sequence[float]]
 
 
-def fit_knots(df: DataFrame, features: Sequence[str], strategy: str = "quantile", transform: str | None = None, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict[str, list[float]]:
-    """Three knots a feature from one row for each curve.
+def labels_of(n_sets: int) -> tuple[str, ...]:
+    """Low, Medium, High for three sets, else Low, Medium 1, ..., High (Low and High for two)."""
+    return LABELS if n_sets == 3 else ("Low", *[f"Medium {i}" for i in range(1, n_sets - 1)], "High")
 
-    ``quantile``: the given quantiles; ``minmax``: least, middle, largest;
-    ``kmeans``: sorted centres of three clusters. ``transform='log1p'`` takes
-    the logarithm first, and the knots are on that scale.
+
+def fit_knots(df: DataFrame, features: Sequence[str], strategy: str = "quantile", transform: str | None = None, probs: Sequence[float] | None = None, n_sets: int = 3, accuracy: int | None = None) -> dict[str, list[float]]:
+    """``n_sets`` knots a feature from one row for each curve.
+
+    ``quantile``: the quantiles ``probs``, by default evenly spaced inside
+    (0.25, 0.5 and 0.75 for three); ``minmax``: evenly from least to largest;
+    ``kmeans``: sorted cluster centres. ``transform='log1p'`` takes the
+    logarithm first, and the knots are on that scale. A feature without a
+    known value has no knots.
     """
+    if n_sets < 2:
+        raise ValueError("n_sets must be 2 or more")
     x = {f: F.log1p(F.col(f).cast("double")) if transform == "log1p" else F.col(f).cast("double") for f in features}
     if strategy == "quantile":
-        row = df.agg(*[quantile(c, list(probs)).alias(f) for f, c in x.items()]).first()
-        return {f: list(row[f] or []) for f in features}
+        own = df.select(*[c.alias(f) for f, c in x.items()])
+        found = quantiles(tall(own, list(features)), ["col"], "value", probs or [i / (n_sets + 1) for i in range(1, n_sets + 1)], accuracy)
+        knots = {r["col"]: list(r["q"]) for r in found.collect()}
+        return {f: knots.get(f, []) for f in features}
     if strategy == "minmax":
-        row = df.agg(*[F.array(F.min(c), (F.min(c) + F.max(c)) / 2, F.max(c)).alias(f) for f, c in x.items()]).first()
-        return {f: list(row[f]) for f in features}
+        row = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f) for f, c in x.items()]).first()
+        even = lambda lo, hi: [lo + (hi - lo) * i / (n_sets - 1) for i in range(n_sets)]
+        return {f: even(*row[f]) if row[f]["lo"] is not None else [] for f in features}
     if strategy == "kmeans":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
@@ -39,25 +52,25 @@ def fit_knots(df: DataFrame, features: Sequence[str], strategy: str = "quantile"
         out = {}
         for f, c in x.items():
             data = VectorAssembler(inputCols=["x"], outputCol="v").transform(df.select(c.alias("x")).na.drop())
-            out[f] = sorted(float(v[0]) for v in KMeans(k=3, seed=7, featuresCol="v").fit(data).clusterCenters())
+            out[f] = sorted(float(v[0]) for v in KMeans(k=n_sets, seed=7, featuresCol="v").fit(data).clusterCenters())
         return out
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def knot_report(spark: SparkSession, knots: Knots, labels: Sequence[str] = LABELS) -> DataFrame:
-    return spark.createDataFrame([(f, label, float(k)) for f, ks in knots.items() for label, k in zip(labels, ks)], "feature string, label string, knot double")
+def knot_report(spark: SparkSession, knots: Knots, labels: Sequence[str] | None = None) -> DataFrame:
+    return spark.createDataFrame([(f, label, float(k)) for f, ks in knots.items() for label, k in zip(labels or labels_of(len(ks)), ks)], "feature string, label string, knot double")
 
 
 def column(feature: str, label: str) -> str:
     return f"{feature} [{label}]"
 
 
-def fuzzify(df: DataFrame, knots: Knots, labels: Sequence[str] = LABELS, transform: str | None = None) -> DataFrame:
-    """``df`` and a membership column for each feature and label."""
+def fuzzify(df: DataFrame, knots: Knots, labels: Sequence[str] | None = None, transform: str | None = None) -> DataFrame:
+    """``df`` and a membership column for each feature and label; a streaming table will do, since it is a projection."""
     new = {}
     for f, ks in knots.items():
         x = F.col(f).cast("double")
-        new |= {column(f, label): m for label, m in zip(labels, triangular(F.log1p(x) if transform == "log1p" else x, ks))}
+        new |= {column(f, label): m for label, m in zip(labels or labels_of(len(ks)), triangular(F.log1p(x) if transform == "log1p" else x, ks))}
     return df.withColumns(new)
 
 
@@ -95,10 +108,10 @@ def joint_view(df: DataFrame, fx: str, fy: str, labels: Sequence[str] = LABELS)
     return dominant_set(df, fx, labels).select(F.col(fx).alias("x"), F.col(fy).alias("y"), "dominant")
 
 
-def fold_knots(df: DataFrame, feature: str, fold: str, folds: int, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+def fold_knots(df: DataFrame, feature: str, fold: str, folds: int, probs: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int | None = None) -> DataFrame:
     """(fold, k0, k1, k2): knots of each fold's training rows, those of the other folds."""
     train = df.select(F.col(feature).cast("double").alias("x"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col(fold))).alias("fold"))
-    q = train.groupBy("fold").agg(quantile("x", list(probs)).alias("q"))
+    q = quantiles(train, ["fold"], "x", list(probs), accuracy)
     return q.select("fold", *[F.col("q")[i].alias(f"k{i}") for i in range(len(probs))])
 
 

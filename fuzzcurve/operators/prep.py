@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .profile import quantile
-from .rank import distributed_rank
+from .rank import distributed_rank, quantiles
 
 
 def auc_class(summary: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -50,8 +49,9 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{col}={v}": F.when(F.col(col).isNotNull(), (F.col(col) == v).cast("int")) for v in levels})
 
 
-def fit_levels(train: DataFrame, col: str, most: int = 1000) -> list[str]:
-    return [r[0] for r in train.where(F.col(col).isNotNull()).groupBy(col).count().orderBy(F.desc("count"), col).limit(most).sort(col).select(col).collect()]
+def fit_levels(train: DataFrame, col: str) -> list[str]:
+    """Every known level of the training rows, in order. An indicator column is made of each, so a column is nominal only if its levels are few."""
+    return [r[0] for r in train.where(F.col(col).isNotNull()).select(col).distinct().sort(col).collect()]
 
 
 def _training(df: DataFrame, cols: Sequence[str], fold: str, folds: int) -> DataFrame:
@@ -64,7 +64,7 @@ def fold_scale(df: DataFrame, col: str, fold: str, folds: int) -> DataFrame:
     return df.join(fitted, F.col(fold) == F.col("__fold"), "left").withColumn("scaled", F.when(F.col("__s") > 0, (F.col(col) - F.col("__m")) / F.col("__s"))).drop("__fold", "__m", "__s")
 
 
-def fold_impute(df: DataFrame, col: str, fold: str, folds: int) -> DataFrame:
+def fold_impute(df: DataFrame, col: str, fold: str, folds: int, accuracy: int | None = None) -> DataFrame:
     """(``df``, imputed): nulls take the median of the other folds' rows."""
-    fitted = _training(df, [col], fold, folds).groupBy("__fold").agg(quantile(col, 0.5).alias("__m"))
+    fitted = quantiles(_training(df, [col], fold, folds), ["__fold"], col, [0.5], accuracy).select("__fold", F.col("q")[0].alias("__m"))
     return df.join(fitted, F.col(fold) == F.col("__fold"), "left").withColumn("imputed", F.coalesce(col, "__m")).drop("__fold", "__m")

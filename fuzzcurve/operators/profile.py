@@ -1,20 +1,19 @@
 """Profiles of static tables: shapes, quantiles, histograms, counts and boxes.
 
-Quantiles are exact (linear between neighbours). An exact quantile keeps the
-counts of distinct values of a group; for columns of very many distinct
-values pass ``accuracy`` to get ``percentile_approx`` instead.
+Quantiles are exact (linear between neighbours) and found without bringing a
+group's values into one task (``rank.quantiles``); ``accuracy`` asks for
+``percentile_approx`` instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-
-def quantile(c: str | Column, q: float | Sequence[float], accuracy: int | None = None) -> Column:
-    p = F.array(*[F.lit(float(x)) for x in q]) if isinstance(q, (list, tuple)) else F.lit(float(q))
-    return F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)
+from ..functions.scalar import key_label
+from .rank import quantiles
 
 
 def shape(df: DataFrame, key: str) -> DataFrame:
@@ -34,14 +33,18 @@ def tall(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFr
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each column, nulls left out."""
-    out = tall(df, cols).where("value is not null").groupBy("col").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), quantile("value", [0.25, 0.5, 0.75]).alias("q"), F.max("value").alias("hi"))
+    long = tall(df, cols).where("value is not null")
+    out = long.groupBy("col").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    out = out.join(quantiles(long, ["col"], "value", [0.25, 0.5, 0.75], accuracy).drop("n"), "col")
     return out.select("col", "n", "mean", "std", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return tall(df, cols).groupBy("col").agg(quantile("value", 0.5).alias("median"))
+def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """The median of each column; null for a column without a known value."""
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "col string")
+    return every.join(quantiles(tall(df, cols), ["col"], "value", [0.5], accuracy), "col", "left").select("col", F.col("q")[0].alias("median"))
 
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -57,30 +60,38 @@ def _count_bins(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
     return bins.join(got, "bin", "left").select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
-def _ends(df: DataFrame, col: str) -> tuple[float, float]:
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    if lo is None:
-        raise ValueError(f"{col} has no value to bin")
-    return float(lo), float(hi)
+def _bins(df: DataFrame, col: str, edges) -> DataFrame:
+    """Counts between ``edges(least, largest)``; without a known value, or of infinite ones, no bins."""
+    lo, hi = df.where(~F.isnan(F.col(col).cast("double"))).agg(F.min(col), F.max(col)).first()
+    if lo is None or not math.isfinite(float(hi) - float(lo)):
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
+    return _count_bins(df, col, edges(float(lo), float(hi)))
+
+
+def _linear(bins: int):
+    def edges(lo: float, hi: float) -> list[float]:
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        return [lo + (hi - lo) * i / bins for i in range(bins)] + [hi]
+
+    return edges
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal bins from the least to the largest value. Edges are compared, not divided by, so edge values fall right."""
-    lo, hi = _ends(df, col)
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    return _count_bins(df, col, [lo + (hi - lo) * i / bins for i in range(bins)] + [hi])
+    return _bins(df, col, _linear(bins))
+
 
+def histogram_log(df: DataFrame, col: str, bins: int = 21, linear_bins: int = 22) -> DataFrame:
+    """Log-spaced bins with the exact extremes at the ends, if all known values are positive; else ``linear_bins`` equal ones. Nulls are left out."""
 
-def histogram_log(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Log-spaced bins; the ends are the exact extremes. All values must be positive."""
-    import math
+    def edges(lo: float, hi: float) -> list[float]:
+        if lo <= 0 or lo == hi:
+            return _linear(linear_bins if lo <= 0 else bins)(lo, hi)
+        step = (math.log10(hi) - math.log10(lo)) / bins
+        return [lo] + [10 ** (math.log10(lo) + i * step) for i in range(1, bins)] + [hi]
 
-    lo, hi = _ends(df, col)
-    if lo <= 0:
-        raise ValueError(f"{col} is not positive")
-    step = (math.log10(hi) - math.log10(lo)) / bins
-    return _count_bins(df, col, [lo] + [10 ** (math.log10(lo) + i * step) for i in range(1, bins)] + [hi])
+    return _bins(df, col, edges)
 
 
 def histogram_int(df: DataFrame, col: str, start: int = 4) -> DataFrame:
@@ -101,9 +112,19 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
 
 
-def top_categories(df: DataFrame, col: str, k: int = 15) -> DataFrame:
-    """The ``k`` commonest values; ties by value."""
-    return value_counts(df, col).orderBy(F.desc("n"), col).limit(k)
+def top_categories(df: DataFrame, col: str | None, k: int = 15, key: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` commonest values; ties by value.
+
+    Without a label column (None, not there, or without any known value) the
+    tuples of ``key`` are counted, and named after the first (MW) and the
+    last (LogP); ties by name.
+    """
+    labelled = col is not None and col in df.columns and (not key or not df.where(F.col(col).isNotNull()).isEmpty())
+    if labelled:
+        return value_counts(df, col).orderBy(F.desc("n"), col).limit(k)
+    name = key_label(F.col(key[0]), F.col(key[-1]))
+    counts = df.groupBy(*key).agg(F.count("*").alias("n")).select(name.alias(col or "label"), "n", *key)
+    return counts.orderBy(F.desc("n"), *key).limit(k).select(col or "label", "n")
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,10 +136,10 @@ def distinct_composite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.countDistinct(F.struct(*cols)).alias("n_distinct"))
 
 
-def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
+def box_stats(df: DataFrame, key: str, value: str, accuracy: int | None = None) -> DataFrame:
     """Quartiles, size and the whiskers at 1.5 interquartile ranges of each group."""
     own = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value)
-    q = own.groupBy(key).agg(quantile(value, [0.25, 0.5, 0.75]).alias("q"), F.count("*").alias("n")).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "n")
+    q = quantiles(own, [key], value, [0.25, 0.5, 0.75], accuracy).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = own.join(q, key).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)).groupBy(key).agg(F.min(value).alias("whisk_lo"), F.max(value).alias("whisk_hi"))
     return q.join(inside, key, "left").select(key, "q1", "med", "q3", "whisk_lo", "whisk_hi", "n")

@@ -1,8 +1,9 @@
-"""Ranks without a global window.
+"""Ranks and quantiles without a global window.
 
 Values are cut into buckets at approximate quantiles (which only balance the
 buckets); counts of whole buckets give offsets, and windows run inside a
-bucket.
+bucket. Ties never make a bucket large: counts of equal values are combined
+first, and where rows themselves are ordered, ties are cut by the key.
 """
 
 from __future__ import annotations
@@ -19,22 +20,43 @@ def _bucket(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def _key_cuts(rows: DataFrame, key: str, counts: dict[int, int], sample: int = 2048) -> dict[int, list]:
+    """For each bucket of ``counts`` up to ``BUCKETS`` cuts of ``key``, from about ``sample`` keys picked by their hash."""
+    rate = F.lit(1)
+    for b, n in counts.items():
+        rate = F.when(F.col("__bucket") == b, max(1, n // sample)).otherwise(rate)
+    picked: dict[int, list] = {}
+    for r in rows.where(F.col("__bucket").isin(*counts) & (F.pmod(F.xxhash64(key), rate) == 0)).select("__bucket", key).collect():
+        picked.setdefault(r[0], []).append(r[1])
+    return {b: sorted(set(keys))[:: max(1, len(keys) // BUCKETS)] for b, keys in picked.items()}
+
+
 def distributed_rank(df: DataFrame, value: str, key: str) -> tuple[DataFrame, int]:
-    """``df`` with ``pos`` (0-based, by value then key), and the number of rows; ``value`` has no nulls.
+    """``df`` with ``pos`` (0-based, by value then key), and the number of rows; ``value`` and ``key`` have no nulls.
 
-    Only the edges and one count a bucket come to the driver.
+    A value that stands at an edge has a bucket of its own; if many rows tie
+    there, the bucket is cut again at sampled keys, so no window holds them
+    all. The driver gets edges, a bounded sample of keys and counts of
+    buckets.
     """
     edges = sorted(set(df.select(F.percentile_approx(value, F.array(*map(F.lit, _PROBS)), 10_000)).first()[0] or []))
-    bucket = _bucket(F.col(value), F.array(*map(F.lit, edges)).cast("array<double>"))
-    own = df.withColumn("__bucket", bucket)
-    counts = dict(own.groupBy("__bucket").count().collect())
-    offset, total = F.lit(0), 0
-    for b in range(len(edges) + 1):
-        if b in counts:
-            offset = F.when(F.col("__bucket") == b, total).otherwise(offset)
-            total += counts[b]
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(value, key))
-    return own.withColumn("pos", (place - 1 + offset).cast("long")).drop("__bucket"), total
+    bucket = 2 * _bucket(F.col(value), F.array(*map(F.lit, edges)).cast("array<double>"))
+    own = df.withColumn("__bucket", bucket - F.col(value).isin(*edges).cast("int") if edges else bucket)
+    counts = {(b, 0): n for b, n in own.groupBy("__bucket").count().collect()}
+    total = sum(counts.values())
+    part = F.lit(0)
+    if tied := {b: n for (b, _), n in counts.items() if b % 2 and n > max(2 * total // BUCKETS, 1000)}:
+        for b, cuts in _key_cuts(own, key, tied).items():
+            part = F.when(F.col("__bucket") == b, _bucket(F.col(key), F.array(*map(F.lit, cuts)))).otherwise(part)
+    own = own.withColumn("__part", part)
+    if tied:
+        counts = {(b, k): n for b, k, n in own.groupBy("__bucket", "__part").count().collect()}
+    offset, before = F.lit(0), 0
+    for (b, k), n in sorted(counts.items()):
+        offset = F.when((F.col("__bucket") == b) & (F.col("__part") == k), before).otherwise(offset)
+        before += n
+    place = F.row_number().over(Window.partitionBy("__bucket", "__part").orderBy(value, key))
+    return own.withColumn("pos", (place - 1 + offset).cast("long")).drop("__bucket", "__part"), total
 
 
 def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -57,3 +79,38 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFr
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """``df`` with the average rank of ``value`` within the groups ``by``."""
     return df.join(rank_table(df, by, value, out), [*by, value])
+
+
+#: Of ``quantiles``: the accuracy of the approximate bounds, and how far apart they are set around each wanted quantile.
+ACCURACY, REACH = 10_000, 3 / 10_000
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int | None = None) -> DataFrame:
+    """(by, q, n): quantiles of the known values of each group, linear between neighbours, as an array, and how many values.
+
+    Exact, and no task holds a group's values: approximate quantiles a little
+    to both sides of each wanted one are its bounds; what lies below is
+    counted, and only the distinct values between the bounds are ordered (all
+    of a group of up to ``ACCURACY`` values, where bounds would be too close).
+    ``accuracy`` asks for ``percentile_approx`` instead. Groups with a null
+    key are left out.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    if accuracy is not None:
+        return own.groupBy(*by).agg(F.percentile_approx("__v", F.array(*map(F.lit, probs)), accuracy).alias("q"), F.count("*").alias("n")).na.drop(subset=by)
+    bounds = [F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-REACH, REACH)]
+    edges = own.groupBy(*by).agg(F.percentile_approx("__v", F.array(*bounds), ACCURACY).alias("__e"), (F.count("*") <= ACCURACY).alias("__few"))
+    placed = own.join(edges, by) if by else own.join(F.broadcast(edges))
+    # NaN counts as the largest value, as in a sort
+    below = placed.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.count_if(~F.col("__few") & (F.col("__v") < F.col("__e")[2 * i])) for i in range(len(probs))]).alias("__below"))
+    between = F.filter(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.col("__few") | F.col("__v").between(F.get("__e", 2 * i), F.get("__e", 2 * i + 1)))
+    inside = placed.select(*by, "__v", F.explode(between).alias("__i")).groupBy(*by, "__i", "__v").agg(F.count("*").alias("__c"))
+    inside = inside.withColumn("__run", F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = inside.join(below.withColumnRenamed("n", "__n"), by) if by else inside.join(F.broadcast(below.withColumnRenamed("n", "__n")))
+    at = F.get(F.array(*map(F.lit, probs)), F.col("__i")) * (F.col("__n") - 1)
+    end = F.get("__below", F.col("__i")) + F.col("__run")
+    has = lambda k: F.max(F.when((k >= end - F.col("__c")) & (k < end), F.col("__v")))
+    ends = rows.groupBy(*by, "__i").agg(has(F.floor(at)).alias("lo"), has(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("f"), F.max("__n").alias("n"))
+    one = F.when(F.col("f") == 0, F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
+    return ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", one.alias("v")))), lambda x: x["v"]).alias("q"), F.max("n").alias("n"))

@@ -7,8 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .profile import quantile
-from .rank import rank_table
+from .rank import quantiles, rank_table
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -32,14 +31,17 @@ def driver_points(df: DataFrame, drivers: Sequence[str], y: str, third: str) ->
     return df.select(F.explode(rows).alias("p"), F.col(y).alias("y"), F.col(third).cast("double").alias("third")).select("p.*", "y", "third").na.drop("any")
 
 
-def binned_median_trend(points: DataFrame, bins: int = 10, min_n: int = 3) -> DataFrame:
+def binned_median_trend(points: DataFrame, bins: int = 10, min_n: int = 3, accuracy: int | None = None) -> DataFrame:
     """(driver, bin, cx, cy, n): medians between the quantile edges of each driver's x.
 
     Bins are closed on both sides, so a value on an inner edge counts twice.
     The edges (a row for each driver and bin) are the small side of the range
     join; Spark broadcasts it by its size.
     """
-    edges = points.groupBy("driver").agg(quantile("x", [i / bins for i in range(bins + 1)]).alias("e"))
+    edges = quantiles(points, ["driver"], "x", [i / bins for i in range(bins + 1)], accuracy).withColumnRenamed("q", "e")
     edges = edges.select(F.col("driver").alias("d"), F.posexplode(F.arrays_zip(F.slice("e", 1, bins).alias("lo"), F.slice("e", 2, bins).alias("hi"))).alias("bin", "z")).select("d", "bin", F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi"))
     inside = points.join(edges, (F.col("driver") == F.col("d")) & F.col("x").between(F.col("lo"), F.col("hi")))
-    return inside.groupBy("driver", "bin").agg(quantile("x", 0.5).alias("cx"), quantile("y", 0.5).alias("cy"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    both = inside.select("driver", "bin", F.explode(F.array(F.struct(F.lit("cx").alias("of"), F.col("x").alias("v")), F.struct(F.lit("cy").alias("of"), F.col("y").alias("v")))).alias("p")).select("driver", "bin", "p.*")
+    mid = quantiles(both, ["driver", "bin", "of"], "v", [0.5], accuracy).where(F.col("n") >= min_n)
+    side = lambda of: F.max(F.when(F.col("of") == of, F.col("q")[0])).alias(of)
+    return mid.groupBy("driver", "bin").agg(side("cx"), side("cy"), F.max("n").alias("n"))

@@ -172,6 +172,13 @@ def clip_release(spark, sf_dir):
     return fixtures.noisy(spark, sf_dir).select("curve_id", "event_id", scalar.clip(F.col("r")).alias("r"))
 
 
+@query("SELECT curve_id, event_id, round(t, 6) AS t, round(r, 6) AS r FROM (SELECT l_orderkey AS curve_id, l_linenumber AS event_id, CAST(l_quantity AS DOUBLE) AS t, CAST(l_discount AS DOUBLE) AS r FROM lineitem)")
+def load_curves(spark, sf_dir):
+    names = {"curve_id": "l_orderkey", "event_id": "l_linenumber", "t": "l_quantity", "r": "l_discount"}
+    rows = tables.load_curves(spark, f"{sf_dir}/lineitem.parquet")
+    return rows.select(*[F.col(old).cast("double" if new in ("t", "r") else rows.schema[old].dataType).alias(new) for new, old in names.items()])
+
+
 # profiles
 
 
@@ -235,9 +242,26 @@ def hist_int(spark, sf_dir):
     return profile.histogram_int(_summary(spark, sf_dir), "n_points")
 
 
-@query(_hist_sql("V", "r", "pow(10, log10(lo) + {i} * ((log10(hi) - log10(lo)) / 21))", 21), ["V"])
+def _log_sql(source: str, col: str) -> str:
+    """Log edges where all values are positive, else linear ones."""
+    edge = "CASE WHEN {i} = 0 THEN lo WHEN {i} = bins THEN hi WHEN lo > 0 THEN pow(10, log10(lo) + {i} * ((log10(hi) - log10(lo)) / bins)) ELSE lo + (hi - lo) * {i} / bins END"
+    return f"""WITH X AS (SELECT CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi, CASE WHEN min({col}) > 0 THEN 21 ELSE 22 END AS bins FROM {source}), B AS (SELECT CAST(i AS INTEGER) AS bin, bins, {edge.format(i='i')} AS a, {edge.format(i='(i + 1)')} AS z FROM (SELECT *, unnest(range(bins)) AS i FROM X))
+SELECT bin, round(a, 6) AS lo, round(z, 6) AS hi, count({col}) AS n FROM B LEFT JOIN {source} ON {col} >= a AND ({col} < z OR bin = bins - 1 AND {col} <= z) GROUP BY bin, a, z"""
+
+
+@query(_log_sql("V", "r"), ["V"])
 def hist_log(spark, sf_dir):
-    return profile.histogram_log(fixtures.noisy(spark, sf_dir), "r", 21)
+    return profile.histogram_log(fixtures.noisy(spark, sf_dir), "r")
+
+
+@query(_log_sql("P", "p_retailprice"), ["P"])
+def hist_log_positive(spark, sf_dir):
+    return profile.histogram_log(fixtures.parts(spark, sf_dir), "p_retailprice")
+
+
+@query(_log_sql("customer", "c_acctbal"))
+def hist_log_fallback(spark, sf_dir):
+    return profile.histogram_log(tables.load_table(spark, sf_dir, "customer"), "c_acctbal")
 
 
 @query("SELECT p_brand, count(*) AS n FROM P WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 15", ["P"])
@@ -245,6 +269,11 @@ def top_categories(spark, sf_dir):
     return profile.top_categories(fixtures.parts(spark, sf_dir), "p_brand")
 
 
+@query("SELECT 'MW' || CAST(trunc(p_retailprice) AS INTEGER) || '/LogP' || CAST(p_size AS INTEGER) || '.0' AS label, count(*) AS n FROM P GROUP BY p_retailprice, p_type, p_size ORDER BY n DESC, p_retailprice, p_type, p_size LIMIT 15", ["P"])
+def top_keys(spark, sf_dir):
+    return profile.top_categories(fixtures.parts(spark, sf_dir), None, key=["p_retailprice", "p_type", "p_size"])
+
+
 @query("SELECT p_brand, p_type, p_size, count(*) AS n FROM P WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL GROUP BY ALL", ["P"])
 def drug_space(spark, sf_dir):
     return profile.group_sizes(fixtures.parts(spark, sf_dir), ["p_brand", "p_type", "p_size"])
@@ -364,6 +393,19 @@ def worked_example(spark, sf_dir):
     return fuzzy.memberships(tables.literal_rows(spark, [5, 12, 25, 34, 46, 120]), k)
 
 
+@query(f"{FUZZY} SELECT id, 'p_size [Low]' AS name, 'Low' AS label, round(m_low, 6) AS m FROM D UNION ALL SELECT id, 'p_size [Medium]', 'Medium', round(m_medium, 6) FROM D UNION ALL SELECT id, 'p_size [High]', 'High', round(m_high, 6) FROM D", ["P"])
+def membership_rows(spark, sf_dir):
+    """The label of each membership column is the text in brackets of its name."""
+    names = [fuzzy.column("p_size", label) for label in fuzzy.LABELS]
+    long = profile.tall(_fuzzy(spark, sf_dir)[0], names, ["id"])
+    return long.select("id", F.col("col").alias("name"), scalar.bracketed(F.col("col")).alias("label"), F.col("value").alias("m"))
+
+
+@query("WITH Q AS (SELECT quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8]) AS k FROM P) SELECT 'p_retailprice' AS feature, l AS label, round(k[i], 6) AS knot FROM Q, (VALUES (1, 'Low'), (2, 'Medium 1'), (3, 'Medium 2'), (4, 'High')) AS v(i, l)", ["P"])
+def four_knots(spark, sf_dir):
+    return fuzzy.knot_report(spark, fuzzy.fit_knots(fixtures.parts(spark, sf_dir), ["p_retailprice"], n_sets=4))
+
+
 @query(f"{FUZZY}, L(label) AS (VALUES ('Low'), ('Medium'), ('High')) SELECT label, count(dominant) AS n FROM L LEFT JOIN D ON dominant = label GROUP BY label", ["P"])
 def dominant_counts(spark, sf_dir):
     return fuzzy.dominant_counts(_fuzzy(spark, sf_dir)[0], "p_size")
@@ -407,7 +449,7 @@ def trapezoid_sets(spark, sf_dir):
 @query("WITH X AS (SELECT quantile_cont(p_retailprice, 0.5) AS c, stddev_samp(p_retailprice) AS s FROM P) SELECT id, round(exp(-0.5 * pow((p_retailprice - c) / s, 2)), 6) AS m FROM P, X", ["P"])
 def gaussian_sets(spark, sf_dir):
     p = fixtures.parts(spark, sf_dir)
-    c, s = p.agg(F.percentile("p_retailprice", 0.5), F.stddev_samp("p_retailprice")).first()
+    c, s = profile.describe(p, ["p_retailprice"]).select("q2", "std").first()
     return p.select("id", scalar.gaussian(F.col("p_retailprice"), c, s).alias("m"))
 
 
@@ -462,13 +504,14 @@ def fold_impute(spark, sf_dir):
     return prep.fold_impute(rows, "v", "fold", FOLDS).select("c_custkey", "fold", "imputed")
 
 
-SEGMENTS_OF = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-
-
-@query("SELECT c_custkey, " + ", ".join(f"CAST(c_mktsegment = '{v}' AS INTEGER) AS is_{v.lower()}" for v in SEGMENTS_OF) + " FROM customer")
+@query(f"WITH {GROUPED}, L AS (SELECT DISTINCT c_mktsegment AS level FROM J WHERE fold <> 0 AND c_mktsegment IS NOT NULL) SELECT c_custkey, level, CAST(c_mktsegment = level AS INTEGER) AS is_level FROM J, L")
 def one_hot(spark, sf_dir):
-    rows = prep.one_hot(tables.load_table(spark, sf_dir, "customer"), "c_mktsegment", SEGMENTS_OF)
-    return rows.select("c_custkey", *[F.col(f"`c_mktsegment={v}`").alias(f"is_{v.lower()}") for v in SEGMENTS_OF])
+    """Levels come from the training rows alone; shown as one row for each customer and level."""
+    rows = _folds(spark, sf_dir)
+    levels = prep.fit_levels(rows.where("fold <> 0"), "c_mktsegment")
+    coded = prep.one_hot(rows, "c_mktsegment", levels)
+    long = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"`c_mktsegment={v}`").alias("is_level")) for v in levels])
+    return coded.select("c_custkey", F.explode(long).alias("x")).select("c_custkey", "x.*")
 
 
 PREDICTED = f"WITH {SUMMARY.format(v='E')}, Z AS (SELECT curve_id, auc_norm AS y, avg(auc_norm) OVER (PARTITION BY c_mktsegment) AS p, rel_72h, CASE WHEN auc_norm > 0.5 THEN 1 ELSE 0 END AS c FROM Y JOIN customer ON c_custkey = curve_id WHERE auc_norm IS NOT NULL)"
@@ -509,7 +552,7 @@ def curve_metrics(spark, sf_dir):
     return by.select(F.col("auc_class").cast("string").alias("subgroup"), *by.columns[1:]).unionByName(metrics.regression_metrics(rows).withColumn("subgroup", F.lit("all")))
 
 
-# models: compared by rows only
+# models: without SQL; tests/test_models.py holds them against what they must satisfy
 
 MODELLED = ["c_nationkey", "c_acctbal"]
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fuzzcurve.functions import scalar
 from fuzzcurve.operators import curves, fuzzy, metrics, prep, profile, rank, relate
 from fuzzcurve.sources import tables
-from fuzzcurve.streaming import fuzzify_stream
 
 CURVES = {
     1: [(2, 0.7)],
@@ -81,16 +80,19 @@ def test_empty_tables(spark, long):
     assert curves.archetypes(curves.curve_summary(none)).count() == 0
     assert profile.box_stats(none, "curve_id", "r").count() == 0
     assert relate.spearman_matrix(none, ["t", "r"]).count() == 0
-    with pytest.raises(ValueError):
-        profile.histogram(none, "r", 3)
+    assert profile.histogram(none, "r", 3).count() == profile.histogram_log(none, "r").count() == 0
+    assert profile.medians(none, ["r"]).first()["median"] is None and fuzzy.fit_knots(none, ["r"]) == {"r": []}
 
 
 def test_histograms_keep_all_rows(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 1, 2, 3, 5, 8, 10]] + [(None,)], "x double")
     for h in (profile.histogram(df, "x", 9), profile.histogram_log(df, "x", 6)):
         assert h.agg(F.sum("n")).first()[0] == 7
-    with pytest.raises(ValueError):
-        profile.histogram_log(df.withColumn("x", F.col("x") - 1), "x", 3)
+    log = profile.histogram_log(df, "x").orderBy("bin").collect()
+    assert len(log) == 21 and math.isclose(log[1]["lo"], 10 ** (1 / 21)) and (log[0]["lo"], log[-1]["hi"]) == (1, 10)
+    even = profile.histogram_log(df.withColumn("x", F.col("x") - 1), "x").orderBy("bin").collect()  # one value is 0
+    assert len(even) == 22 and sum(r["n"] for r in even) == 7 and all(math.isclose(r["hi"] - r["lo"], 9 / 22) for r in even)
+    assert profile.histogram_log(df.where("x = 1"), "x").agg(F.sum("n")).first()[0] == 2
 
 
 def test_distinct_counts_nulls_as_values(spark):
@@ -129,6 +131,73 @@ def test_distributed_rank(spark):
     assert [(r["v"], r["id"]) for r in rows] == sorted((r["v"], r["id"]) for r in rows)
 
 
+def test_distributed_rank_with_hot_ties(spark, monkeypatch):
+    """Nine rows in ten share a value; no window holds them all."""
+    n = 20_000
+    df = spark.range(n).select(F.format_string("k%07d", F.col("id") * 7919 % n).alias("key"), F.when(F.col("id") % 10 == 0, F.col("id") / 7).otherwise(F.lit(100.0)).alias("v"))
+    seen, real = [], rank._key_cuts
+    monkeypatch.setattr(rank, "_key_cuts", lambda *a: seen.append(real(*a)) or seen[-1])
+    ranked, count = rank.distributed_rank(df, "v", "key")
+    rows = ranked.orderBy("pos").collect()
+    assert count == n and [r["pos"] for r in rows] == list(range(n))
+    assert [(r["v"], r["key"]) for r in rows] == sorted((r["v"], r["key"]) for r in rows)
+    cuts = next(iter(seen[0].values()))
+    tied = sorted(r["key"] for r in rows if r["v"] == 100.0)
+    import bisect
+
+    sizes = [bisect.bisect_left(tied, b) - bisect.bisect_left(tied, a) for a, b in zip(["", *cuts], [*cuts, "z"])]
+    assert max(sizes) < n / 20
+
+
+def test_quantiles_are_exact(spark):
+    """Ties, hot values, single rows and nulls, against the sorted list."""
+    import random
+
+    rng = random.Random(3)
+    groups = {"a": [rng.random() for _ in range(30_000)], "b": [7.0] * 20_000 + [rng.random() * 9 for _ in range(4000)], "bb": [rng.random() for _ in range(800)], "c": [3.0], "d": [1.0, 2.0], "e": [float(rng.randrange(5)) for _ in range(999)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("f", None)], "g string, v double").repartition(4)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: (r["q"], r["n"]) for r in rank.quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for p, q in zip(probs, got[g][0]):
+            at = p * (len(vs) - 1)
+            i = int(at)
+            assert math.isclose(q, vs[i] + (vs[min(i + 1, len(vs) - 1)] - vs[i]) * (at - i), abs_tol=1e-12)
+        assert got[g][1] == len(vs)
+    assert rank.quantiles(df, [], "v", [0.5]).first()["n"] == sum(map(len, groups.values()))
+    near = rank.quantiles(df.where("g = 'a'"), ["g"], "v", [0.5], accuracy=100).first()["q"][0]
+    assert abs(near - 0.5) < 0.05
+
+
+def test_top_categories_without_labels(spark):
+    df = spark.createDataFrame([(None, 300.7, 9.0, 2.25), (None, 300.7, 9.0, 2.25), (None, 18.2, 1.0, -0.5)], "drug string, mw double, tpsa double, logp double")
+    key = ["mw", "tpsa", "logp"]
+    want = [("MW300/LogP2.2", 2), ("MW18/LogP-0.5", 1)]
+    assert [tuple(r) for r in profile.top_categories(df, "drug", key=key).collect()] == want
+    assert [tuple(r) for r in profile.top_categories(df.drop("drug"), "drug", key=key).collect()] == want
+    assert [tuple(r) for r in profile.top_categories(df.fillna("x"), "drug", key=key).collect()] == [("x", 3)]
+
+
+def test_levels_and_sets(spark):
+    df = spark.createDataFrame([(f"l{i:04}", float(i)) for i in range(1500)] + [(None, None)], "c string, x double")
+    assert len(prep.fit_levels(df, "c")) == 1500
+    assert fuzzy.labels_of(3) == ("Low", "Medium", "High") and fuzzy.labels_of(2) == ("Low", "High")
+    knots = fuzzy.fit_knots(df, ["x"], "minmax", n_sets=4)
+    assert knots == {"x": [0.0, 1499 / 3, 1499 * 2 / 3, 1499.0]}
+    assert "x [Medium 2]" in fuzzy.fuzzify(df, knots).columns
+
+
+def test_tables_in_and_out(spark, long, tmp_path):
+    tables.write_result(long, str(tmp_path / "out"))
+    back = tables.load_curves(spark, str(tmp_path / "out"))
+    assert back.count() == long.count() and back.where(F.isnan("r")).count() == 0
+    long.select("curve_id", "t", "r").coalesce(1).write.option("header", True).csv(str(tmp_path / "csv"))
+    read = tables.load_curves(spark, str(tmp_path / "csv"), tables.CURVE_SCHEMA, "csv")
+    assert read.schema == tables.CURVE_SCHEMA and read.where("r is not null").count() == long.where("r is not null and not isnan(r)").count()
+
+
 def test_metadata_keeps_row_count(spark, long):
     meta = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, None, 0)], "curve_id long, drug string, o int")
     out, flag = tables.attach_metadata(long, meta, "curve_id", ["drug"], "o")
@@ -170,8 +239,9 @@ def test_scalars(spark):
 
 
 def test_fuzzify_stream(spark, tmp_path):
+    """Memberships are a projection, so a streaming table gets them too."""
     spark.range(5).select(F.col("id").cast("double").alias("f")).write.parquet(str(tmp_path / "in"))
-    stream = fuzzify_stream(spark.readStream.schema("f double").parquet(str(tmp_path / "in")), {"f": [1, 2, 3]})
+    stream = fuzzy.fuzzify(spark.readStream.schema("f double").parquet(str(tmp_path / "in")), {"f": [1, 2, 3]})
     job = stream.writeStream.format("memory").queryName("fuzzy").start()
     job.processAllAvailable()
     job.stop()
