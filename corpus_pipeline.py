@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last
 return the columns of documents.
+
+Rows without an id go through every stage: the first judges them by their
+text, the others pass them on, the last encodes them. Repeated rows are one
+document until the second stage, which keeps one of them. Null texts fail the
+first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
