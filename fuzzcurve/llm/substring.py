@@ -4,7 +4,8 @@ A window is ``k`` consecutive words of one document. A word goes if some
 window that covers it also starts in a document with a smaller id; windows
 are judged on the input.
 
-1. Every partition sketches the hashes of its windows and the sketches are
+1. Every partition sketches the hashes of its windows, each once a text (no text
+   loses a window to itself), and the sketches are
    merged (``sketch.repeated``): a bitmap of bounded size that overestimates.
 2. A second pass sends only windows estimated as repeated to their exact
    group, by 128 bits of their bytes. Before that, each task keeps a window's
@@ -36,13 +37,21 @@ from .marks import rewrite
 from .text import mix, span_hashes, windows, words
 
 #: Candidate rows that a task holds for its own comparison.
-HELD = 400_000
+HELD = 800_000
 
 
 def _window_hashes(k: int):
+    """Hashes to sketch: each window once a text, since no text loses a window to itself."""
+
     def hashes(data, offsets):
         w = words(data, offsets)
-        return windows(w, span_hashes(data, w.starts, w.ends)[0], k)[1]
+        first, h = windows(w, span_hashes(data, w.starts, w.ends)[0], k)
+        doc = w.doc[first]
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        return h[new]
 
     return hashes
 
