@@ -91,14 +91,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def with_rest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` and every column of ``docs`` in one struct ``rest``.
+def with_rest(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``doc_id``, ``text`` and every column of ``docs`` (but the text, if ``keep_text`` is false) in one struct ``rest``.
 
     Operators that hand whole documents on carry them this way, so that no
     other column of the input can clash with a name of theirs.
     """
     bounded_batches(docs)
-    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if keep_text or c != text_col])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 
 

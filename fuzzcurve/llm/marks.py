@@ -17,19 +17,20 @@ def text_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str) -> DataFrame:
+def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str, keep_text: bool = True) -> DataFrame:
     """Apply ``run`` to every document of ``docs``, with its row of ``marks`` where there is one.
 
     ``marks`` has arrays by doc_id, or by doc_id and ``key`` (see
     ``text_key``), which also reaches documents without an id. ``run`` takes
     Arrow batches of (rest, text, the arrays of ``marks``) and yields (rest,
     the ``fields``), which is also the result; ``rest`` holds the columns of
-    ``docs`` (see ``from_rest``). A bitmap of fixed size over the marked
-    documents keeps texts without marks out of the join.
+    ``docs`` (see ``from_rest``), without the text if ``keep_text`` is false
+    because a field replaces it: texts then travel once. A bitmap of fixed
+    size over the marked documents keeps texts without marks out of the join.
     """
     by_text = "key" in marks.columns
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.key_bitmap(marks, "key" if by_text else "doc_id"))
-    whole = with_rest(docs)
+    whole = with_rest(docs, keep_text=keep_text)
     rest = whole.schema["rest"].dataType.simpleString()
     arrays = [c for c in marks.columns if c not in ("doc_id", "key")]
     whole = whole.withColumn("key", text_key() if by_text else F.col("doc_id"))

@@ -169,7 +169,7 @@ def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     report = quality_report(docs, **limits)
     marked = report.where("not kept or removed_lines is not null")
     marks = marked.groupBy("doc_id", "key").agg(F.flatten(F.collect_set(F.coalesce("removed_lines", F.array().cast("array<int>")))).alias("lines"), F.max("kept").alias("kept"))
-    out = rewrite(docs, write_table(marks, "rejected"), _without_lines, "cleaned string, ok boolean")
+    out = rewrite(docs, write_table(marks, "rejected"), _without_lines, "cleaned string, ok boolean", keep_text=False)
     out = out.where("ok")
     return out.select(*from_rest(out, docs.columns, "cleaned"))
 

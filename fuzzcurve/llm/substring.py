@@ -172,7 +172,7 @@ def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
 
 
 def _deduped(docs: DataFrame, k: int) -> DataFrame:
-    return rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long")
+    return rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long", keep_text=False)
 
 
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
