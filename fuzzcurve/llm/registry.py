@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard, language, packing, quality, substring, suffix, urls
+from . import bpe, chat, chosenpath, decontaminate, jaccard, language, packing, periods, quality, repair, substring, suffix, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_substring": substring.op9_substring,
     "op10_packing": packing.op10_packing,
+    "op11_repair": repair.op11_repair,
+    "op12_periods": periods.op12_periods,
+    "op13_chosenpath": chosenpath.op13_chosenpath,
 }
 ORACLES = {
     "op1_quality": quality.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op3_urls": urls.ORACLE,
     "op9_substring": substring.ORACLE,
+    "op12_periods": periods.ORACLE,
+    "op13_chosenpath": chosenpath.ORACLE,
 }
