@@ -4,6 +4,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -42,7 +43,7 @@ def duck():
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     return round(float(v), 6) if isinstance(v, float) else bool(v) if type(v).__name__ == "bool_" else v
 
