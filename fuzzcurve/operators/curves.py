@@ -113,7 +113,7 @@ def archetypes(summary: DataFrame, by: str = "auc_norm") -> DataFrame:
 
     Positions come from a distributed rank, never from one global window.
     """
-    ranked, n = distributed_rank(summary.where(F.col(by).isNotNull()).select("curve_id", by), by, "curve_id")
+    ranked, n = distributed_rank(summary.where(F.col(by).isNotNull()).select("curve_id", by), [by, "curve_id"])
     kinds = [(0, "slow"), (1, "slow"), (n // 2 - 1, "median"), (n // 2, "median"), (n - 2, "fast"), (n - 1, "fast")]
     wanted = {p: kind for p, kind in reversed(kinds) if 0 <= p < n}
     kind = F.lit(None).cast("string")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalar import dominant, triangular
 from ..sources.tables import linspace
 from .profile import tall, value_counts
-from .rank import quantiles
+from .rank import quantiles, quantiles_of_others
 
 LABELS = ("Low", "Medium", "High")
 Knots = Mapping[str, Sequence[float]]
@@ -110,9 +110,8 @@ def joint_view(df: DataFrame, fx: str, fy: str, labels: Sequence[str] = LABELS)
 
 def fold_knots(df: DataFrame, feature: str, fold: str, folds: int, probs: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int | None = None) -> DataFrame:
     """(fold, k0, k1, k2): knots of each fold's training rows, those of the other folds."""
-    train = df.select(F.col(feature).cast("double").alias("x"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col(fold))).alias("fold"))
-    q = quantiles(train, ["fold"], "x", list(probs), accuracy)
-    return q.select("fold", *[F.col("q")[i].alias(f"k{i}") for i in range(len(probs))])
+    q = quantiles_of_others(df, fold, folds, feature, list(probs), accuracy)
+    return q.select(F.col(fold).alias("fold"), *[F.col("q")[i].alias(f"k{i}") for i in range(len(probs))])
 
 
 def representation(df: DataFrame, features: Sequence[str], kind: str, labels: Sequence[str] = LABELS, out: str = "features") -> DataFrame:

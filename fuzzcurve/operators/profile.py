@@ -1,8 +1,7 @@
 """Profiles of static tables: shapes, quantiles, histograms, counts and boxes.
 
-Quantiles are exact (linear between neighbours) and found without bringing a
-group's values into one task (``rank.quantiles``); ``accuracy`` asks for
-``percentile_approx`` instead.
+Quantiles are exact (linear between neighbours; see ``rank.quantiles``);
+``accuracy`` asks for ``percentile_approx`` instead.
 """
 
 from __future__ import annotations
@@ -34,17 +33,21 @@ def tall(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFr
 
 
 def describe(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of each column, nulls left out."""
-    long = tall(df, cols).where("value is not null")
-    out = long.groupBy("col").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    out = out.join(quantiles(long, ["col"], "value", [0.25, 0.5, 0.75], accuracy).drop("n"), "col")
-    return out.select("col", "n", "mean", "std", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
+    """count, mean, sample std, min, quartiles and max of each column, nulls left out; a column without a known value has a count of 0."""
+    v = F.col("__v")
+    more = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    out = _names(df, cols).join(quantiles(tall(df, cols), ["col"], "value", [0.25, 0.5, 0.75], accuracy, more), "col", "left")
+    return out.select("col", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "std", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
+
+
+def _names(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col): a row for each name."""
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, cols))).alias("col"))
 
 
 def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """The median of each column; null for a column without a known value."""
-    every = df.sparkSession.createDataFrame([(c,) for c in cols], "col string")
-    return every.join(quantiles(tall(df, cols), ["col"], "value", [0.5], accuracy), "col", "left").select("col", F.col("q")[0].alias("median"))
+    return _names(df, cols).join(quantiles(tall(df, cols), ["col"], "value", [0.5], accuracy), "col", "left").select("col", F.col("q")[0].alias("median"))
 
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:

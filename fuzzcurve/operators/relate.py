@@ -5,24 +5,51 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import scratch
 from .rank import quantiles, rank_table
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, rho, n) for the upper triangle and the diagonal, over rows where both are known.
+    """(a, b, rho, n) for the upper triangle and the diagonal, over rows where both are known; a null rho where there are none.
 
-    Ranks are averaged over ties and computed in buckets (``rank_table``).
+    Rows are told apart by which columns they have. Where the complete rows of
+    several pairs are the same set, a column is ranked once for all of them; a
+    row's ranks are then one vector, and one aggregate over the vectors gives
+    every pair. Without nulls that is one ranking for each column. The driver
+    gets the distinct patterns, at most ``2 ** len(cols)``.
     """
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("va"), F.col(f"`{b}`").cast("double").alias("vb")) for a, b in combinations(cols, 2)])
-    long = df.select(F.explode(pairs).alias("p")).select("p.*").where("va is not null and vb is not null")
-    # each side's ranks come from the rows themselves, not from the other side's result, which would be computed over again
-    ranked = long.join(rank_table(long, ["a", "b"], "va", "ra"), ["a", "b", "va"]).join(rank_table(long, ["a", "b"], "vb", "rb"), ["a", "b", "vb"])
-    upper = ranked.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
-    diagonal = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("a"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])).alias("p")).select("p.*").where("v is not null")
-    diagonal = diagonal.groupBy("a").agg(F.lit(1.0).alias("rho"), F.count("*").alias("n")).select("a", F.col("a").alias("b"), "rho", "n")
-    return upper.unionByName(diagonal)
+    m = len(cols)
+    value = [F.when(~F.isnan(c), c) for c in (F.col(f"`{c}`").cast("double") for c in cols)]
+    bits = sum((F.when(c.isNotNull(), F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(value)), F.lit(0).cast("long"))
+    rows = scratch(df.select(F.monotonically_increasing_id().alias("row"), bits.alias("bits"), *[c.alias(f"v{i}") for i, c in enumerate(value)]))
+    patterns = {r["bits"]: r["count"] for r in rows.groupBy("bits").count().collect()}
+    complete = lambda *of: frozenset(p for p in patterns if all(p >> i & 1 for i in of))
+    ranked: dict[tuple[int, frozenset], int] = {}  # (column, patterns) -> number of the ranking
+    needs, pairs = [], []
+    for i, j in combinations(range(m), 2):
+        if not (own := complete(i, j)):
+            continue
+        for c in (i, j):
+            if (c, own) not in ranked:
+                ranked[c, own] = len(ranked)
+                needs.append((c, i, j))
+        pairs.append((i, j, ranked[i, own], ranked[j, own], sum(patterns[p] for p in own)))
+    out = [(cols[i], cols[i], 1.0 if complete(i) else None, sum(patterns[p] for p in complete(i))) for i in range(m)]
+    found = {(i, j) for i, j, *_ in pairs}
+    out += [(cols[i], cols[j], None, 0) for i, j in combinations(range(m), 2) if (i, j) not in found]
+    fixed = df.sparkSession.createDataFrame(out, "a string, b string, rho double, n long")
+    if not pairs:
+        return fixed
+    has = lambda i, j: F.col("bits").bitwiseAND(F.lit(1 << i | 1 << j).cast("long")) == (1 << i | 1 << j)
+    entries = F.array(*[F.when(has(i, j), F.struct(F.lit(k).alias("k"), F.col(f"v{c}").alias("v"))) for k, (c, i, j) in enumerate(needs)])
+    tall = scratch(rows.select("row", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x")).select("row", "x.k", "x.v"))
+    places = tall.join(rank_table(tall, ["k"], "v", "rank"), ["k", "v"])
+    vectors = places.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "rank"))).alias("of"))
+    both = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col("of")[x].alias("x"), F.col("of")[y].alias("y"), F.lit(n).cast("long").alias("n")) for i, j, x, y, n in pairs])
+    got = vectors.select(F.explode(both).alias("p")).select("p.*").where("x is not null and y is not null")
+    return got.groupBy("a", "b").agg(F.corr("x", "y").alias("rho"), F.max("n").alias("n")).unionByName(fixed)
 
 
 def driver_points(df: DataFrame, drivers: Sequence[str], y: str, third: str) -> DataFrame:
@@ -35,12 +62,19 @@ def binned_median_trend(points: DataFrame, bins: int = 10, min_n: int = 3, accur
     """(driver, bin, cx, cy, n): medians between the quantile edges of each driver's x.
 
     Bins are closed on both sides, so a value on an inner edge counts twice.
-    The edges (a row for each driver and bin) are the small side of the range
-    join; Spark broadcasts it by its size.
+    The edges are parameters (an array for each driver), so each row looks its
+    bins up in an array; nothing is joined.
     """
-    edges = quantiles(points, ["driver"], "x", [i / bins for i in range(bins + 1)], accuracy).withColumnRenamed("q", "e")
-    edges = edges.select(F.col("driver").alias("d"), F.posexplode(F.arrays_zip(F.slice("e", 1, bins).alias("lo"), F.slice("e", 2, bins).alias("hi"))).alias("bin", "z")).select("d", "bin", F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi"))
-    inside = points.join(edges, (F.col("driver") == F.col("d")) & F.col("x").between(F.col("lo"), F.col("hi")))
+    points = scratch(points.select("driver", "x", "y"))
+    edges = {r["driver"]: r["q"] for r in quantiles(points, ["driver"], "x", [i / bins for i in range(bins + 1)], accuracy).collect()}
+    own = F.lit(None).cast("array<double>")
+    for driver, e in edges.items():
+        own = F.when(F.col("driver") == driver, F.array(*map(F.lit, e))).otherwise(own)
+
+    def found(e: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.get(e, i) <= F.col("x")) & (F.col("x") <= F.get(e, i + 1)))
+
+    inside = points.withColumn("e", own).where("e is not null").select("driver", F.explode(found(F.col("e"))).alias("bin"), "x", "y")
     both = inside.select("driver", "bin", F.explode(F.array(F.struct(F.lit("cx").alias("of"), F.col("x").alias("v")), F.struct(F.lit("cy").alias("of"), F.col("y").alias("v")))).alias("p")).select("driver", "bin", "p.*")
     mid = quantiles(both, ["driver", "bin", "of"], "v", [0.5], accuracy).where(F.col("n") >= min_n)
     side = lambda of: F.max(F.when(F.col("of") == of, F.col("q")[0])).alias(of)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import scalar
@@ -514,6 +515,16 @@ def one_hot(spark, sf_dir):
     return coded.select("c_custkey", F.explode(long).alias("x")).select("c_custkey", "x.*")
 
 
+@query(f"WITH {GROUPED}, L AS (SELECT DISTINCT c_mktsegment AS level FROM J WHERE fold <> 0 AND c_mktsegment IS NOT NULL), D AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS index FROM L) SELECT c_custkey, index, level, CAST(c_mktsegment = level AS INTEGER) AS is_level FROM J, D")
+def nominal_vectors(spark, sf_dir):
+    """The same indicators from sparse vectors and a dictionary that stays a table."""
+    rows = tables.scratch(_folds(spark, sf_dir))
+    levels = tables.scratch(prep.level_table(rows.where("fold <> 0"), "c_mktsegment"))
+    coded = prep.encode_levels(rows, "c_mktsegment", levels)
+    long = coded.select("c_custkey", F.posexplode(vector_to_array("encoded")).alias("at", "v"))
+    return long.join(levels, F.col("at") == F.col("index")).select("c_custkey", "index", "level", F.col("v").cast("int").alias("is_level"))
+
+
 PREDICTED = f"WITH {SUMMARY.format(v='E')}, Z AS (SELECT curve_id, auc_norm AS y, avg(auc_norm) OVER (PARTITION BY c_mktsegment) AS p, rel_72h, CASE WHEN auc_norm > 0.5 THEN 1 ELSE 0 END AS c FROM Y JOIN customer ON c_custkey = curve_id WHERE auc_norm IS NOT NULL)"
 REGRESSION = "count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(corr(y, p), 6) AS pearson, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(1 - (sum((y - p) * (y - p)) / (var_pop(y) * count(*))) * (count(*) - 1) / (count(*) - 2), 6) AS adj_r2"
 
@@ -536,6 +547,12 @@ def class_metrics(spark, sf_dir):
     return metrics.class_metrics(rows)
 
 
+@query(f"{PREDICTED} SELECT c AS y, CASE WHEN rel_72h > 0.05 THEN 1 ELSE 0 END AS p, count(*) AS n FROM Z GROUP BY ALL", ["E"])
+def confusion(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).select(F.col("auc_class").alias("y"), F.when(F.col("rel_72h") > 0.05, 1).otherwise(0).alias("p"))
+    return metrics.confusion(rows)
+
+
 @query(f"{PREDICTED}, R AS (SELECT c, rank() OVER (ORDER BY round(rel_72h, 3)) + (count(*) OVER (PARTITION BY round(rel_72h, 3)) - 1) / 2.0 AS k FROM Z WHERE rel_72h IS NOT NULL) SELECT count(*) FILTER (WHERE c = 1) AS n_pos, count(*) FILTER (WHERE c = 0) AS n_neg, round((sum(k) FILTER (WHERE c = 1) - count(*) FILTER (WHERE c = 1) * (count(*) FILTER (WHERE c = 1) + 1) / 2.0) / (count(*) FILTER (WHERE c = 1) * count(*) FILTER (WHERE c = 0)), 6) AS auroc FROM R", ["E"])
 def roc_metrics(spark, sf_dir):
     return metrics.auroc(_predicted(spark, sf_dir).select(F.col("auc_class").alias("y"), F.round("rel_72h", 3).alias("score")))
@@ -552,7 +569,7 @@ def curve_metrics(spark, sf_dir):
     return by.select(F.col("auc_class").cast("string").alias("subgroup"), *by.columns[1:]).unionByName(metrics.regression_metrics(rows).withColumn("subgroup", F.lit("all")))
 
 
-# models: without SQL; tests/test_models.py holds them against what they must satisfy
+# models: those without SQL are held in tests/test_models.py against what they must satisfy
 
 MODELLED = ["c_nationkey", "c_acctbal"]
 
@@ -564,7 +581,7 @@ def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fit_regressor(spark, sf_dir):
-    rows, out = _modelled(spark, sf_dir).cache(), None
+    rows, out = tables.scratch(_modelled(spark, sf_dir)), None
     train, test = rows.where("fold <> 0"), rows.where("fold = 0")
     for target in ("rel_24h", "rel_48h", "rel_72h"):
         for kind in models.REGRESSORS:
@@ -575,7 +592,7 @@ def fit_regressor(spark, sf_dir):
 
 @query()
 def fit_classifier(spark, sf_dir):
-    rows, out = _modelled(spark, sf_dir).cache(), None
+    rows, out = tables.scratch(_modelled(spark, sf_dir)), None
     train = prep.undersample(rows.where("fold <> 0"), "auc_class", "curve_id")
     for kind in models.CLASSIFIERS:
         got = metrics.auroc(models.predict(models.fit_classifier(train, "auc_class", MODELLED, kind), rows.where("fold = 0"), MODELLED), "auc_class").withColumn("model", F.lit(kind))
@@ -583,9 +600,35 @@ def fit_classifier(spark, sf_dir):
     return out
 
 
+def _grid_points(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return curves.resample(fixtures.cumulative(spark, sf_dir), n, dealt=True).join(_modelled(spark, sf_dir).select("curve_id", "fold", *MODELLED), "curve_id")
+
+
+GRIDDED = _grid_sql("E", *MAXED) + f""", Y AS (SELECT curve_id, {AUC} AS auc_norm FROM S GROUP BY curve_id), U AS (SELECT curve_id, c_nationkey, c_mktsegment, CAST(c_nationkey AS DOUBLE) AS x1, c_acctbal AS x2 FROM Y JOIN customer ON c_custkey = curve_id WHERE auc_norm IS NOT NULL),
+FO AS (SELECT c_nationkey, c_mktsegment, (row_number() OVER (ORDER BY count(*) DESC, c_nationkey, c_mktsegment) - 1) % 3 AS fold FROM U GROUP BY c_nationkey, c_mktsegment), T AS (SELECT k, y, x1, x2, fold FROM R JOIN U USING (curve_id) JOIN FO USING (c_nationkey, c_mktsegment)),
+L AS (SELECT k, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1, covar_pop(x2, y) AS s2 FROM T WHERE fold <> 0 GROUP BY k),
+B AS (SELECT k, n, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2 FROM L)"""
+
+
+@query(f"{GRIDDED} SELECT k, n, round(my - b1 * m1 - b2 * m2, 6) AS intercept, round(b1 * 100, 6) AS per_100_nations, round(b2 * 1000, 6) AS per_1000_balance FROM B", ["E"])
+def grid_models(spark, sf_dir):
+    """A linear model for every one of the 50 grid points, on the training folds."""
+    got = models.grouped_linear(_grid_points(spark, sf_dir, 50).where("fold <> 0"), "y", MODELLED, ["k"])
+    return got.select("k", "n", "intercept", (F.col("slopes")[0] * 100).alias("per_100_nations"), (F.col("slopes")[1] * 1000).alias("per_1000_balance"))
+
+
+@query(f"{GRIDDED}, P AS (SELECT T.k, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS p FROM T JOIN B USING (k) WHERE fold = 0) SELECT k, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae FROM P GROUP BY k", ["E"])
+def grid_metrics(spark, sf_dir):
+    """How well those models do on the fold that was left out."""
+    points = tables.scratch(_grid_points(spark, sf_dir, 50))
+    model = models.grouped_linear(points.where("fold <> 0"), "y", MODELLED, ["k"])
+    told = models.predict_linear(points.where("fold = 0"), model, MODELLED, ["k"])
+    return metrics.regression_metrics(told, by=["k"]).select("k", "n", "rmse", "mae")
+
+
 @query()
 def fit_curves(spark, sf_dir):
-    points = curves.resample(fixtures.cumulative(spark, sf_dir), 10, dealt=True).join(_modelled(spark, sf_dir).select("curve_id", "fold", *MODELLED), "curve_id").cache()
+    points = tables.scratch(_grid_points(spark, sf_dir, 10))
     train, test, out = points.where("fold <> 0"), points.where("fold = 0"), None
     for with_time in (True, False):
         features = [*MODELLED, *(["gx"] if with_time else [])]
@@ -596,9 +639,34 @@ def fit_curves(spark, sf_dir):
     return out
 
 
-@query()
+def _compare_sql() -> str:
+    """Least squares in SQL: each feature in turn is made orthogonal to those before it, on the training rows of each fold."""
+    fuzzy = [f"{e.format(x=x).replace('k0', x + '0').replace('k1', x + '1').replace('k2', x + '2')} AS {x}{n}" for x in ("x1", "x2") for e, n in zip(TRI[:2], ("_low", "_medium"))]  # the third set is 1 less the others
+    quartiles = ", ".join(f"quantile_cont({x}, {q}) AS {x}{i}" for x in ("x1", "x2") for i, q in enumerate((0.25, 0.5, 0.75)))
+    out = f"""WITH {SUMMARY.format(v='E')}, U AS (SELECT curve_id, c_nationkey, c_mktsegment, CAST(c_nationkey AS DOUBLE) AS x1, c_acctbal AS x2, rel_72h AS y FROM Y JOIN customer ON c_custkey = curve_id WHERE auc_norm IS NOT NULL),
+FO AS (SELECT c_nationkey, c_mktsegment, (row_number() OVER (ORDER BY count(*) DESC, c_nationkey, c_mktsegment) - 1) % 3 AS fold FROM U GROUP BY c_nationkey, c_mktsegment), V AS (SELECT * FROM U JOIN FO USING (c_nationkey, c_mktsegment)),
+Q AS (SELECT i, {quartiles} FROM V JOIN (SELECT unnest(range(3)) AS i) ON i <> fold GROUP BY i), W AS (SELECT i, fold, y, x1, x2, {', '.join(fuzzy)} FROM V, Q WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"""
+    sets = [f"{x}{n}" for x in ("x1", "x2") for n in ("_low", "_medium")]
+    rows = []
+    for name, own in {"crisp": ["x1", "x2"], "fuzzy": sets, "hybrid": ["x1", "x2", *sets]}.items():
+        at = f"{name}_0"
+        out += f", {at} AS (SELECT i, fold, y, y - (avg(y) FILTER (WHERE fold <> i) OVER (PARTITION BY i)) AS e, " + ", ".join(f"{c} - (avg({c}) FILTER (WHERE fold <> i) OVER (PARTITION BY i)) AS {c}" for c in own) + " FROM W)"
+        for j, z in enumerate(own):
+            slope = lambda c: f"coalesce((sum({c} * {z}) FILTER (WHERE fold <> i) OVER (PARTITION BY i)) / nullif(sum({z} * {z}) FILTER (WHERE fold <> i) OVER (PARTITION BY i), 0), 0)"  # noqa: B023, E731
+            out += f", {name}_{j + 1} AS (SELECT i, fold, y, " + ", ".join(f"{c} - {slope(c)} * {z} AS {c}" for c in ["e", *own[j + 1 :]]) + f" FROM {name}_{j})"
+        rows.append(f"SELECT '{name}' AS representation, CAST(i AS INTEGER) AS fold, count(*) AS n, round(sqrt(avg(e * e)), 6) AS metric FROM {name}_{len(own)} WHERE fold = i GROUP BY i")
+    return out + " " + " UNION ALL ".join(rows)
+
+
+@query(_compare_sql(), ["E"])
 def compare_representations(spark, sf_dir):
-    return models.compare_representations(_modelled(spark, sf_dir).cache(), "rel_72h", MODELLED, "fold", 3)
+    return models.compare_representations(_modelled(spark, sf_dir), "rel_72h", MODELLED, "fold", 3)
+
+
+@query()
+def compare_classes(spark, sf_dir):
+    """The same for the class target, by the area under the curve."""
+    return models.compare_representations(tables.scratch(prep.auc_class(_modelled(spark, sf_dir), 0.45)), "auc_class", MODELLED, "fold", 3, "logistic", "class")
 
 
 @query()

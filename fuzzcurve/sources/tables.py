@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import tempfile
+import uuid
+from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -55,3 +58,48 @@ def literal_rows(spark: SparkSession, values: Iterable[float]) -> DataFrame:
 
 def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def save_curves(df: DataFrame, table: str, buckets: int, key: str = "curve_id", order: Sequence[str] = ("t",)) -> None:
+    """Save a curve table dealt and sorted by curve, in ``buckets`` files or more.
+
+    What reads it again by ``saved_curves`` finds each curve's rows in one
+    bucket: collapsing, neighbours, summaries and joins by curve of equally
+    bucketed tables then need no exchange.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).format("parquet").saveAsTable(table)
+
+
+def saved_curves(spark: SparkSession, table: str) -> DataFrame:
+    """A table of ``save_curves``; operators that take ``dealt`` may be told so."""
+    return nan_to_null(spark.table(table))
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tables-")
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back.
+
+    What several passes read is computed once, and survives lost executors.
+    Only a session of one process (``local[...]``) may leave the setting out.
+    The folder is the cluster's to clear, as it is for checkpoints.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder()
+    path = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of what ``df`` scans; generated rows count as very many."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))

@@ -62,3 +62,36 @@ def test_representations_share_rows(spark, points):
     assert (rows.groupby("fold")["n"].nunique() == 1).all() and (rows["metric"] > 0).all()
     crisp, hybrid = (rows[rows["representation"] == r]["metric"].mean() for r in ("crisp", "hybrid"))
     assert crisp < 0.2 and hybrid < 0.3  # the truth is linear
+
+
+def test_grouped_models_equal_single_ones(points):
+    """Every group's model from one aggregate is the least-squares model of its rows; dependent features get the least norm."""
+    rows = points.toPandas()
+    got = {r["k"]: r for r in models.grouped_linear(points, "y", ["a", "b"], ["k"]).collect()}
+    for k, own in rows.groupby("k"):
+        want = np.linalg.lstsq(np.column_stack([own["a"], own["b"], np.ones(len(own))]), own["y"], rcond=None)[0]
+        assert np.allclose([*got[k]["slopes"], got[k]["intercept"]], want) and got[k]["n"] == len(own)
+    twice = points.withColumn("d", F.col("a") * 2).withColumn("e", F.lit(1.0))
+    features = ["a", "d", "e", "b"]
+    one = models.predict_linear(twice, models.grouped_linear(twice, "y", features, ["k"]), features, ["k"]).select("id", "p").toPandas()
+    two = models.predict_linear(points, models.grouped_linear(points, "y", ["a", "b"], ["k"]), ["a", "b"], ["k"]).select("id", "p").toPandas()
+    assert np.allclose(one.sort_values("id")["p"], two.sort_values("id")["p"])
+    none = points.withColumn("y", F.when(F.col("k") > 0, F.col("y")))
+    assert {r["k"] for r in models.grouped_linear(none, "y", ["a", "b"], ["k"]).collect()} == {1, 2, 3}
+
+
+def test_compared_models_equal_those_fitted_one_by_one(points):
+    got = {(r["representation"], r["fold"]): r["metric"] for r in models.compare_representations(points, "y", ["a", "b"], "fold", 2).collect()}
+    for i in range(2):
+        train, test = points.where(F.col("fold") != i), points.where(F.col("fold") == i)
+        knots = fuzzy.fit_knots(train, ["a", "b"])
+        for name in ("crisp", "fuzzy", "hybrid"):
+            a, b = (fuzzy.representation(fuzzy.fuzzify(x, knots), ["a", "b"], name).select("features", "y").collect() for x in (train, test))
+            x, z = (np.column_stack([[r["features"].toArray() for r in rows], np.ones(len(rows))]) for rows in (a, b))
+            p = z @ np.linalg.lstsq(x, [r["y"] for r in a], rcond=None)[0]
+            assert np.isclose(got[name, i], np.sqrt(np.mean((p - [r["y"] for r in b]) ** 2)))
+
+
+def test_comparison_for_classes(points):
+    rows = models.compare_representations(points, "c", ["a", "b"], "fold", 2, "logistic", "class").toPandas()
+    assert len(rows) == 6 and (rows["metric"] > 0.8).all()
