@@ -21,6 +21,7 @@ id is kept.
    ``SMALL``; if that does not connect the node, it branches ``STEP`` levels
    further, down to ``DEEPEST``. There, blocks of the documents outside the
    largest connected part are compared with all blocks, so nothing is capped.
+   Full sets are made once, of documents that share a node with another.
 4. Trees are independent. ``trees_for`` tells how many give a pair that just
    links the chance ``recall`` to meet even in a deepest node. The first
    ``EARLY`` trees connect nearly everything, so that the nodes of the others
@@ -52,7 +53,7 @@ from .jaccard import _sets, shingles
 from .text import U, mix
 
 COORDINATES = 128
-FIRST, STEP, DEEPEST = 4, 3, 13
+FIRST, STEP, DEEPEST = 4, 9, 13
 EARLY = 3
 #: Documents of a node that are compared with each other in one task.
 SMALL = 24
@@ -107,8 +108,8 @@ def descend(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, percent: int)
     return mix(node ^ mix((at.astype(U) << U(16)) | tokens[row, at].astype(U), 73)), row
 
 
-def _walk(rows: DataFrame, levels: int, percent: int, trees: tuple[int, int] | None = None) -> DataFrame:
-    """(node, doc_id) ``levels`` further down, from the roots of ``trees`` or from the column ``node`` of ``rows`` (doc_id, tokens, node)."""
+def _walk(rows: DataFrame, levels: int, percent: int, trees: int | None = None) -> DataFrame:
+    """(node, doc_id) ``levels`` further down, from the column ``node`` of ``rows`` (doc_id, tokens, node), or with ``tree`` from the roots of so many trees."""
 
     def run(batches):
         for b in batches:
@@ -116,16 +117,15 @@ def _walk(rows: DataFrame, levels: int, percent: int, trees: tuple[int, int] | N
                 continue
             ids = b.column(0)
             tokens = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column(1)), np.uint16).reshape(-1, COORDINATES)
-            if trees is None:
-                node, row = b.column(2).to_numpy().view(U), np.arange(b.num_rows)
-            else:
-                roots = mix(np.arange(*trees, dtype=U), 70)
-                node, row = np.tile(roots, b.num_rows), np.repeat(np.arange(b.num_rows), len(roots))
-            for _ in range(levels):
-                node, row = descend(node, row, tokens, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids.take(pa.array(row))], ["node", "doc_id"])
+            for tree in [None] if trees is None else range(trees):
+                row = np.arange(b.num_rows)
+                node = b.column(2).to_numpy().view(U) if tree is None else np.repeat(mix(np.array([tree], U), 70), len(row))
+                for _ in range(levels):
+                    node, row = descend(node, row, tokens, percent)
+                own = [pa.array(node.view(np.int64)), ids.take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(own, ["node", "doc_id"]) if tree is None else pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(row), tree, np.int32))], ["node", "doc_id", "tree"])
 
-    return mapped(rows, run, "node long, doc_id long")
+    return mapped(rows, run, "node long, doc_id long" + (", tree int" if trees else ""))
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -192,9 +192,13 @@ def _compare(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return write_table(mapped(rows.repartition(parts, "cell").sortWithinPartitions("cell", "doc_id"), run, "a long, b long"), "found")
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """``nodes`` of several documents; most have one."""
+    return nodes.join(nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), "node")
+
+
 def _open_nodes(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """``nodes`` (node, doc_id) with ``part`` and the node's number of documents ``c``, where more than one part is left."""
-    nodes = nodes.join(nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), "node")  # most have one document
     own = nodes.join(parts, "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     sizes = own.groupBy("node").agg(F.count("*").alias("c"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node", "c")
     return write_table(own.join(sizes, "node"), "nodes")
@@ -233,33 +237,36 @@ def _block_cells(large: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"), F.lit(2)).alias("cell"), "doc_id", "part")
 
 
-def _connect(sigs: DataFrame, known: DataFrame, links: list[DataFrame], trees: tuple[int, int], k: int, percent: int) -> None:
-    """Find links in these trees; they are added to ``links``."""
-    depth, nodes = FIRST, _walk(sigs, FIRST, percent, trees)
-    parts = components(_union(links)) if links else sigs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false")
-    parts = write_table(parts.withColumnRenamed("id", "doc_id"), "parts")
+def _parts(links: list[DataFrame]) -> DataFrame:
+    """(doc_id, component) of the documents that are linked so far."""
+    return write_table(components(_union(links)).withColumnRenamed("id", "doc_id"), "parts")
+
+
+def _connect(sigs: DataFrame, nodes: DataFrame, sets: DataFrame, links: list[DataFrame], percent: int) -> None:
+    """Find links in ``nodes`` (node, doc_id) of the first level and below; they are added to ``links``."""
+    depth = FIRST
     while True:
+        parts = _parts(links)
         own = _open_nodes(nodes, parts)
         large = own.where(F.col("c") > SMALL)
         cells = _small_cells(own).unionByName(_lead_cells(large))
         if depth >= DEEPEST:
             cells = cells.unionByName(_block_cells(large))
         cells = write_table(cells, "cells")
-        if cells.isEmpty():
-            drop_tables(own, cells, parts)
-            return
-        sets = write_table(_sets(known, cells.select("doc_id").distinct(), k), "sets")
-        links.append(_compare(cells, sets, percent))
-        more = not large.isEmpty()
-        drop_tables(cells, sets, parts)
-        if depth >= DEEPEST or not more:
-            drop_tables(own)
+        if not cells.isEmpty():
+            links.append(_compare(cells, sets, percent))
+        done = depth >= DEEPEST or large.isEmpty()
+        if not done:
+            now = _parts(links)
+            left = _open_nodes(large.select("node", "doc_id"), now)
+            deeper = _walk(left.select("node", "doc_id").join(sigs, "doc_id").select("doc_id", "tokens", "node"), STEP, percent)
+            walked = write_table(deeper, "walked")
+            nodes = write_table(_shared(walked), "deeper")
+            drop_tables(left, now, walked)
+            depth += STEP
+        drop_tables(own, cells, parts)
+        if done:
             return
-        parts = write_table(components(_union(links)).withColumnRenamed("id", "doc_id"), "parts")
-        left = _open_nodes(large.select("node", "doc_id"), parts)
-        nodes = write_table(_walk(left.select("node", "doc_id").join(sigs, "doc_id").select("doc_id", "tokens", "node"), STEP, percent), "deeper")
-        drop_tables(own, left)
-        depth += STEP
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -290,9 +297,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, recall: floa
     drop_tables(found, classes)
     links: list[DataFrame] = [write_table(several, "links")]
     trees = trees_for(recall, percent)
-    for a, z in ((0, min(EARLY, trees)), (min(EARLY, trees), trees)):
-        if a < z:
-            _connect(sigs, known, links, (a, z), k, percent)
+    nodes = write_table(_shared(_walk(sigs, FIRST, percent, trees)), "first")
+    sets = write_table(_sets(known, nodes.select("doc_id").distinct(), k), "sets")
+    for own in (F.col("tree") < EARLY, F.col("tree") >= EARLY):
+        _connect(sigs, nodes.where(own).select("node", "doc_id"), sets, links, percent)
+    drop_tables(nodes, sets)
     ends = components(_union(links))
     drop_tables(sigs, *links)
     out = rows.join(ends.withColumnRenamed("id", "rep"), "rep", "left")
