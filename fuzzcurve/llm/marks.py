@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import sketch
 from .common import mapped, with_rest
+from .text import span_hashes
 
 
 def text_key() -> Column:
@@ -17,6 +18,28 @@ def text_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def reused_ids(docs: DataFrame) -> bool:
+    """Whether any id stands in several rows, so that a place must also tell which text it is in."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def text_bases(data: np.ndarray, offsets: np.ndarray, reused: bool) -> np.ndarray:
+    """What is added to the places of each text: nothing, or 31 bits of its hash above their 32 bits.
+
+    Several texts of one id so have places of their own, and repeated rows
+    have the same.
+    """
+    if not reused:
+        return np.zeros(len(offsets) - 1, np.int64)
+    return (span_hashes(data, offsets[:-1], offsets[1:])[0] >> np.uint64(33)).astype(np.int64) << 32
+
+
+def own_places(places: np.ndarray, runs: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places of an id's texts, and the runs from there, those of the text with this base."""
+    own = places >> 32 << 32 == base
+    return places[own] - base, runs[own]
+
+
 def rewrite(docs: DataFrame, marks: DataFrame, run: Callable, fields: str, keep_text: bool = True) -> DataFrame:
     """Apply ``run`` to every document of ``docs``, with its row of ``marks`` where there is one.
 

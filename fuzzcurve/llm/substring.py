@@ -20,9 +20,13 @@ the sketch passes most of them and the second pass approaches an exact
 grouping of all windows: the shuffle then grows with the input, nothing is
 read again and nothing is lost.
 
-Documents without an id are passed on unchanged. Documents that share an id
-count as one document; a text's positions come from that text alone, so
-positions past its end are ignored. Null texts are empty.
+Documents without an id are passed on unchanged. Rows that share an id count
+as one document: no window is lost to another text of its own id. Places tell
+which of an id's texts they are in, so each text loses its own words only;
+repeated rows lose the same. Null texts are empty, an empty table gives an
+empty result. Very long texts are whole: one that is longer than a step of
+work is a step of its own. Columns of other names travel in a struct and
+cannot clash.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
 from .common import batch, from_rest, id_text, mapped, read, signed, steps, write_table
-from .marks import rewrite
+from .marks import own_places, reused_ids, rewrite, text_bases
 from .text import mix, span_hashes, windows, words
 
 #: Candidate rows that a task holds for its own comparison.
@@ -56,7 +60,7 @@ def _window_hashes(k: int):
     return hashes
 
 
-def _candidates(texts: DataFrame, bitmap, k: int) -> DataFrame:
+def _candidates(texts: DataFrame, bitmap, k: int, reused: bool) -> DataFrame:
     """Rows (h, h2, doc_id, start, known) of windows estimated as repeated; ``known``: so many windows from ``start`` on that a smaller document of the same task has."""
 
     def emit(batches):
@@ -76,7 +80,7 @@ def _candidates(texts: DataFrame, bitmap, k: int) -> DataFrame:
             known = known[cut]
             at = np.concatenate([asks, known])
             h[known], h2[known] = mix(doc[known].view(np.uint64) ^ mix(start[known].astype(np.uint64))), 0
-            return batch(h=signed(h[at]), h2=signed(h2[at]), doc_id=doc[at], start=start[at].astype(np.int32), known=np.concatenate([np.zeros(len(asks), np.int32), many.astype(np.int32)]))
+            return batch(h=signed(h[at]), h2=signed(h2[at]), doc_id=doc[at], start=start[at], known=np.concatenate([np.zeros(len(asks), np.int32), many.astype(np.int32)]))
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -88,7 +92,7 @@ def _candidates(texts: DataFrame, bitmap, k: int) -> DataFrame:
                 h2 = windows(w, h2, k, lane=1)[1][keep]
                 first, h = first[keep], h[keep]
                 doc = w.doc[first]
-                held.append((h, h2, ids[at + doc].astype(np.int64), first - w.first[doc]))
+                held.append((h, h2, ids[at + doc].astype(np.int64), first - w.first[doc] + text_bases(data, offsets, reused)[doc]))
                 n += len(h)
                 if n >= HELD:
                     yield flush()
@@ -96,7 +100,7 @@ def _candidates(texts: DataFrame, bitmap, k: int) -> DataFrame:
         if n:
             yield flush()
 
-    return mapped(texts, emit, "h long, h2 long, doc_id long, start int, known int")
+    return mapped(texts, emit, "h long, h2 long, doc_id long, start long, known int")
 
 
 def _losers(candidates: DataFrame) -> DataFrame:
@@ -117,7 +121,7 @@ def _losers(candidates: DataFrame) -> DataFrame:
             yield batch(doc_id=doc[lose], start=start[lose], n=np.maximum(known[lose], 1))
 
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mapped(candidates.repartition(parts, "h", "h2").sortWithinPartitions("h", "h2", "doc_id"), scan, "doc_id long, start int, n int")
+    return mapped(candidates.repartition(parts, "h", "h2").sortWithinPartitions("h", "h2", "doc_id"), scan, "doc_id long, start long, n int")
 
 
 def _cut(data: np.ndarray, w, first: int, last: int, begin: int, end: int, starts, runs, k: int) -> tuple[bytes, int]:
@@ -143,17 +147,17 @@ def _cut(data: np.ndarray, w, first: int, last: int, begin: int, end: int, start
     return b"".join(p.tobytes() for p in parts), int(n - len(keep))
 
 
-def _rewrite(k: int):
+def _rewrite(k: int, reused: bool):
     def run(batches):
         for b in batches:
             texts, n_words, n_removed = [], [], []
             starts, runs = (b.column(2), b.column(3)) if b.num_columns > 2 else (None, None)
             for at, data, offsets in steps(b.column(1)):
-                w = words(data, offsets)
+                w, base = words(data, offsets), text_bases(data, offsets, reused)
                 for i in range(len(offsets) - 1):
                     text, gone = data[offsets[i] : offsets[i + 1]].tobytes(), 0
                     if starts is not None and starts[at + i].is_valid:
-                        text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], starts[at + i].values.to_numpy(), runs[at + i].values.to_numpy(), k)
+                        text, gone = _cut(data, w, w.first[i], w.first[i + 1], offsets[i], offsets[i + 1], *own_places(starts[at + i].values.to_numpy(), runs[at + i].values.to_numpy(), base[i]), k)
                     texts.append(text)
                     n_words.append(w.first[i + 1] - w.first[i])
                     n_removed.append(gone)
@@ -162,17 +166,21 @@ def _rewrite(k: int):
     return run
 
 
-def find_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
-    """(doc_id, starts, runs): the windows that each document loses, as runs of so many from each start; written to the shared folder."""
+def find_repeats(docs: DataFrame, k: int = 13, reused: bool = True) -> DataFrame:
+    """(doc_id, starts, runs): the windows that each document loses, as runs of so many from each start; written to the shared folder.
+
+    With ``reused`` the starts hold a hash of their text (``marks.text_bases``).
+    """
     texts = id_text(docs).where("doc_id is not null")
     bits = sketch.bits_for(sketch.text_bytes(texts) // 6)
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, _window_hashes(k), bits))
-    lost = _losers(_candidates(texts, bitmap, k)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x"))
+    lost = _losers(_candidates(texts, bitmap, k, reused)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x"))
     return write_table(lost.select("doc_id", F.col("x.start").alias("starts"), F.col("x.n").alias("runs")), "repeats")
 
 
 def _deduped(docs: DataFrame, k: int) -> DataFrame:
-    return rewrite(docs, find_repeats(docs, k), _rewrite(k), "kept string, n_words long, n_removed long", keep_text=False)
+    reused = reused_ids(docs)
+    return rewrite(docs, find_repeats(docs, k, reused), _rewrite(k, reused), "kept string, n_words long, n_removed long", keep_text=False)
 
 
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:

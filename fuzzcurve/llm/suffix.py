@@ -23,8 +23,11 @@ Suffixes are dealt so that equal strings meet and each task sorts its own:
    prefix reaches ``length`` are equal strings, of which the earliest stays.
 
 Null texts are empty. Documents without an id are passed on whole and not
-compared. Rows that share an id and a text count as one document; places
-past the end of a text are ignored.
+compared. Rows that share an id count as one document: repeated rows are one
+place, and several texts of an id stand one after another in the order of a
+hash. Places tell which text they are in, so each loses its own bytes only.
+Very long texts are whole; an empty table gives an empty result; columns of
+other names travel in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
 from .common import from_rest, id_text, mapped, read, signed, steps, write_table
-from .marks import rewrite
+from .marks import own_places, reused_ids, rewrite, text_bases
 from .text import U, mix
 
 GRAM = 32
@@ -135,7 +138,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray)
     return np.where(is_hot[of], mix(span_hash(sums, at, at + length), 9), g[of]), at, to, sums
 
 
-def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
+def _contexts(texts: DataFrame, bitmap, hot, length: int, reused: bool) -> DataFrame:
     """Rows (g, doc_id, start, n, context): n strings from byte ``start``; a null context marks strings that are all lost already."""
 
     def emit(batches):
@@ -166,20 +169,20 @@ def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
                 many = n[gone]
             at = np.concatenate([sent, gone])
             g = np.concatenate([g[sent], mix(doc[gone].view(U) ^ mix(start[gone].astype(U)))])
-            return pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(np.concatenate([n[sent], many]).astype(np.int32)), pa.array([raw[i] for i in sent.tolist()] + [None] * len(gone), pa.binary())], ["g", "doc_id", "start", "n", "context"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(doc[at]), pa.array(start[at]), pa.array(np.concatenate([n[sent], many]).astype(np.int32)), pa.array([raw[i] for i in sent.tolist()] + [None] * len(gone), pa.binary())], ["g", "doc_id", "start", "n", "context"])
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in steps(b.column(1)):
                 of, starts, ends, sums = pieces(data, offsets, length, hot.value)
                 keep = np.flatnonzero(sketch.estimated_repeated(bitmap.value, of))
-                raw = data.tobytes()
+                raw, base = data.tobytes(), text_bases(data, offsets, reused)
                 for cut in range(0, len(keep), HELD):
                     own = keep[cut : cut + HELD]
                     g, first, last = of[own], starts[own], ends[own]
                     doc = np.searchsorted(offsets, first, "right") - 1
                     key = span_hash(sums, first, last + length)
-                    held.append((g, key, ids[at + doc].astype(np.int64), first - offsets[doc], last - first + 1, [raw[a:z] for a, z in zip(first.tolist(), (last + length).tolist())]))
+                    held.append((g, key, ids[at + doc].astype(np.int64), first - offsets[doc] + base[doc], last - first + 1, [raw[a:z] for a, z in zip(first.tolist(), (last + length).tolist())]))
                     count += len(g)
                     if count >= HELD:
                         yield flush()
@@ -187,7 +190,7 @@ def _contexts(texts: DataFrame, bitmap, hot, length: int) -> DataFrame:
         if count:
             yield flush()
 
-    return mapped(texts, emit, "g long, doc_id long, start int, n int, context binary")
+    return mapped(texts, emit, "g long, doc_id long, start long, n int, context binary")
 
 
 def suffix_array(text: np.ndarray, begin: np.ndarray, count: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -348,7 +351,7 @@ def _lost(contexts: DataFrame, length: int) -> DataFrame:
                 suffixes = 0
             if out:
                 doc, start, n = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start), pa.array(n.astype(np.int32))], ["doc_id", "start", "n"])
 
         for b in batches:
             for g, doc, start, n, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -371,22 +374,23 @@ def _lost(contexts: DataFrame, length: int) -> DataFrame:
         yield from send()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mapped(contexts.repartition(parts, "g").sortWithinPartitions("g", "doc_id", "start"), scan, "doc_id long, start int, n int")
+    return mapped(contexts.repartition(parts, "g").sortWithinPartitions("g", "doc_id", "start"), scan, "doc_id long, start long, n int")
 
 
-def _remove(length: int):
+def _remove(length: int, reused: bool):
     def run(batches):
         for b in batches:
             rows = []
             starts, runs = (b.column(2), b.column(3)) if b.num_columns > 2 else (None, None)
             for at, data, offsets in steps(b.column(1)):
+                base = text_bases(data, offsets, reused)
                 for i in range(len(offsets) - 1):
                     own = data[offsets[i] : offsets[i + 1]]
                     size = len(own)
                     if starts is None or not starts[at + i].is_valid:
                         rows.append((own.tobytes(), size, 0, 0))
                         continue
-                    s, n = starts[at + i].values.to_numpy(), runs[at + i].values.to_numpy()
+                    s, n = own_places(starts[at + i].values.to_numpy(), runs[at + i].values.to_numpy(), base[i])
                     ok = (s >= 0) & (s + n - 1 + length <= size)
                     s, n = s[ok], n[ok]
                     gone = np.zeros(size + 1, np.int32)
@@ -403,13 +407,13 @@ def _remove(length: int):
 def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs``, then kept (binary: the remaining bytes), n_bytes, n_removed and n_spans (long), which replace columns of these names."""
     new = ("kept", "n_bytes", "n_removed", "n_spans")
-    texts = id_text(docs).where("doc_id is not null")
+    texts, reused = id_text(docs).where("doc_id is not null"), reused_ids(docs)
     bits = sketch.bits_for(sketch.text_bytes(texts) // 30)
     hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, length))
     bitmap = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts, lambda data, offsets: pieces(data, offsets, length, hot.value)[0], bits))
-    lost = _lost(_contexts(texts, bitmap, hot, length), length)
+    lost = _lost(_contexts(texts, bitmap, hot, length, reused), length)
     marks = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc_id", F.col("x.start").alias("starts"), F.col("x.n").alias("runs"))
-    out = rewrite(docs, write_table(marks, "lost"), _remove(length), "kept binary, n_bytes long, n_removed long, n_spans long")
+    out = rewrite(docs, write_table(marks, "lost"), _remove(length, reused), "kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select(*from_rest(out, [c for c in docs.columns if c not in new]), *new)
 
 
