@@ -16,7 +16,7 @@ Null texts and roles are empty. Events of unknown kinds, or for messages
 that are not open, change nothing. Ties in the order are settled by message
 and part. Rows that repeat a turn are turns of their own. A conversation is
 one row of the result, so it is folded by one task, from a stream: only its
-final messages are held. An empty log gives an empty result; other columns
+final messages are held, and time is linear in its events. An empty log gives an empty result; other columns
 are not looked at.
 """
 
@@ -45,10 +45,18 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
-def fold(messages: dict, kind: str, message, role: str | None, text: str | None) -> None:
-    """One event's effect on the messages (in order of their start: key -> [role, texts])."""
+def fold(messages: dict, order: list, kind: str, message, role: str | None, text: str | None) -> None:
+    """One event's effect on the messages (in order of their start: key -> [role, texts, place]).
+
+    ``order`` lists the keys by place, deleted ones too: what comes after a
+    message is its tail, so each message is looked at once more at most.
+    """
     if kind == "start":
-        messages[message] = [role or "", [text or ""]]
+        if message in messages:
+            messages[message][:2] = role or "", [text or ""]
+        else:
+            messages[message] = [role or "", [text or ""], len(order)]
+            order.append(message)
     elif message in messages:
         if kind == "delta":
             messages[message][1].append(text or "")
@@ -56,9 +64,10 @@ def fold(messages: dict, kind: str, message, role: str | None, text: str | None)
             messages[message][1] = [text or ""]
         elif kind == "regenerate":
             messages[message][1] = []
-            keys = list(messages)
-            for later in keys[keys.index(message) + 1 :]:
-                del messages[later]
+            tail = messages[message][2] + 1
+            for later in order[tail:]:
+                messages.pop(later, None)
+            del order[tail:]
         elif kind == "delete":
             del messages[message]
 
@@ -93,10 +102,10 @@ def format_log(events: DataFrame) -> DataFrame:
 
     def run(batches):
         none = object()
-        last, messages = none, {}
+        last, messages, order = none, {}, []
 
         def row(conv):
-            text, begin, end = render([(role, "".join(parts)) for role, parts in messages.values()])
+            text, begin, end = render([(role, "".join(parts)) for role, parts, _ in messages.values()])
             return conv, text, begin, end
 
         def send(rows):
@@ -109,8 +118,8 @@ def format_log(events: DataFrame) -> DataFrame:
                 if last is none or conv != last:
                     if last is not none:
                         rows.append(row(last))
-                    last, messages = conv, {}
-                fold(messages, kind, message, role, text)
+                    last, messages, order = conv, {}, []
+                fold(messages, order, kind, message, role, text)
             if rows:
                 yield send(rows)
         if last is not none:

@@ -219,3 +219,52 @@ def test_trees_reach_the_recall():
             met += bool(np.intersect1d(node[row == 0], node[row == 1]).size)
         assert abs(met / trials - chosenpath.survival(percent, depth)) < 0.06
     assert 1 - (1 - chosenpath.survival(85, 13)) ** chosenpath.trees_for(0.999, 85) >= 0.999
+
+
+# ids that several texts share
+
+
+def reused(spark):
+    """A and B under one id: A stands before and loses all, B is nowhere else and loses nothing."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60).replace("\n", "") for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, c), (7, c), (7, a), (None, a)]
+    return spark.createDataFrame([(i, t, "h", "x") for i, t in rows], "doc_id long, text string, source string, start string").repartition(3), a, b, c
+
+
+def test_texts_of_one_id_lose_their_own_words_only(spark):
+    from fuzzcurve.llm import substring, suffix
+
+    df, a, b, c = reused(spark)
+    want = sorted([(1, a, 0), (5, "", 60), (5, b, 0), (5, b, 0), (6, c, 0), (7, "", 60), (7, "", 60), (None, a, 0)], key=repr)
+    assert sorted([(r["doc_id"], r["text"].strip(), r["n_removed"]) for r in substring.substring_dedup(df).collect()], key=repr) == want
+    got = suffix.suffix_dedup(df).collect()
+    want = [(1, a, 0), (5, "", len(a)), (5, b, 0), (5, b, 0), (6, c, 0), (7, "", len(c)), (7, "", len(a)), (None, a, 0)]
+    assert sorted([(r["doc_id"], bytes(r["kept"]).decode(), r["n_removed"]) for r in got], key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_keeps_texts_of_reused_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    df, a, b, c = reused(spark)
+    out = p.near_duplicates(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(1, a), (5, b), (6, c), (None, a)], key=repr)
+
+
+def test_long_conversations_fold_in_linear_time():
+    import time
+
+    from fuzzcurve.llm import chat
+
+    took = []
+    for n in (10_000, 40_000):
+        messages, order, begin = {}, [], time.perf_counter()
+        for i in range(n):
+            for kind in ("start", "delta", "regenerate", "delta"):
+                chat.fold(messages, order, kind, i, "assistant", "x")
+        took.append(time.perf_counter() - begin)
+        assert len(messages) == n and all(m[1] == ["x"] for m in messages.values())
+        chat.fold(messages, order, "regenerate", 3, None, None)
+        assert list(messages) == [0, 1, 2, 3]
+    assert took[1] < 12 * took[0]
