@@ -17,8 +17,8 @@ every URL. Verdicts are for distinct URLs; the index joins by token, and
 Spark broadcasts it only if the written table is below its own threshold.
 Rules are a table (rule, kind, verdict), from anywhere.
 
-A null URL, or one without ``://``, has an empty host and path and, for a
-null, no token; its verdict is allow unless a pattern blocks it. Repeated
+A null URL has an empty host and path and is allowed; one without ``://`` has
+an empty host and path, and its verdict is allow unless a pattern blocks it. Repeated
 rows are judged once and come back as often as they stand there; of several
 fitting host rules of one length the last in order is named. Long URLs are
 whole. An empty table gives an empty result; without rules all is allowed.
@@ -72,7 +72,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_rules_run) for every row of ``pages`` (page_id, url)."""
     own = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    urls = own.where("url is not null").select("url").distinct()
+    null = own.where("url is null").select("page_id", F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(0).cast("long").alias("n_rules_run"))
+    own = own.where("url is not null")  # null urls would all meet in one task of the join
+    urls = own.select("url").distinct()
     host, path = split_url(F.col("url"))
     low = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     filed = rules.select("rule", "kind", "verdict", _expression(F.col("rule"), F.col("kind")).alias("pattern"), _literals(F.col("rule"), F.col("kind")).alias("literals"))
@@ -98,7 +100,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     by_pattern = F.when(F.col("blocked") & ~F.col("excepted"), "block").otherwise("allow")
     out = own.join(found, "url", "left")
-    return out.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("by_host", by_pattern).alias("verdict"), F.coalesce("n_rules_run", F.lit(0)).cast("long").alias("n_rules_run"))
+    out = out.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("by_host", by_pattern).alias("verdict"), F.coalesce("n_rules_run", F.lit(0)).cast("long").alias("n_rules_run"))
+    return out.unionByName(null)
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:
