@@ -6,8 +6,10 @@ return the columns of documents.
 
 Rows without an id go through every stage: the first judges them by their
 text, the others pass them on, the last encodes them. Repeated rows are one
-document until the second stage, which keeps one of them. Null texts fail the
-first stage; an empty table stays empty.
+document until the second stage, which keeps one of them. Texts that share an
+id are each judged by themselves. Null texts fail the first stage; an empty
+table stays empty; very long texts are whole; columns of other names are
+carried through the first four stages.
 """
 
 from __future__ import annotations
@@ -24,18 +26,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of linked documents.
+    """Keep the document of smallest id of each group of linked documents.
 
-    Documents without an id have no links and stay; of rows that share an id
-    one stays (the one of least text).
+    Documents without an id have no links and stay. Texts that share an id are
+    judged one by one: each is a document of its own here, known by a hash of
+    both, and only what is itself linked to a kept text goes. Of repeated rows
+    one stays.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    repeated = kept.join(twice, "doc_id", "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    several = write_table(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+        others = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.join(several.select(F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("several")), "id", "left")
+    own = write_table(own.select("row", "id", "several", F.when(F.col("several"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("key"), "text"), "keyed")
+    found = jaccard.jaccard_components(own.select(F.col("key").alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = found.join(own.select("key", "id").distinct(), "key")
+    least = ids.groupBy("component_id").agg(F.min_by("key", F.struct("id", "key")).alias("key")).select("key")
+    kept = own.where("several is null").join(least, "key", "left_semi").select("row").unionByName(own.where("id is null").select("row"))
+    one = own.where("several").join(least, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    return kept.unionByName(one).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
