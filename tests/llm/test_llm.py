@@ -432,6 +432,21 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def best_stretch(equal):
+    """Equal words of the stretch that scores best, of all stretches; None is outside the document."""
+    best = (0, 0, 0)
+    for a in range(len(equal)):
+        score = same = 0
+        for z in range(a, len(equal)):
+            if equal[z] is None:
+                break
+            score, same = score + (1 if equal[z] else -3), same + bool(equal[z])
+            best = max(best, (score, a - z - 1, same))
+            if score <= 0:
+                break
+    return best[2]
+
+
 def brute_contamination(rows, items):
     """All alignments of all items with all documents."""
     out = {}
@@ -440,13 +455,15 @@ def brute_contamination(rows, items):
         found = set()
         for item_id, item in items:
             own = np.array([hash(w.lower()) for w in ascii_words(item)], np.int64)
-            if len(own) >= 3 and any(decontaminate.overlap(doc, own, shift) >= min(13, -(-len(own) * 4 // 5)) for shift in range(-len(own), len(doc) + 1)):
+            if len(own) >= 3 and any(best_stretch([doc[shift + k] == own[k] if 0 <= shift + k < len(doc) else None for k in range(len(own))]) >= min(13, -(-len(own) * 4 // 5)) for shift in range(-len(own), len(doc) + 1)):
                 found.add(item_id)
         out[i] = sorted(found)
     return out
 
 
-def test_decontamination_equals_all_alignments(spark):
+@pytest.mark.parametrize("often", [16, 0])
+def test_decontamination_equals_all_alignments(spark, monkeypatch, often):
+    monkeypatch.setattr(decontaminate, "OFTEN", often)  # 0: every seed takes further words along
     rng = random.Random(21)
     items = [(k, prose(rng, rng.choice([3, 4, 6, 9, 13, 15, 16, 20, 40]))) for k in range(30)]
     items += [(29, items[0][1] + " more words here"), (40, "in the middle of the")]  # a repeated id, a common phrase
@@ -465,6 +482,67 @@ def test_decontamination_equals_all_alignments(spark):
     assert sum(map(bool, want.values())) > 30
 
 
+def test_masks_hit_with_two_more_words_near():
+    """No stretch of any length with 13 equal words escapes the masks with two further equal words within NEAR of the window.
+
+    The states of a growing stretch that has no such hit yet: its last words,
+    its score, the best score so far and its equal words. They are few.
+    """
+    near, masks = decontaminate.NEAR, [(len(m), int(m, 2)) for m in decontaminate.MASKS]
+    keep = 11 + 2 * near
+
+    def hit(x, n, after):
+        for size, mask in masks:
+            if n >= size + after and x >> after & mask == mask:
+                left = x >> after + size & (1 << max(0, min(near, n - size - after))) - 1
+                if ((x & (1 << after) - 1).bit_count() + left.bit_count()) >= 2:
+                    return True
+        return False
+
+    todo = [(1, 1, 1, 1, 1)]
+    seen = set(todo)
+    while todo:
+        x, n, score, most, equal = todo.pop()
+        for bit in (0, 1):
+            own = ((x << 1 | bit) & (1 << keep) - 1, min(n + 1, keep), score + (1 if bit else -3), max(most, score + 1 if bit else 0), min(13, equal + bit))
+            if own[2] <= 0 or hit(own[0], own[1], near):
+                continue
+            if bit and own[2] > most and own[4] == 13:  # it may end here
+                assert any(hit(own[0], own[1], after) for after in range(near)), bin(own[0])
+            if own not in seen:
+                seen.add(own)
+                todo.append(own)
+        assert len(seen) < 100_000
+    from itertools import product
+
+    for n in (6, 7, 8, 9, 10, 11, 12, 13, 14, 15):  # shorter items: fewer equal words, windows of 4, or the masks at 15
+        need = -(-4 * n // 5)
+        width = [(4, 15)] if n < 15 else masks
+        more = int(decontaminate.further(np.array([n]), np.array([0 if n == 15 else 3]), 3)[0])
+        for size in range(need, n + 1):
+            for x in product((0, 1), repeat=size):
+                total = [sum(1 if b else -3 for b in x[: k + 1]) for k in range(size)]
+                if sum(x) >= need and min(total) > 0 and all(total[-1] > v for v in total[:-1]):
+                    value = int("".join(map(str, x)), 2)
+                    ok = any(value >> after & mask == mask and (value & (1 << after) - 1 & -1 << max(0, after - near)).bit_count() + (value >> after + w & (1 << near) - 1).bit_count() >= more for w, mask in width for after in range(size - w + 1))
+                    assert ok, (n, x)
+
+
+def test_shared_phrases_do_not_pair_all(spark):
+    """Items that begin with one template, documents that hold it: as many diagonals as there are copies, not items times documents."""
+    rng = random.Random(31)
+    template = prose(rng, 12).replace("\n", "").split()[:11]
+    for n in (60, 120):
+        items = [(k, " ".join([*template, *prose(rng, 25).split()])) for k in range(n)]
+        rows = [(i, " ".join([*prose(rng, 20).split(), *template, *prose(rng, 20).split()])) for i in range(n)]
+        rows += [(1000 + i, " ".join([*prose(rng, 20).split(), *items[i][1].split()[: 13 + i % 5]])) for i in range(0, n, 10)]
+        df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        made = write_table(decontaminate._diagonals(df, write_table(decontaminate._items(bench), "items"), decontaminate.MASKS, 3), "made")
+        assert made.count() <= n
+        got = {r["doc_id"]: r["items"] for r in decontaminate.find_contamination(df, bench).where("contaminated").collect()}
+        assert got == {1000 + i: [i] for i in range(0, n, 10)}
+
+
 def test_masks_hit_every_stretch():
     """No stretch of up to 20 words that counts escapes the masks."""
     from itertools import combinations
