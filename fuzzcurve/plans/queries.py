@@ -106,6 +106,15 @@ R AS (SELECT curve_id, CAST(k AS INTEGER) AS k, k / 49.0 AS gx, CASE WHEN nx IS
 MAXED, MINMAXED = ("{t} / tmax", "tmax > 0"), ("({t} - tmin) / (tmax - tmin)", "tmax > tmin")
 
 
+@query(f"WITH {SUMMARY.format(v='V')} SELECT {SIX}, round(rel_24h, 6) AS rel_24h, round(t_half, 6) AS t_half FROM Y", ["V"])
+def saved_summary(spark, sf_dir):
+    """The summary of a table that was saved dealt and sorted by curve, and is read without an exchange."""
+    path = tables.shared_path(spark, "saved_curves")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    tables.save_curves(fixtures.noisy(spark, sf_dir), table, int(spark.conf.get("spark.sql.shuffle.partitions")), path)
+    return curves.curve_summary(tables.saved_curves(spark, table), dealt=True).drop("rel_48h", "rel_72h")
+
+
 @query(_grid_sql("E", *MAXED) + " SELECT curve_id, k, round(gx, 6) AS gx, round(y, 6) AS y FROM R", ["E"])
 def resample_grid(spark, sf_dir):
     return curves.resample(fixtures.cumulative(spark, sf_dir), dealt=True)
@@ -423,6 +432,16 @@ def saturation(spark, sf_dir):
     return fuzzy.saturation(f, "p_size", k["p_size"])
 
 
+@query(f"{FUZZY}, N AS (SELECT id, p_size, p_retailprice, {TRIS('p_retailprice')} FROM P, K_p_retailprice), H AS (SELECT N.id, [N.p_size, N.p_retailprice, D.m_low, D.m_medium, D.m_high, N.m_low, N.m_medium, N.m_high] AS h FROM N JOIN D USING (id)), R AS (SELECT id, 'crisp' AS kind, h[1:2] AS v FROM H UNION ALL SELECT id, 'fuzzy', h[3:8] FROM H UNION ALL SELECT id, 'hybrid', h FROM H) SELECT id, kind, CAST(i - 1 AS INTEGER) AS at, round(v[i], 6) AS value FROM (SELECT id, kind, v, unnest(range(1, len(v) + 1)) AS i FROM R)", ["P"])
+def representations(spark, sf_dir):
+    """The entries of each row's crisp, fuzzy and hybrid vector."""
+    f, out = _fuzzy(spark, sf_dir)[0], None
+    for kind in ("crisp", "fuzzy", "hybrid"):
+        rows = fuzzy.representation(f, FEATURES, kind).select("id", F.lit(kind).alias("kind"), F.posexplode(vector_to_array("features")).alias("at", "value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(_knot_rows("r", "V", "ln(1 + r)"), ["V"])
 def log_knots(spark, sf_dir):
     return fuzzy.knot_report(spark, fuzzy.fit_knots(fixtures.noisy(spark, sf_dir), ["r"], transform="log1p"))
@@ -617,6 +636,21 @@ def grid_models(spark, sf_dir):
     return got.select("k", "n", "intercept", (F.col("slopes")[0] * 100).alias("per_100_nations"), (F.col("slopes")[1] * 1000).alias("per_1000_balance"))
 
 
+TARGETS = ["rel_24h", "rel_48h", "rel_72h"]
+TARGETED = f"""WITH {SUMMARY.format(v='E')}, U AS (SELECT curve_id, c_nationkey, c_mktsegment, CAST(c_nationkey AS DOUBLE) AS x1, c_acctbal AS x2, {', '.join(TARGETS)} FROM Y JOIN customer ON c_custkey = curve_id WHERE auc_norm IS NOT NULL),
+FO AS (SELECT c_nationkey, c_mktsegment, (row_number() OVER (ORDER BY count(*) DESC, c_nationkey, c_mktsegment) - 1) % 3 AS fold FROM U GROUP BY c_nationkey, c_mktsegment), T AS ({' UNION ALL '.join(f"SELECT '{t}' AS k, {t} AS y, x1, x2, fold FROM U JOIN FO USING (c_nationkey, c_mktsegment) WHERE {t} IS NOT NULL" for t in TARGETS)}),
+L""" + GRIDDED.split("\nL", 1)[1]
+
+
+@query(f"{TARGETED}, P AS (SELECT T.k, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS p FROM T JOIN B USING (k) WHERE fold = 0) SELECT k AS target, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae FROM P GROUP BY k", ["E"])
+def target_models(spark, sf_dir):
+    """A linear model for each early target, all from one aggregate, on the fold that was left out."""
+    rows = tables.scratch(profile.tall(_modelled(spark, sf_dir), TARGETS, ["fold", *MODELLED]))
+    model = models.grouped_linear(rows.where("fold <> 0"), "value", MODELLED, ["col"])
+    told = models.predict_linear(rows.where("fold = 0"), model, MODELLED, ["col"])
+    return metrics.regression_metrics(told, "value", by=["col"]).select(F.col("col").alias("target"), "n", "rmse", "mae")
+
+
 @query(f"{GRIDDED}, P AS (SELECT T.k, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS p FROM T JOIN B USING (k) WHERE fold = 0) SELECT k, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae FROM P GROUP BY k", ["E"])
 def grid_metrics(spark, sf_dir):
     """How well those models do on the fold that was left out."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -60,14 +62,15 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_curves(df: DataFrame, table: str, buckets: int, key: str = "curve_id", order: Sequence[str] = ("t",)) -> None:
-    """Save a curve table dealt and sorted by curve, in ``buckets`` files or more.
+def save_curves(df: DataFrame, table: str, buckets: int, path: str | None = None, key: str = "curve_id", order: Sequence[str] = ("t",)) -> None:
+    """Save a curve table dealt and sorted by curve, in ``buckets`` files, to ``path`` or else to the warehouse.
 
     What reads it again by ``saved_curves`` finds each curve's rows in one
     bucket: collapsing, neighbours, summaries and joins by curve of equally
     bucketed tables then need no exchange.
     """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).format("parquet").saveAsTable(table)
+    out = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).format("parquet")
+    (out.option("path", path) if path else out).saveAsTable(table)
 
 
 def saved_curves(spark: SparkSession, table: str) -> DataFrame:
@@ -77,24 +80,34 @@ def saved_curves(spark: SparkSession, table: str) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tables-")
+    folder = tempfile.mkdtemp(prefix="tables-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    What several passes read is computed once, and survives lost executors.
-    Only a session of one process (``local[...]``) may leave the setting out.
-    The folder is the cluster's to clear, as it is for checkpoints.
+    Only a session of one process (``local[...]``) may leave the setting out;
+    its own folder goes when it ends.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folder()
-    path = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder (``shared_path``) and read it back.
+
+    What several passes read is computed once, and survives lost executors.
+    The folder is the cluster's to clear, as it is for checkpoints.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "scratch")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
