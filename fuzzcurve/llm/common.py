@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,11 +26,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tables-")
+    folder = tempfile.mkdtemp(prefix="tables-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """A folder for sessions without ``spark.checkpoint.dir``: only where driver and executors are one process."""
+    """A folder for sessions without ``spark.checkpoint.dir``: only where driver and executors are one process; it goes when the process ends."""
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _local_folder()
