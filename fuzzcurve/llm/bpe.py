@@ -9,7 +9,10 @@ Nothing is shuffled: a task splits its texts, looks up the words that it has
 met before, and folds the ranked merges over the byte arrays of the new
 distinct words - all words of one length at once, one merge of each word a
 step, with the ranks as literal lookup tables. Null texts are empty and have
-no ids. Texts are whole; a word of any length is one piece.
+no ids. Texts are whole; a word of any length is one piece. Every row is
+encoded by itself, so repeated rows and rows without an id come back as often
+as they are there; an empty table stays empty. The new columns ``ids`` and
+``decoded`` replace columns of these names, all others are carried through.
 
 Spark's higher-order functions can express the same fold (``fold_words``),
 but interpret it element by element; see the README for the figures.

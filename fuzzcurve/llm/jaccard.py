@@ -35,8 +35,12 @@ component of each document.
 Null and empty texts have no set and link with nothing; a text of fewer than
 ``k`` words is one shingle. Documents without an id are left out of the
 links and come back as their own (null) component. Rows that share an id and
-differ in text are separate documents of one component. Shingles are compared
-by 64-bit hashes within a pair, whole sets by their size and 128 bits.
+differ in text are separate documents of one component; repeated rows come
+back as often. Very long texts are whole: one that is longer than a step of
+work is a step of its own. An empty table gives an empty result. Only the
+columns ``doc_id`` and ``text`` are looked at, so others cannot clash.
+Shingles are compared by 64-bit hashes within a pair, whole sets by their size
+and 128 bits.
 """
 
 from __future__ import annotations

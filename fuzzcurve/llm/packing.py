@@ -13,7 +13,8 @@ start again at 0. With them go, for every segment, the document's id, its
 number among the texts of its task and the piece number, from which
 ``unpack`` restores the ids of each text. An empty or null text is its
 end-of-text id alone. Rows without an id, and rows that repeat one, are
-texts of their own throughout.
+texts of their own throughout. An empty table gives no rows. Only the columns
+``doc_id`` and ``text`` are looked at.
 """
 
 from __future__ import annotations
