@@ -17,10 +17,10 @@ id is kept.
 3. Nodes of one document go; nodes whose documents are known to be connected
    go. In a node of up to ``SMALL`` documents every pair is compared, exactly,
    on full sets; equal nodes of several paths and trees are compared once. In
-   a larger one every document is compared with the node's lead, in blocks of
-   ``SMALL``; if that does not connect the node, it branches ``STEP`` levels
-   further, down to ``DEEPEST``. There, blocks of the documents outside the
-   largest connected part are compared with all blocks, so nothing is capped.
+   a larger one every document is compared with the node's lead, a few at a
+   time; if that does not connect the node, it branches further, down to
+   ``DEEPEST``. There, blocks of the documents outside a node's largest
+   connected part are compared with all its blocks, so nothing is capped.
    Full sets are made once, of documents that share a node with another.
 4. Trees are independent. ``trees_for`` tells how many give a pair that just
    links the chance ``recall`` to meet even in a deepest node. The first
@@ -53,10 +53,12 @@ from .jaccard import _sets, shingles
 from .text import U, mix
 
 COORDINATES = 128
-FIRST, STEP, DEEPEST = 4, 9, 13
+FIRST, DEEPEST = 4, 10
 EARLY = 3
 #: Documents of a node that are compared with each other in one task.
 SMALL = 24
+#: Documents of a block of a larger one; two blocks are compared in one task.
+BLOCK = 64
 #: Distinct tokens that one step of a comparison holds for each document.
 COLUMNS = 1 << 16
 _ODD = mix(np.arange(COORDINATES, dtype=U), 60) | U(1)
@@ -224,12 +226,11 @@ def _lead_cells(large: DataFrame) -> DataFrame:
 
 def _block_cells(large: DataFrame) -> DataFrame:
     """Blocks of the documents outside a node's largest part, each with every block of the node."""
-    half = SMALL // 2
     sizes = large.groupBy("node", "part").agg(F.count("*").alias("m"))
     most = sizes.groupBy("node").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("most"), F.max("m").alias("m"))
     own = large.join(most, "node").withColumn("outer", F.col("part") != F.col("most"))
-    inner = F.ceil(F.col("m") / half).cast("int")
-    outer = F.ceil((F.col("c") - F.col("m")) / half).cast("int")
+    inner = F.ceil(F.col("m") / BLOCK).cast("int")
+    outer = F.ceil((F.col("c") - F.col("m")) / BLOCK).cast("int")
     own = own.select("node", "doc_id", "part", inner.alias("inner"), outer.alias("outer_blocks"), F.when(F.col("outer"), inner + F.pmod(F.xxhash64("doc_id", F.lit(2)), outer)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(2)), inner)).cast("int").alias("i"))
     last = F.col("inner") + F.col("outer_blocks") - 1
     others = F.when(F.col("i") < F.col("inner"), F.sequence(F.col("inner"), last)).otherwise(F.sequence(F.lit(0), last))
@@ -239,34 +240,30 @@ def _block_cells(large: DataFrame) -> DataFrame:
 
 def _parts(links: list[DataFrame]) -> DataFrame:
     """(doc_id, component) of the documents that are linked so far."""
-    return write_table(components(_union(links)).withColumnRenamed("id", "doc_id"), "parts")
-
-
-def _connect(sigs: DataFrame, nodes: DataFrame, sets: DataFrame, links: list[DataFrame], percent: int) -> None:
-    """Find links in ``nodes`` (node, doc_id) of the first level and below; they are added to ``links``."""
-    depth = FIRST
-    while True:
-        parts = _parts(links)
-        own = _open_nodes(nodes, parts)
-        large = own.where(F.col("c") > SMALL)
-        cells = _small_cells(own).unionByName(_lead_cells(large))
-        if depth >= DEEPEST:
-            cells = cells.unionByName(_block_cells(large))
-        cells = write_table(cells, "cells")
-        if not cells.isEmpty():
-            links.append(_compare(cells, sets, percent))
-        done = depth >= DEEPEST or large.isEmpty()
-        if not done:
-            now = _parts(links)
-            left = _open_nodes(large.select("node", "doc_id"), now)
-            deeper = _walk(left.select("node", "doc_id").join(sigs, "doc_id").select("doc_id", "tokens", "node"), STEP, percent)
-            walked = write_table(deeper, "walked")
-            nodes = write_table(_shared(walked), "deeper")
-            drop_tables(left, now, walked)
-            depth += STEP
-        drop_tables(own, cells, parts)
-        if done:
-            return
+    found = _union(links)
+    ends = found.selectExpr("a AS id", "a AS component") if found.isEmpty() else components(found)
+    return write_table(ends.withColumnRenamed("id", "doc_id"), "parts")
+
+
+def _connect(sigs: DataFrame, nodes: DataFrame, sets: DataFrame, links: list[DataFrame], parts: DataFrame, percent: int, again: bool) -> None:
+    """Find links in ``nodes`` (node, doc_id) of the first level, and below those that are large; they are added to ``links``.
+
+    ``parts`` tells what is connected already; ``again`` has it worked out
+    anew before large nodes branch.
+    """
+    own = _open_nodes(nodes, parts)
+    large = own.where(F.col("c") > SMALL)
+    cells = write_table(_small_cells(own).unionByName(_lead_cells(large)), "cells")
+    links.append(_compare(cells, sets, percent))
+    if not large.isEmpty():
+        now = _parts(links) if again else parts
+        left = _open_nodes(large.select("node", "doc_id"), now)
+        deeper = write_table(_walk(left.select("node", "doc_id").join(sigs, "doc_id").select("doc_id", "tokens", "node"), DEEPEST - FIRST, percent), "deeper")
+        last = _open_nodes(_shared(deeper), now)
+        final = write_table(_small_cells(last).unionByName(_block_cells(last.where(F.col("c") > SMALL))), "cells")
+        links.append(_compare(final, sets, percent))
+        drop_tables(left, deeper, last, final, *([now] if again else []))
+    drop_tables(own, cells)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -299,8 +296,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, recall: floa
     trees = trees_for(recall, percent)
     nodes = write_table(_shared(_walk(sigs, FIRST, percent, trees)), "first")
     sets = write_table(_sets(known, nodes.select("doc_id").distinct(), k), "sets")
-    for own in (F.col("tree") < EARLY, F.col("tree") >= EARLY):
-        _connect(sigs, nodes.where(own).select("node", "doc_id"), sets, links, percent)
+    for again, own in ((True, F.col("tree") < EARLY), (False, F.col("tree") >= EARLY)):
+        parts = _parts(links)
+        _connect(sigs, nodes.where(own).select("node", "doc_id"), sets, links, parts, percent, again)
+        drop_tables(parts)
     drop_tables(nodes, sets)
     ends = components(_union(links))
     drop_tables(sigs, *links)

@@ -183,24 +183,15 @@ def test_texts_of_one_id_link_through_it(spark):
 
 def test_large_nodes_branch_and_are_compared_in_blocks(spark, monkeypatch):
     """Families of which some pairs link: leads, deeper levels and blocks find what pairs of all would."""
-    monkeypatch.setattr(chosenpath, "SMALL", 6)
-    monkeypatch.setattr(chosenpath, "COLUMNS", 50)
-    cells, real = [], chosenpath._compare
-
-    def counted(own, *a):
-        cells.append(own.count())
-        return real(own, *a)
-
-    monkeypatch.setattr(chosenpath, "_compare", counted)
-    for share in (0.004, 0.012):
-        for n in (100, 200):
+    for name, value in (("SMALL", 6), ("BLOCK", 5), ("COLUMNS", 50)):
+        monkeypatch.setattr(chosenpath, name, value)
+    for share, sizes in ((0.004, (100,)), (0.014, (100, 200))):  # nearly all pairs link, and few
+        for n in sizes:
             rng = random.Random(11)
             base = prose(rng, 150)
             rows = [(i, edited(rng, base, share)) for i in range(n)] + [(1000 + i, prose(rng, 50)) for i in range(20)]
-            cells.append("|")
             got = chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
             assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, percent=85)
-    print(cells)
 
 
 def test_trees_reach_the_recall():
