@@ -54,10 +54,11 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFr
     """(by, value, out): the average rank of each distinct ``value`` (no nulls) within the groups ``by``.
 
     Values are counted first, so ties and hot values combine on the map side;
-    windows see each distinct value once, in range partitions.
+    windows see each distinct value once, in range partitions. ``df`` is read
+    once for the counts; callers that go on with its rows write them first.
     """
     by = list(by)
-    counts = _placed(scratch(df.groupBy(*by, value).agg(F.count("*").alias("__n"))), [*by, value])
+    counts = _placed(df.groupBy(*by, value).agg(F.count("*").alias("__n")), [*by, value])
     whole = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(*by, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__offset"))
@@ -67,6 +68,7 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFr
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """``df`` with the average rank of ``value`` within the groups ``by``."""
+    df = scratch(df)
     return df.join(rank_table(df, by, value, out), [*by, value])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -39,17 +40,23 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = [(cols[i], cols[i], 1.0 if complete(i) else None, sum(patterns[p] for p in complete(i))) for i in range(m)]
     found = {(i, j) for i, j, *_ in pairs}
     out += [(cols[i], cols[j], None, 0) for i, j in combinations(range(m), 2) if (i, j) not in found]
-    fixed = df.sparkSession.createDataFrame(out, "a string, b string, rho double, n long")
+    fixed = _literal(df, [dict(zip(("a", "b", "rho", "n"), r)) for r in out], "a string, b string, rho double, n long")
     if not pairs:
         return fixed
-    has = lambda i, j: F.col("bits").bitwiseAND(F.lit(1 << i | 1 << j).cast("long")) == (1 << i | 1 << j)
-    entries = F.array(*[F.when(has(i, j), F.struct(F.lit(k).alias("k"), F.col(f"v{c}").alias("v"))) for k, (c, i, j) in enumerate(needs)])
-    tall = scratch(rows.select("row", F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x")).select("row", "x.k", "x.v"))
+    # one expression each, since a plan of many small calls takes longer to build than small tables to read
+    entries = ", ".join(f"IF(bits & {1 << i | 1 << j}L = {1 << i | 1 << j}L, struct({k} AS k, v{c} AS v), NULL)" for k, (c, i, j) in enumerate(needs))
+    tall = rows.select("row", F.expr(f"inline(filter(array({entries}), e -> e IS NOT NULL))"))
     places = tall.join(rank_table(tall, ["k"], "v", "rank"), ["k", "v"])
     vectors = places.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "rank"))).alias("of"))
-    both = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col("of")[x].alias("x"), F.col("of")[y].alias("y"), F.lit(n).cast("long").alias("n")) for i, j, x, y, n in pairs])
-    got = vectors.select(F.explode(both).alias("p")).select("p.*").where("x is not null and y is not null")
-    return got.groupBy("a", "b").agg(F.corr("x", "y").alias("rho"), F.max("n").alias("n")).unionByName(fixed)
+    both = ", ".join(f"struct({p} AS p, of[{x}] AS x, of[{y}] AS y)" for p, (_, _, x, y, _) in enumerate(pairs))
+    got = vectors.select(F.expr(f"inline(array({both}))")).where("x is not null and y is not null").groupBy("p").agg(F.corr("x", "y").alias("rho"))
+    named = _literal(df, [{"p": p, "a": cols[i], "b": cols[j], "n": n} for p, (i, j, _, _, n) in enumerate(pairs)], "p int, a string, b string, n long")
+    return named.join(got, "p", "left").select("a", "b", "rho", "n").unionByName(fixed)
+
+
+def _literal(df: DataFrame, rows: list[dict], fields: str) -> DataFrame:
+    """A few rows as a literal, which Spark plans as such."""
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<" + ",".join(f.strip().replace(" ", ":") for f in fields.split(",")) + ">>")))
 
 
 def driver_points(df: DataFrame, drivers: Sequence[str], y: str, third: str) -> DataFrame:

@@ -59,6 +59,11 @@ def test_summary_of_edge_curves(long):
             assert a == b or a is not None and b is not None and math.isclose(a, b, abs_tol=1e-12), (c, got[c], expected(points))
 
 
+def test_curves_that_end_at_zero_have_no_area(spark):
+    df = spark.createDataFrame([(1, 0, -1.0, 0.2), (1, 1, 0.0, 0.4), (2, 0, 0.0, 0.3)], "curve_id long, event_id long, t double, r double")
+    assert {(r["curve_id"], r["n_points"], r["auc_norm"]) for r in curves.curve_summary(df).collect()} == {(1, 2, None), (2, 1, None)}
+
+
 def test_resample_has_every_grid_point(long):
     rows = curves.resample(long, 50).groupBy("curve_id").agg(F.count("*").alias("n"), F.countDistinct("k").alias("k"), F.min("y").alias("lo")).collect()
     assert {r["curve_id"] for r in rows} == set(CURVES) - {5}
