@@ -225,16 +225,28 @@ def _lead_cells(large: DataFrame) -> DataFrame:
 
 
 def _block_cells(large: DataFrame) -> DataFrame:
-    """Blocks of the documents outside a node's largest part, each with every block of the node."""
+    """Blocks of the documents outside a node's largest part, each with every block of the node.
+
+    Where many nodes have the same largest part, its documents and those
+    outside it are gathered from all of them and compared once, if that makes
+    fewer rows.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    made = lambda v, u: v * blocks(u) + u * (blocks(v) + blocks(u))
     sizes = large.groupBy("node", "part").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("node").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("most"), F.max("m").alias("m"))
-    own = large.join(most, "node").withColumn("outer", F.col("part") != F.col("most"))
-    inner = F.ceil(F.col("m") / BLOCK).cast("int")
-    outer = F.ceil((F.col("c") - F.col("m")) / BLOCK).cast("int")
-    own = own.select("node", "doc_id", "part", inner.alias("inner"), outer.alias("outer_blocks"), F.when(F.col("outer"), inner + F.pmod(F.xxhash64("doc_id", F.lit(2)), outer)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(2)), inner)).cast("int").alias("i"))
-    last = F.col("inner") + F.col("outer_blocks") - 1
-    others = F.when(F.col("i") < F.col("inner"), F.sequence(F.col("inner"), last)).otherwise(F.sequence(F.lit(0), last))
-    pairs = own.select("node", "doc_id", "part", "i", F.explode(others).alias("j"))
+    nodes = sizes.groupBy("node").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("most"), F.max("m").alias("v"), (F.sum("m") - F.max("m")).alias("u"))
+    own = large.join(nodes, "node").withColumn("outer", F.col("part") != F.col("most"))
+    people = own.select("most", "doc_id", "part", "outer").distinct()
+    together = people.groupBy("most").agg(F.count_if(~F.col("outer")).alias("all_v"), F.count_if("outer").alias("all_u"))
+    apart = nodes.groupBy("most").agg(F.sum(made(F.col("v"), F.col("u"))).alias("apart"))
+    choice = together.join(apart, "most").select("most", "all_v", "all_u", (made(F.col("all_v"), F.col("all_u")) < F.col("apart")).alias("joint"))
+    one = own.join(choice.where("not joint").select("most"), "most").select("node", "doc_id", "part", "outer", blocks(F.col("v")).alias("inner"), blocks(F.col("u")).alias("rest"))
+    many = people.join(choice.where("joint"), "most").select(F.xxhash64("most", F.lit(3)).alias("node"), "doc_id", "part", "outer", blocks(F.col("all_v")).alias("inner"), blocks(F.col("all_u")).alias("rest"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col(n)).cast("int")
+    rows = one.unionByName(many).withColumn("i", F.when(F.col("outer"), F.col("inner") + block("rest")).otherwise(block("inner")))
+    last = F.col("inner") + F.col("rest") - 1
+    others = F.when(F.col("outer"), F.sequence(F.lit(0), last)).otherwise(F.sequence(F.col("inner"), last))
+    pairs = rows.select("node", "doc_id", "part", "i", F.explode(others).alias("j"))
     return pairs.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j"), F.lit(2)).alias("cell"), "doc_id", "part")
 
 

@@ -182,7 +182,7 @@ def key_bitmap(df: DataFrame, key: str, bits: int = 24, hashed: bool = False) ->
     place = df.where(F.col(key).isNotNull()).select(place).distinct()
     dealt = place.withColumn("slice", F.shiftright("place", own)).repartition(min(1 << (bits - own), _shuffles(df)), "slice").sortWithinPartitions("slice")
     out = np.zeros((1 << (bits - own), (1 << own) // 8), np.uint8)
-    for row in mapped(dealt.select("place"), fill, "slice int, bits binary").toLocalIterator():
+    for row in mapped(dealt.select("place"), fill, "slice int, bits binary").collect():  # the bitmap itself: 2 to 8 MB
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
