@@ -19,9 +19,11 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     several pairs are the same set, a column is ranked once for all of them; a
     row's ranks are then one vector, and one aggregate over the vectors gives
     every pair. Without nulls that is one ranking for each column. The driver
-    gets the distinct patterns, at most ``2 ** len(cols)``.
+    gets the distinct patterns, at most ``2 ** len(cols)``. Up to 63 columns.
     """
     m = len(cols)
+    if m > 63:
+        raise ValueError("patterns of known columns are kept in 63 bits")
     value = [F.when(~F.isnan(c), c) for c in (F.col(f"`{c}`").cast("double") for c in cols)]
     bits = sum((F.when(c.isNotNull(), F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(value)), F.lit(0).cast("long"))
     rows = scratch(df.select(F.monotonically_increasing_id().alias("row"), bits.alias("bits"), *[c.alias(f"v{i}") for i, c in enumerate(value)]))
